@@ -167,3 +167,22 @@ class Roll:
         sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up[: len(words)], out=sums[1:])
         return mix64((sums[length:] - sums[:n]) * down[:n])
+
+
+def order_within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Order by group (small integers), then value; few groups are sorted by radix."""
+    if not len(group) or int(group.max()) >= 1 << 16:
+        return np.lexsort((value, group))
+    order = np.argsort(value)
+    return order[np.argsort(group[order].astype(np.uint16), kind="stable")]
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import SPACE, materialize
+from strandloom.llm.common import SPACE, free_names, materialize
 
 
 def text_digest(text: Column) -> Column:
@@ -48,8 +48,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", co
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = 4096) -> DataFrame:
     """docs with one row of each group of equal texts, the one with the smallest id (of rows that share it, any one)."""
     groups = exact_groups(docs, id_col, text, counters)
-    keep = groups.where("kept").select(F.col(id_col).alias("keep__"), F.col("text_sha256").alias("kept_digest__")).hint("shuffle_hash")
-    marked = docs.withColumn("digest__", text_digest(F.col(f"`{text}`")))
-    kept = marked.join(keep, (F.col("digest__") == F.col("kept_digest__")) & F.col(id_col).eqNullSafe(F.col("keep__")), "left_semi")
+    digest, keep_id, keep_digest = free_names(docs, "digest", "keep_id", "keep_digest")
+    keep = groups.where("kept").select(F.col(id_col).alias(keep_id), F.col("text_sha256").alias(keep_digest)).hint("shuffle_hash")
+    marked = docs.withColumn(digest, text_digest(F.col(f"`{text}`")))
+    kept = marked.join(keep, (F.col(digest) == F.col(keep_digest)) & F.col(f"`{id_col}`").eqNullSafe(F.col(keep_id)), "left_semi")
     again = groups.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept")).head(1)
-    return (kept.dropDuplicates([id_col, "digest__"]) if again else kept).drop("digest__")
+    return (kept.dropDuplicates([id_col, digest]) if again else kept).drop(digest)

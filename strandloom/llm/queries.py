@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm.decontaminate import find_leaks
 from strandloom.llm.exact_dedup import exact_groups
 from strandloom.llm.html_extract import extract_pages
+from strandloom.llm.jaccard_join import link_groups
 from strandloom.llm.license_scan import scan_licenses
 from strandloom.llm.packing import pack_documents
+from strandloom.llm.quality import score_documents
 from strandloom.llm.sharding import shard_documents
+from strandloom.llm.substring_dedup import dedup_substrings
 from strandloom.llm.url_filter import RULES, filter_urls
 
 
@@ -26,6 +30,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_crc32")
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -34,16 +46,25 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 40)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_groups(_table(spark, sf_dir, "documents")).drop("sum")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_packing, op5_exact_dedup, op6_sharding, op8_license_scan, op10_url_filter)}
+    found = (op1_html_extract, op2_packing, op3_decontaminate, op4_substring_dedup, op5_exact_dedup, op6_sharding, op7_quality, op8_license_scan, op9_jaccard_join, op10_url_filter)
+    return {f.__name__: f for f in found}
 
 
 SQL = {

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import free_names
+
 #: Entries a broadcast trie may hold.
 MOST_BROADCAST = 1_000_000
 
@@ -95,8 +97,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
 
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    judged = parts.withColumn("judged__", judge("host", "path"))
-    return judged.select(*[c for c in judged.columns if c != "judged__"], "judged__.rule", "judged__.verdict")
+    (found,) = free_names(parts, "found")
+    judged = parts.withColumn(found, judge("host", "path"))
+    return judged.select(*[F.col(f"`{c}`") for c in parts.columns], f"{found}.rule", f"{found}.verdict")
 
 
 def filter_urls_by_join(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", url: str = "url") -> DataFrame:
