@@ -93,15 +93,15 @@ def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col
     phrases = "array(" + ", ".join(f"struct({_literal(words_of(p))} as words, {_literal(label)} as label)" for p, label in BASE_PHRASES.items()) + ")"
 
     rows = spaced.withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1).cast("long"))
-    padded = F.concat(F.lit(" "), F.lower("norm"), F.lit(" "))
-    marked = rows.withColumn("hit", _any([padded.contains(f" {w} ") for w in _anchors(entries, rare)] + [padded.contains(f" {p} ") for p in BASE_PHRASES]))
+    padded = F.col("padded")
+    marked = rows.withColumn("padded", F.concat(F.lit(" "), F.lower("norm"), F.lit(" "))).withColumn("hit", _any([padded.contains(f" {w} ") for w in _anchors(entries, rare)] + [padded.contains(f" {p} ") for p in BASE_PHRASES]))
     low = F.translate("norm", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = marked.withColumn("words", F.when(F.col("hit"), F.split(low, " ")))
     # places of the base phrases
     found = found.withColumn("spots", F.expr(f"flatten(transform({phrases}, p -> transform(filter(sequence(0, size(words) - 1), i -> get(words, i) = p.words[0] and slice(words, i + 1, size(p.words)) = p.words), i -> struct(i, p.label as label))))"))
     # the file's rarest licence words, their places, and the alignments that the postings name
     found = found.withColumn("look", F.expr(f"slice(array_intersect({_literal(rare) if rare else 'cast(array() as array<string>)'}, words), 1, {look_up})"))
-    found = found.withColumn("places", F.expr("filter(transform(words, (w, i) -> struct(w, i)), x -> array_contains(look, x.w))"))
+    found = found.withColumn("places", F.expr("flatten(transform(look, l -> transform(filter(sequence(0, size(words) - 1), i -> words[i] = l), i -> struct(l as w, i as i))))"))
     found = found.withColumn("starts", F.expr(f"array_distinct(flatten(transform(places, x -> transform({index}[x.w], q -> struct(q.t as t, x.i - q.p as at)))))"))
     kept = f"filter(starts, s -> slice(words, greatest(s.at + {table}[s.t].at, 0) + 1, size({table}[s.t].key)) = {table}[s.t].key and s.at + {table}[s.t].at >= 0)"
     share = f"transform({kept}, s -> struct({table}[s.t].label as label, size(filter(transform({table}[s.t].words, (w, i) -> struct(w, s.at + i as i)), x -> x.i >= 0 and get(words, x.i) = x.w)) / size({table}[s.t].words) as share))"
