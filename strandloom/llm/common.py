@@ -110,14 +110,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(UTF-8 bytes of all texts in one array, offsets of the texts in it); a null text has no bytes."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("") if texts.null_count else texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
     _, offsets, data = texts.buffers()
-    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
     bytes_ = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
     return bytes_, at - at[0]
 
 
-def blocks(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def blocks(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes of text (a longer text stands alone)."""
     _, at = text_bytes(texts)
     a, n = 0, len(at) - 1
