@@ -4,7 +4,8 @@ The parser's events are cut into lines at block elements.  Each line has a text-
 with a Gaussian along the page and clustered by a threshold, one standard deviation of the smoothed ratios, and the runs
 of lines above it are the content regions.  A region inside an article (or main, or a container named as content) is
 widened to the lines of that container, so short paragraphs and the headline stay.  Lines in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element, role, class or id, never count.
+sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element, role, class or id, never count;
+outside such containers, nor do lines of links alone.
 
 Edge cases: null or empty HTML, or a page without text, gives an empty text.  Cut-off pages and unclosed elements are
 read as far as they go.  Plain text without markup is one line and kept.  Repeated rows are extracted one by one, other
@@ -39,23 +40,23 @@ _KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / 1.5) ** 2)
 
 
 class _Lines(HTMLParser):
-    """Collects [text parts, tags, container, whether the container is an article or main] of each line."""
+    """Collects (text, tags, container, whether some text is outside links) of each line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.open: list[tuple[str, bool, int]] = []  # element, skipped, container
         self.parts: list[str] = []
-        self.tags, self.containers = 0, 0
+        self.tags, self.containers, self.links, self.plain = 0, 0, 0, False
         self.strong: set[int] = set()
 
     def _break(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.open[-1][2] if self.open else 0))
+                self.lines.append((text, max(1, self.tags), self.open[-1][2] if self.open else 0, self.plain))
             self.parts = []
-        self.tags = 0
+        self.tags, self.plain = 0, False
 
     def _skipped(self, tag: str, attrs: list, inside: bool) -> bool:
         if tag in KEPT:
@@ -70,6 +71,7 @@ class _Lines(HTMLParser):
         return False
 
     def _close(self, k: int) -> None:
+        self.links -= sum(name == "a" for name, _, _ in self.open[k:])
         del self.open[k:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -104,6 +106,7 @@ class _Lines(HTMLParser):
                     if strong:
                         self.strong.add(container)
         self.open.append((tag, skip, container))
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -123,6 +126,7 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
             self.parts.append(data)
+            self.plain |= not self.links and not data.isspace()
 
 
 def content_lines(ratios: np.ndarray) -> np.ndarray:
@@ -143,13 +147,13 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    chosen = content_lines(np.array([len(t) / n for t, n, _ in lines], float))
-    strong = {c for _, _, c in lines if c in parser.strong}
-    regions = {c for (_, _, c), hit in zip(lines, chosen, strict=True) if hit and c}
+    chosen = content_lines(np.array([len(t) / n for t, n, _, _ in lines], float))
+    strong = {c for _, _, c, _ in lines if c in parser.strong}
+    regions = {c for (_, _, c, _), hit in zip(lines, chosen, strict=True) if hit and c}
     regions = (regions & strong) or strong or regions
     if regions:
-        return " ".join(t for t, _, c in lines if c in regions)
-    return " ".join(t for (t, _, _), hit in zip(lines, chosen, strict=True) if hit)
+        return " ".join(t for t, _, c, _ in lines if c in regions)
+    return " ".join(t for (t, _, _, plain), hit in zip(lines, chosen, strict=True) if hit and plain)
 
 
 def extract(html: Column) -> Column:

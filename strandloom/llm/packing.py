@@ -117,6 +117,8 @@ class Packer:
 
     def _pack(self) -> list[list]:
         """Emit full windows; what the last, open window holds is returned."""
+        if not self.pool:
+            return []
         pool, index = self.pool, Index([p[1] for p in self.pool])
         unused = np.ones(len(pool), bool)
         for seed in range(len(pool)):

@@ -106,7 +106,7 @@ def votes(t: Texts) -> np.ndarray:
             _vote(t.per_word(marked) / n, 0.1, 0.4, t.n >= 5),
             _vote(t.per_word(bare) / n, 0.05, 0.2, t.n >= 5),
             _vote(t.per_word(t.again()) / n, 0.1, 0.35, t.n >= 5),
-            _vote(t.per_word(repeated) / n, 0.2, 0.45, t.n >= 40),
+            _vote(t.per_word(repeated) / n, 0.15, 0.35, t.n >= 20),
             _vote(t.per_word(stops) / n, 0.03, 0.01, t.n >= 40),
             _vote(letters / ink, 0.94, 0.9, t.n >= 5),
             _vote(t.per_word(plain & (t.end - t.start <= 3)) / n, 0.1, 0.04, t.n >= 30),
@@ -230,14 +230,14 @@ def score(text: Column, weights: np.ndarray, session) -> Column:
     return scored(text)
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.35, sample: int = SAMPLE) -> DataFrame:
     """One row per document: id, score (0 to 1), keep (score at the threshold or above)."""
     weights = fit(docs, id_col, text, sample)
     out = docs.select(F.col(f"`{id_col}`").alias(id_col), score(F.col(f"`{text}`"), weights, docs.sparkSession).alias("score"))
     return out.withColumn("keep", F.col("score") >= threshold)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.35, sample: int = SAMPLE) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
     weights = fit(docs, id_col, text, sample)
     return docs.where(score(F.col(f"`{text}`"), weights, docs.sparkSession) >= threshold)
