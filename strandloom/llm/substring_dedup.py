@@ -28,7 +28,7 @@ from strandloom.llm.common import Roll, blocks, materialize, mix64, word_hashes
 
 GRAM = 16
 #: Words of a block whose windows are grouped in memory.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 19
 #: A table of covered ranges up to so many bytes is broadcast; a larger one is joined by a shuffle.
 MOST_BROADCAST = 32 << 20
 _LAST = np.iinfo(np.int64).max
