@@ -186,8 +186,14 @@ def read_overlap_stats(spark, sf_dir):
 
 
 @_query(
-    "SELECT user_id, bgn, \"end\", \"count\" FROM (SELECT user_id, run, min(at) AS bgn, max(at) AS \"end\", count(*) AS \"count\" FROM (SELECT user_id, at, sum(opens) OVER (PARTITION BY user_id ORDER BY at RANGE UNBOUNDED PRECEDING) AS run "
-    "FROM (SELECT user_id, at, CASE WHEN at - lag(at) OVER (PARTITION BY user_id ORDER BY at) > 3600 THEN 1 ELSE 0 END AS opens FROM (SELECT user_id, epoch_us(ts) // 1000000 AS at FROM events))) GROUP BY user_id, run)"
+    sql.query(
+        [
+            "t AS (SELECT user_id, epoch_us(ts) // 1000000 AS sec FROM events)",
+            "g AS (SELECT user_id, sec, CASE WHEN sec - lag(sec) OVER (PARTITION BY user_id ORDER BY sec) > 3600 THEN 1 ELSE 0 END AS opens FROM t)",
+            "r AS (SELECT user_id, sec, sum(opens) OVER (PARTITION BY user_id ORDER BY sec RANGE UNBOUNDED PRECEDING) AS run FROM g)",
+        ],
+        'SELECT user_id, min(sec) AS bgn, max(sec) AS "end", count(*) AS "count" FROM r GROUP BY user_id, run',
+    )
 )
 def gap_sessions(spark, sf_dir):
     """The cluster rule on event times: sessions of a user with gaps of an hour at most."""
@@ -258,16 +264,16 @@ def best_n_per_side(spark, sf_dir):
     sql.query(
         [
             "iv AS (SELECT user_id, epoch_us(ts) // 1000000 AS bgn, epoch_us(ts) // 1000000 + (trunc(value * 60))::BIGINT AS \"end\" FROM events)",
-            "ev AS (SELECT user_id, bgn AS at, 0 AS kind FROM iv UNION ALL SELECT user_id, \"end\", 3 FROM iv)",
+            "ev AS (SELECT user_id, bgn AS pos, 0 AS kind FROM iv UNION ALL SELECT user_id, \"end\", 3 FROM iv)",
         ],
-        "SELECT user_id, at, kind, sum(CASE kind WHEN 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY at, kind RANGE UNBOUNDED PRECEDING)::BIGINT AS depth FROM ev",
-    ).replace("PARTITION BY user_id ORDER BY at, kind RANGE UNBOUNDED PRECEDING", "PARTITION BY user_id ORDER BY at * 4 + kind RANGE UNBOUNDED PRECEDING")
+        "SELECT user_id, pos, kind, sum(CASE kind WHEN 0 THEN 1 ELSE -1 END) OVER (PARTITION BY user_id ORDER BY pos * 4 + kind RANGE UNBOUNDED PRECEDING)::BIGINT AS depth FROM ev",
+    )
 )
 def coverage_sweep(spark, sf_dir):
     """Depth of the users' event intervals (as long as `value` minutes) at each opening and closing."""
     iv = _intervals(spark, sf_dir)
-    events = iv.select("user_id", F.col("bgn").alias("at"), F.lit(0).alias("kind")).union(iv.select("user_id", "end", F.lit(3)))
-    return overlaps.coverage_sweep(events, ["user_id"])
+    events = iv.select("user_id", F.col("bgn").alias("pos"), F.lit(0).alias("kind")).union(iv.select("user_id", "end", F.lit(3)))
+    return overlaps.coverage_sweep(events, ["user_id"], "pos")
 
 
 def _intervals(spark, sf_dir):
