@@ -186,3 +186,67 @@ def spell(layout: DataFrame, edges: DataFrame, reads: DataFrame) -> DataFrame:
     made = parts.groupBy("component", "path", "tag").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     name = F.concat(F.lit("ctg"), F.col("component").cast("string"), F.lit("_"), F.col("path").cast("string"), F.lit("_"), F.col("tag"))
     return made.select(name.alias("ctg"), "tag", F.size("parts").alias("n_reads"), F.array_join("parts.piece", "").alias("seq"))
+
+
+def reduced_unitigs(paths: dict[tuple[int, int, int], int], sink_steps: int = 15, light: int = 5) -> set[tuple[int, int, int]]:
+    """Unitigs (begin, second, end), each with its number of nodes, that stay when light detours by repeats go.
+
+    From each branching node, ways out that reach a sink (the other strand of a branching node) by a route lighter than
+    `light` are taken away with their twins, but a node keeps one way out: if all are light, the heaviest.  Then unitigs
+    between a node without ways out and one without ways in are put back.
+    """
+    weight: dict[tuple[int, int], int] = {}
+    for (begin, _, end), n in sorted(paths.items()):
+        weight[begin, end] = n
+    walk = Walk(list(weight))
+    branching = walk.branching()
+    sinks = {v ^ 1 for v in branching if walk.out[v ^ 1]}
+    gone: set[tuple[int, int]] = set()
+    for v in branching:
+        ways = {}
+        for w in walk.out[v]:
+            if w == v:
+                continue
+            if w in sinks:
+                if weight[v, w] < light:
+                    ways[w] = [(v, w)]
+                continue
+            routes = []
+            for x in walk.near(w, sink_steps):
+                if x in sinks:
+                    route = [v, *walk.route(w, x)]
+                    steps = list(zip(route, route[1:], strict=False))
+                    if sum(weight[e] for e in steps) < light:
+                        routes += steps
+            if routes:
+                ways[w] = routes
+        if ways and len(ways) == len([w for w in walk.out[v] if w != v]):
+            ways.pop(max(ways, key=lambda w: (weight[v, w], -w)))
+        for steps in ways.values():
+            gone |= set(steps) | {(b ^ 1, a ^ 1) for a, b in steps}
+    left = {e for e in weight if e not in gone}
+    out, into = {v for v, _ in left}, {w for _, w in left}
+    left |= {(v, w) for v, w in gone & set(weight) if v not in out and w not in into}
+    return {u for u in paths if (u[0], u[2]) in left}
+
+
+def reduce_by_unitigs(edges: DataFrame, unitigs: DataFrame) -> DataFrame:
+    """edges on the unitigs (begin, second, node, ord) that `reduced_unitigs` keeps.
+
+    Only one row per unitig reaches the driver; the graph of unitigs is the collapsed form of the read graph.
+    """
+    ends = unitigs.groupBy("begin", "second").agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n"))
+    kept = reduced_unitigs({(r["begin"], r["second"], r["end"]): r["n"] for r in ends.toLocalIterator()})
+    stay = edges.sparkSession.createDataFrame([(b, s) for b, s, _ in sorted(kept)], "begin long, second long")
+    order = Window.partitionBy("begin", "second").orderBy("ord")
+    steps = unitigs.join(stay, ["begin", "second"], "left_semi").withColumn("w", F.lead("node").over(order)).where("w is not null").select(F.col("node").alias("v"), "w").distinct()
+    return edges.join(steps, ["v", "w"], "left_semi")
+
+
+def cross_edges(links: DataFrame, unitigs: DataFrame) -> DataFrame:
+    """Of the links (v, w, weight) between unitigs, the heaviest out of each unitig's end that is also the heaviest in."""
+    ends = unitigs.groupBy("begin", "second").agg(F.max_by("node", "ord").alias("end"))
+    begins = ends.select(F.col("begin").alias("w")).distinct()
+    between = links.join(ends.select(F.col("end").alias("v")).distinct(), "v", "left_semi").join(begins, "w", "left_semi")
+    best = between.groupBy("v").agg(F.max_by("w", F.struct("weight", -F.col("w"))).alias("w"), F.max("weight").alias("weight"))
+    return best.groupBy("w").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("v"), F.max("weight").alias("weight")).select("v", "w", "weight")

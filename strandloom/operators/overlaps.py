@@ -55,10 +55,13 @@ def reverse_strand(ovlp: DataFrame) -> DataFrame:
     )
 
 
+def overlap_line() -> Column:
+    """An overlap as text, in the fixed column order, identities with two decimals."""
+    return F.format_string("O " + " ".join("%.2f" if c.startswith("idt") else "%d" for c in COLUMNS), *COLUMNS)
+
+
 def format_overlap(ovlp: DataFrame) -> DataFrame:
-    """Text lines in the fixed column order, identities with two decimals."""
-    kinds = ["%.2f" if c.startswith("idt") else "%d" for c in COLUMNS]
-    return ovlp.select(F.format_string("O " + " ".join(kinds), *COLUMNS).alias("value"))
+    return ovlp.select(overlap_line().alias("value"))
 
 
 def parse_overlaps(lines: DataFrame) -> DataFrame:

@@ -136,3 +136,26 @@ def shimmer_pairs(mm: DataFrame) -> DataFrame:
     return mm.withColumn("next", nxt).where("next is not null").select(
         "rid", F.col("mhash").alias("h0"), F.col("pos").alias("p0"), F.col("strand").alias("st0"), F.col("next.mhash").alias("h1"), F.col("next.pos").alias("p1"), F.col("next.strand").alias("st1"), "span"
     )
+
+
+#: Parameters of the offset of two overlapping sequences.
+OFFSET_PARAMS = Params(w=24, k=24, r=1)
+
+
+def sketch_offset(a: bytes, b: bytes, p: Params = OFFSET_PARAMS) -> tuple[int, int] | None:
+    """Positions in a and b of the first minimizer of b that stands once in each and has the same strand."""
+    (pa_, sa, ha), (pb, sb, hb) = shimmer_arrays(a, p), shimmer_arrays(b, p)
+    once = lambda h: {int(v): int(i) for v, i, c in zip(*np.unique(h, return_index=True, return_counts=True), strict=True) if c == 1}
+    in_a, in_b = once(ha), once(hb)
+    for h, j in sorted(in_b.items(), key=lambda x: x[1]):
+        i = in_a.get(h)
+        if i is not None and sa[i] == sb[j]:
+            return int(pa_[i]), int(pb[j])
+    return None
+
+
+def mask_intervals(seq: bytes) -> list[tuple[int, int]]:
+    """[bgn, end) of the runs of upper-case bases."""
+    upper = np.isin(np.frombuffer(seq, np.uint8), np.frombuffer(b"ACGT", np.uint8)).astype(np.int8)
+    step = np.diff(np.concatenate([[0], upper, [0]]))
+    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))

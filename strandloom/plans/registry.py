@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-from strandloom.operators import candidates, catalog, contig_map, graph, overlaps, sketch
+from strandloom.operators import align, candidates, catalog, consensus, contig_map, graph, overlaps, sketch
 from strandloom.params import TEXT_PARAMS, Params
-from strandloom.plans import sql
+from strandloom.plans import assemble, sql
+from strandloom.plans.lineage import cut_lineage
 
 #: Parameters for the short benchmark texts.
 SHORT_PARAMS = Params(w=5, k=15, r=2)
@@ -432,6 +433,35 @@ def graph_components(spark, sf_dir):
     return graph.components(lines.select(F.col("l_suppkey").alias("v"), (F.col("l_orderkey") + 1_000_000_000).alias("w")).distinct())
 
 
+# ---- alignment and consensus, compared with brute force in the tests
+
+
+@_query()
+def overlap_alignments(spark, sf_dir):
+    """Aligned overlaps of the document reads."""
+    return align.align_clusters(candidates.top_clusters(_clusters(spark, sf_dir), P), _reads(spark, sf_dir), P, min_len=200).drop("deltas")
+
+
+@_query()
+def marked_overlaps(spark, sf_dir):
+    """The best overlap of each pair with its marker statistics."""
+    aligned = cut_lineage(align.align_clusters(candidates.top_clusters(_clusters(spark, sf_dir), P), _reads(spark, sf_dir), P, min_len=200))
+    return overlaps.with_markers(aligned.drop("deltas"), align.delta_rows(aligned))
+
+
+@_query()
+def corrected_reads(spark, sf_dir):
+    """Reads rewritten by the votes of their compatible neighbours."""
+    reads = _reads(spark, sf_dir)
+    return consensus.corrected_reads(marked_overlaps(spark, sf_dir), reads, P.tol, min_len=200, least=200)
+
+
+@_query()
+def assembled_documents(spark, sf_dir):
+    """Layout of the document reads' string graph, spelt out."""
+    return assemble.assemble(_reads(spark, sf_dir), P, min_len=200)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -6,9 +6,11 @@ import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.overlaps import overlap_line
+
 #: Files under this size are skipped unless asked for.
 LEAST_FILE = 65_536
 READS = "file string, ord long, name string, seq string"
@@ -127,3 +129,38 @@ def subsequence(contigs: DataFrame, name: str, bgn: int, end: int) -> DataFrame:
     if bgn < 0 or end < bgn:
         raise ValueError("need 0 <= bgn <= end")
     return contigs.where((F.col("name") == name) & (F.length("seq") >= end)).select("name", F.substring("seq", bgn + 1, end - bgn).alias("seq"))
+
+
+def overlap_blocks(ovlp: DataFrame, stats: DataFrame) -> DataFrame:
+    """Overlaps as text in blocks by read: R0 with lookups, O lines by d_left, R1 with clusters and overlaps, a dash."""
+    body = ovlp.withColumn("line", overlap_line()).groupBy("rid0").agg(F.sort_array(F.collect_list(F.struct("d_left", "rid1", "strand1", "line"))).alias("lines"), F.count("*").alias("n"))
+    both = stats.join(body, stats["rid"] == body["rid0"], "left")
+    first = F.format_string("R0 %d %d %d", "rid", "lookups", "overlimit")
+    last = F.format_string("R1 %d %d %d", "rid", "clusters", F.coalesce("n", F.lit(0)))
+    return both.select(F.concat_ws("\n", first, F.array_join("lines.line", "\n"), last, F.lit("-")).alias("value"))
+
+
+def layout_lines(layout: DataFrame, edges: DataFrame) -> DataFrame:
+    """Layout paths as text: a header with the tag, then an E line for each step with its offset."""
+    order = Window.partitionBy("component", "path").orderBy("ord")
+    steps = layout.withColumn("next", F.lead("node").over(order)).where("next is not null")
+    placed = steps.join(edges.select(F.col("v").alias("node"), F.col("w").alias("next"), "weight", "off"), ["node", "next"])
+    node = lambda c: (F.shiftright(c, 1), F.col(c) % 2)
+    line = F.format_string("E %d %d %d %d %d %d %d", "path", *node("node"), *node("next"), "off", "weight")
+    made = placed.withColumn("line", line).groupBy("component", "path", "tag").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("steps"))
+    head = F.format_string("%s %d %d", "tag", "path", F.size("steps"))
+    return made.select(F.concat_ws("\n", head, F.array_join("steps.line", "\n")).alias("value"))
+
+
+def unitig_lines(unitigs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Unitigs as text: UTG with both ends, the number of nodes and whether it is kept; an N line for each node."""
+    marked = unitigs.join(kept.select("begin", "second", F.lit(1).alias("tag")).distinct(), ["begin", "second"], "left")
+    node = F.format_string("N %d %d", F.shiftright("node", 1), F.col("node") % 2)
+    made = marked.withColumn("line", node).groupBy("begin", "second").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("nodes"), F.max_by("node", "ord").alias("end"), F.max(F.coalesce("tag", F.lit(0))).alias("tag"))
+    head = F.format_string("UTG %d %d %d %d", "begin", "end", F.size("nodes"), "tag")
+    return made.select(F.concat_ws("\n", head, F.array_join("nodes.line", "\n")).alias("value"))
+
+
+def write_shimmers(mm: DataFrame, path: str, chunks: int) -> None:
+    """The sketch as Parquet, partitioned by the chunk of the read."""
+    mm.withColumn("chunk", F.pmod("rid", F.lit(chunks)).cast("int")).repartition("chunk").write.partitionBy("chunk").parquet(path)
