@@ -2,9 +2,10 @@
 
 Texts are equal when their SHA-256 digests are, after each run of white space became one space.  A mergeable
 Misra-Gries summary (Spark's approx_top_k keeps a frequent-items sketch of a fixed number of counters) names the digests
-that may be frequent; their exact counts and smallest ids are aggregated, and these verified winners, at most
-`counters` rows, are broadcast, so rows of large groups are settled where they are read.  All other groups are smaller
-than rows / counters and go through an ordinary shuffle by digest.
+that may be frequent; their exact counts and smallest ids are aggregated, and these verified winners, at most half of
+`counters` rows, are broadcast, so rows of large groups are settled where they are read.  The summary's error is under
+3.5 / counters of the rows, so every other group is smaller than that share (a thousandth by default) and goes through
+an ordinary shuffle by digest.
 
 Edge cases: a null text counts as empty, so null and empty texts are one group.  Of rows with the same smallest id one
 stays, the others name the same keep_id and are dropped.  A null id sorts after every other id.  An empty table gives an
@@ -25,7 +26,7 @@ def text_digest(text: Column) -> Column:
 
 
 def frequent_digests(rows: DataFrame, counters: int) -> list[str]:
-    """At most counters / 2 digests; every digest of more than a counters-th of the rows, twice over, is among them."""
+    """At most counters / 2 digests, with all that have a larger share of the rows than the summary's error."""
     summary = rows.agg(F.expr(f"approx_top_k(text_sha256, {counters // 2}, {counters})").alias("top")).first()["top"]
     return [x["item"] for x in summary or [] if x["count"] > 1]
 

@@ -75,7 +75,7 @@ def word_frequencies(spaced: DataFrame, vocabulary: list[str]) -> dict[str, int]
     return {r["word"]: r["n"] for r in found.collect()}
 
 
-def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text: str = "text", look_up: int = 6, widest: float = 0.2, enough: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text: str = "text", look_up: int = 12, widest: float = 0.2, enough: float = 0.6) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     look_up: highest-IDF licence words that a file looks up; widest: words in more than this share of the files are not
@@ -89,7 +89,7 @@ def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col
     rare = sorted((w for w in vocabulary if seen.get(w, 0) <= widest * total), key=lambda w: (seen.get(w, 0), w))
     postings = {w: [(k, i) for k, (_, ws, _) in enumerate(entries) for i, x in enumerate(ws) if x == w] for w in rare}
     index = f"map({', '.join(f'{_literal(w)}, array({", ".join(f"struct({k} as t, {i} as p)" for k, i in ps)})' for w, ps in postings.items())})" if postings else "cast(map() as map<string, array<struct<t: int, p: int>>>)"
-    table = "array(" + ", ".join(f"struct({_literal(label)} as label, {_literal(ws)} as words, {_literal(key)} as key, {_key_at(ws, key)} as at)" for label, ws, key in entries) + ")"
+    table = "array(" + ", ".join(f"struct({_literal(label)} as label, {_literal(ws)} as words, {_literal(key)} as key, {key_at(ws, key)} as at)" for label, ws, key in entries) + ")"
     phrases = "array(" + ", ".join(f"struct({_literal(words_of(p))} as words, {_literal(label)} as label)" for p, label in BASE_PHRASES.items()) + ")"
 
     rows = spaced.withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1).cast("long"))
@@ -121,7 +121,7 @@ def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col
     )
 
 
-def _key_at(words: list[str], key: list[str]) -> int:
+def key_at(words: list[str], key: list[str]) -> int:
     return next(i for i in range(len(words)) if words[i : i + len(key)] == key)
 
 

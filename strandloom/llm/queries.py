@@ -10,7 +10,7 @@ from strandloom.llm.decontaminate import find_leaks
 from strandloom.llm.exact_dedup import exact_groups
 from strandloom.llm.html_extract import extract_pages
 from strandloom.llm.jaccard_join import link_groups
-from strandloom.llm.license_scan import scan_licenses
+from strandloom.llm.license_scan import BASE_PHRASES, TEMPLATES, key_at, scan_licenses, words_of
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.quality import score_documents
 from strandloom.llm.sharding import shard_documents
@@ -84,6 +84,56 @@ SQL = {
         SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1""",
 }
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op4_substring_dedup"] = rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+         win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+         least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h),
+         gone AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM win JOIN least USING (h) WHERE m < doc_id),
+         words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+         kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+SQL["op9_jaccard_join"] = rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS ws FROM documents),
+         sh AS MATERIALIZED (
+            SELECT DISTINCT doc_id, md5_number(array_to_string(ws[i:i + 4], ' ')) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)
+            UNION ALL SELECT doc_id, md5_number(array_to_string(ws, ' ')) FROM d WHERE len(ws) BETWEEN 1 AND 4),
+         n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+         both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+         l AS MATERIALIZED (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
+         e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+         reach AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, root FROM reach JOIN e ON e.a = reach.doc_id),
+         c AS (SELECT doc_id, min(root) AS root FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _license_sql() -> str:
+    """The same labels without an index: every place of every key phrase is tried."""
+    words = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    templates = ", ".join(f"('{t.label}', {words(ws := words_of(t.text))}, {words(key := words_of(t.key_phrase))}, {key_at(ws, key)})" for t in TEMPLATES)
+    phrases = ", ".join(f"('{label}', {words(words_of(p))})" for p, label in BASE_PHRASES.items())
+    return rf"""
+    WITH d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_SEPARATORS}'), lambda x: x <> '') AS ws FROM documents),
+         p(label, ps) AS (VALUES {phrases}), t(label, ts, ks, ka) AS (VALUES {templates}),
+         s AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM d),
+         b AS (SELECT doc_id, label, ws, ps, unnest(range(1, len(ws) - len(ps) + 2)) AS i FROM s JOIN p ON contains(line, ' ' || array_to_string(ps, ' ') || ' ')),
+         base AS MATERIALIZED (SELECT doc_id, label, i - 1 AS i FROM b WHERE ws[i:i + len(ps) - 1] = ps),
+         k AS (SELECT doc_id, label, ws, ts, ks, ka, unnest(range(1, len(ws) - len(ks) + 2)) AS i FROM s JOIN t ON contains(line, ' ' || array_to_string(ks, ' ') || ' ')),
+         m AS (SELECT doc_id, label, len(list_filter(range(1, len(ts) + 1), lambda j: i - ka + j - 1 >= 1 AND ws[i - ka + j - 1] = ts[j]))::DOUBLE / len(ts) AS share FROM k WHERE ws[i:i + len(ks) - 1] = ks),
+         own AS (SELECT doc_id, label, share FROM m WHERE share >= 0.6),
+         x AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY doc_id),
+         y AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT * FROM own UNION ALL SELECT doc_id, label, 0.6 FROM base) GROUP BY doc_id)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+    FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+
+SQL["op8_license_scan"] = _license_sql()
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
