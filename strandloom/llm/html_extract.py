@@ -33,6 +33,8 @@ CLASSES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advert\w+|sponsor\w*|promo\w*|banners?|sidebars?|side|menus?|nav\w*|breadcrumbs?|masthead|footers?|cookies?\w*|consent|notices?|notification\w*|alerts?|popups?|modal|newsletter|subscribe\w*|signup|social|shar(?:e|ing)\w*|related|recommend\w*|comments?|commentlist|disqus|replies|responses|paginat\w+|pager|widgets?|toolbar|login)(?:$|[\s_-])",
     re.I,
 )
+#: Class tokens that make even an article no main text.
+MINOR = frozenset("comment comments reply related promo ad advert sponsored teaser sidebar".split())
 HEADS = re.compile(r"(?:^|[\s_-])(?:headers?|site-?head|topbar)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:content|main|post|entry|story|article(?:-?body)?|article-?text)(?:$|[\s_-])", re.I)
 
@@ -48,7 +50,7 @@ class _Lines(HTMLParser):
         self.open: list[tuple[str, bool, int]] = []  # element, skipped, container
         self.parts: list[str] = []
         self.tags, self.containers, self.links, self.plain = 0, 0, 0, False
-        self.strong: set[int] = set()
+        self.strong: dict[int, str] = {}  # containers that are elements made for the main text
 
     def _break(self) -> None:
         if self.parts:
@@ -60,7 +62,7 @@ class _Lines(HTMLParser):
 
     def _skipped(self, tag: str, attrs: list, inside: bool) -> bool:
         if tag in KEPT:
-            return False
+            return tag == "article" and any(name == "class" and value and MINOR & set(value.lower().split()) for name, value in attrs)
         if tag in SKIPPED and not (tag == "header" and inside):
             return True
         for name, value in attrs:
@@ -100,11 +102,11 @@ class _Lines(HTMLParser):
             skip = self._skipped(tag, attrs, container in self.strong)
             if not skip and block:
                 strong = tag in ("article", "main")
-                if (strong and container not in self.strong) or (container == 0 and tag in ("div", "section") and any(n in ("class", "id") and v and CONTENT.search(v) for n, v in attrs)):
+                if (strong and self.strong.get(container) != "article") or (container == 0 and tag in ("div", "section") and any(n in ("class", "id") and v and CONTENT.search(v) for n, v in attrs)):
                     self.containers += 1
                     container = self.containers
                     if strong:
-                        self.strong.add(container)
+                        self.strong[container] = tag
         self.open.append((tag, skip, container))
         self.links += tag == "a"
 
@@ -149,6 +151,7 @@ def main_text(html: str | None) -> str:
         return ""
     chosen = content_lines(np.array([len(t) / n for t, n, _, _ in lines], float))
     strong = {c for _, _, c, _ in lines if c in parser.strong}
+    strong = {c for c in strong if parser.strong[c] == "article"} or strong
     regions = {c for (_, _, c, _), hit in zip(lines, chosen, strict=True) if hit and c}
     regions = (regions & strong) or strong or regions
     if regions:

@@ -27,6 +27,12 @@ def test_short_article_unclosed_elements_and_breaks():
     assert main_text("<nav>a long menu of many words that go on</nav><article><h1>A</h1><p><b>B<br><p>C &amp; d<p>e<li>f<li>g") == "A B C & d e f g"
 
 
+def test_articles_in_main_and_articles_of_comments():
+    page = f"{CHROME}<main><h2>Latest</h2><article><h1>Head</h1>{BODY}</article><article class='comment'><p>I think so too, and at length.</p></article></main>{TAIL}"
+    assert main_text(page) == f"Head {WANT}"
+    assert main_text("<main><article><p>One and two and three.</p></article><article><p>Four and five and six.</p></article></main>") == "One and two and three. Four and five and six."
+
+
 def test_degenerate_pages():
     for page, text in ((None, ""), ("", ""), ("<html></html>", ""), ("just  text\n", "just text"), ("<p>&#65;&eacute", "Aé"), ("<!-- only -->", ""), ("<nav>menu</nav>", "")):
         assert main_text(page) == text
