@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import text_to_sequence
+from strandloom.plans.lineage import cut_lineage
 
 
 def long_reads(reads: DataFrame, min_len: int = 500, seq: str = "seq") -> DataFrame:
@@ -45,7 +46,7 @@ def running_start(reads: DataFrame, length: str = "len", order: str = "rid", pie
 
 def read_catalog(reads: DataFrame, min_len: int = 500) -> DataFrame:
     """(rid, name, len, start) of the reads (name, seq, in order of the column ord) that are long enough."""
-    kept = long_reads(reads, min_len).select("ord", "name", F.length("seq").alias("len"))
+    kept = cut_lineage(long_reads(reads, min_len).select("ord", "name", F.length("seq").alias("len")))
     return running_start(dense_ids(kept, "ord")).select("rid", "name", "len", "start")
 
 

@@ -13,6 +13,7 @@ from strandloom.operators.align import align, oriented
 from strandloom.operators.graph import components
 from strandloom.operators.sketch import shimmer_pairs, shimmers
 from strandloom.params import Params
+from strandloom.plans.lineage import cut_lineage
 
 INTERVAL = ["sid0", "b0", "e0", "sid1", "b1", "e1", "orient"]
 #: Fixed values of the chain rules.
@@ -52,6 +53,7 @@ def interval_query(intervals: DataFrame, queries: DataFrame, sid: str = "sid", b
 
 def sketch_containment(mm: DataFrame, most: int = 10) -> DataFrame:
     """(rid0, rid1, shared, s0, s1, r0, r1): shimmers in common, with multiplicity, by hashes in 2 to `most` places."""
+    mm = cut_lineage(mm)
     used = mm.join(mm.groupBy("mhash").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= most)).select("mhash"), "mhash", "left_semi").select("rid", "mhash")
     a, b = used.toDF("rid0", "mhash"), used.toDF("rid1", "mhash")
     shared = a.join(b, "mhash").where("rid0 <> rid1").groupBy("rid0", "rid1").agg(F.count("*").alias("shared"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.hashing import HASH_BITS, mix
 from strandloom.functions.sequences import base_array
 from strandloom.params import Params
+from strandloom.plans.lineage import spread
 
 MM_SCHEMA = "rid long, pos int, strand int, span int, mhash long"
 _TOP = np.uint64(2**64 - 1)
@@ -101,7 +102,8 @@ def _per_read(reads: DataFrame, arrays, k: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return reads.select(F.col("rid").cast("long"), "seq").mapInArrow(sketch, MM_SCHEMA)
+    rows = reads.select(F.col("rid").cast("long"), "seq")
+    return (rows if rows.isStreaming else spread(rows)).mapInArrow(sketch, MM_SCHEMA)
 
 
 def kmers(reads: DataFrame, k: int) -> DataFrame:

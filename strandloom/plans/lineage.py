@@ -24,3 +24,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             shared = _local[-1].name
         context.setCheckpointDir(shared)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read by fewer tasks than there are (small inputs before costly kernels)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
