@@ -103,6 +103,12 @@ def best_links(edges: DataFrame) -> DataFrame:
     return edges.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
 
 
+def clearest_links(edges: DataFrame) -> DataFrame:
+    """The best edge of each node where edges have dist_c: ones without a difference at markers, then the heaviest."""
+    order = Window.partitionBy("v").orderBy(F.when(F.col("dist_c") == 0, 0).otherwise(1), F.desc("weight"), "w")
+    return edges.withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_")
+
+
 def reciprocal(edges: DataFrame) -> DataFrame:
     """Edges whose reverse, w to v, is in the list too."""
     return edges.join(edges.select(F.col("w").alias("v"), F.col("v").alias("w")).distinct(), ["v", "w"], "left_semi")

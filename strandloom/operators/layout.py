@@ -250,3 +250,43 @@ def cross_edges(links: DataFrame, unitigs: DataFrame) -> DataFrame:
     between = links.join(ends.select(F.col("end").alias("v")).distinct(), "v", "left_semi").join(begins, "w", "left_semi")
     best = between.groupBy("v").agg(F.max_by("w", F.struct("weight", -F.col("w"))).alias("w"), F.max("weight").alias("weight"))
     return best.groupBy("w").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("v"), F.max("weight").alias("weight")).select("v", "w", "weight")
+
+
+def without_repeat_branches(weights: dict[tuple[int, int], int], most: int = 64) -> set[tuple[int, int]]:
+    """Edges that stay when every branching node, in order, keeps its heaviest way out only; twins go together."""
+    left = set(weights)
+    for v in sorted(Walk(list(weights)).branching(most)):
+        ways = sorted(w for x, w in left if x == v)
+        best = max(ways, key=lambda w: (weights[v, w], -w), default=None)
+        for w in ways:
+            if w != best:
+                left -= {(v, w), (w ^ 1, v ^ 1)}
+    return left
+
+
+def without_repeat_bridges(edges: list[tuple[int, int]], most: int = 32, steps: int = 24, longest: int = 8) -> set[tuple[int, int]]:
+    """Edges that stay when short ways between branching nodes go, for each such node the way to the nearest one.
+
+    Nearest: fewest edges, then the smallest read; ways of more than `longest` nodes stay.
+    """
+    left = set(edges)
+    branching = sorted(Walk(edges).branching(most))
+    reads = {v >> 1 for v in branching}
+    for v in branching:
+        walk = Walk(list(left))
+        depth, before, queue = {v: 0}, {}, deque([v])
+        while queue:
+            x = queue.popleft()
+            for w in walk.out[x] if depth[x] <= steps else ():
+                if w not in depth:
+                    depth[w], before[w] = depth[x] + 1, x
+                    queue.append(w)
+        near = min(((d, w) for w, d in depth.items() if w != v and w >> 1 in reads), default=None)
+        if near is None or near[0] + 1 > longest:
+            continue
+        w = near[1]
+        while w in before:
+            x = before[w]
+            left -= {(x, w), (w ^ 1, x ^ 1)}
+            w = x
+    return left

@@ -124,11 +124,12 @@ def parse_intervals(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith("M ")).select(*[parts[i + 1].cast("long" if n.startswith("sid") else "int").alias(n) for i, n in enumerate(names)])
 
 
-def subsequence(contigs: DataFrame, name: str, bgn: int, end: int) -> DataFrame:
-    """Bases [bgn, end) of a contig; no row if it is unknown or too short."""
+def subsequence(contigs: DataFrame, key: str | int, bgn: int, end: int) -> DataFrame:
+    """Bases [bgn, end) of the contig of this name, or of this rid; no row if it is unknown or too short."""
     if bgn < 0 or end < bgn:
         raise ValueError("need 0 <= bgn <= end")
-    return contigs.where((F.col("name") == name) & (F.length("seq") >= end)).select("name", F.substring("seq", bgn + 1, end - bgn).alias("seq"))
+    column = "name" if isinstance(key, str) else "rid"
+    return contigs.where((F.col(column) == key) & (F.length("seq") >= end)).select("name", F.substring("seq", bgn + 1, end - bgn).alias("seq"))
 
 
 def overlap_blocks(ovlp: DataFrame, stats: DataFrame) -> DataFrame:

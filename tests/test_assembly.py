@@ -148,6 +148,7 @@ def test_catalogue_and_writers(spark, tmp_path):
     found = catalog.read_lookup(named, spark.createDataFrame([(9, 0), (3, 1)], "rid long, ord long")).collect()
     assert [r["rid"] for r in found] == [9, 3]
     assert [r["seq"] for r in fastx.subsequence(named, "n1", 2, 6).collect()] == ["GTAC"] and fastx.subsequence(named, "n1", 2, 10**6).collect() == []
+    assert [r["seq"] for r in fastx.subsequence(named, 3, 2, 6).collect()] == ["GTAC"]
     lens = spark.createDataFrame([(x,) for x in (10, 10, 5, 5, 200_000)], "len long")
     assert tuple(catalog.assembly_summary(lens).collect()[0]) == (200_030, 200_000, 200_000, 200_000, 5, 1)
     iv = spark.createDataFrame([(0, 1, 2, 3, 4, 5, 1)], "sid0 long, b0 int, e0 int, sid1 long, b1 int, e1 int, orient int")

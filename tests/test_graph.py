@@ -88,6 +88,24 @@ def test_walks():
     assert layout.paths_of([(0, 2), (2, 4)]) == []
 
 
+def test_repeats_go():
+    chain = lambda start, n: [(start + 2 * i, start + 2 * i + 2) for i in range(n)]
+    one, two = chain(0, 12), chain(100, 12)
+    both = lambda es: es + [(w ^ 1, v ^ 1) for v, w in es]
+    bridged = both(one + two + [(12, 112)])
+    heavy = {e: 1 if e in {(12, 112), (113, 13)} else 9 for e in bridged}
+    assert layout.without_repeat_branches(heavy, 4) == set(both(one + two))
+    assert layout.without_repeat_branches({}, 4) == set() and layout.without_repeat_bridges([]) == set()
+    crossed = both(one + two + [(12, 112), (112, 212), (212, 12)])
+    left = layout.without_repeat_bridges(crossed, 3)
+    assert left < set(crossed) and all((w ^ 1, v ^ 1) in left for v, w in left)
+
+
+def test_clearest_links(spark):
+    df = spark.createDataFrame([(1, 2, 9, 1), (1, 3, 5, 0), (1, 4, 5, 0), (2, 5, 1, 3)], "v long, w long, weight long, dist_c int")
+    assert pairs_of(G.clearest_links(df)) == [(1, 3), (2, 5)]
+
+
 def test_overlap_algebra(spark):
     row = (7, 9, 1, 100, 80, 30, 10, 30, 100, 5, 75, 3, 97.5, 0, 0, 100.0, 0)
     kinds = ", ".join(f"{c} {'double' if c.startswith('idt') else 'int'}" for c in overlaps.COLUMNS)
