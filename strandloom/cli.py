@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import align, candidates, catalog, consensus, contig_map, graph, layout, overlaps, sketch
@@ -27,9 +27,13 @@ def reads_of(spark: SparkSession, listing: str, least_file: int = fastx.LEAST_FI
     paths = fastx.file_list(spark, listing)
     raw = fastx.read_fastx(spark, paths, least_file)
     place = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)])
-    order = F.element_at(place, F.element_at(F.split("file", "/"), -1)).cast("long") * (1 << 40) + F.col("ord")
-    kept = catalog.long_reads(raw.withColumn("ord", order))
-    return catalog.dense_ids(kept, "ord").select("rid", "name", "seq")
+    kept = assemble.cut_lineage(catalog.long_reads(raw.withColumn("file_no", F.element_at(place, F.element_at(F.split("file", "/"), -1)))))
+    # places without large holes: a file's records follow those of the files before it
+    sizes = kept.groupBy("file_no").agg(F.max("ord").alias("last"))
+    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file_no", F.coalesce(F.sum(F.col("last") + 1).over(before), F.lit(0)).alias("offset"))
+    ordered = kept.join(F.broadcast(offsets), "file_no").withColumn("ord", F.col("ord") + F.col("offset"))
+    return catalog.dense_ids(ordered, "ord").select("rid", "name", "seq")
 
 
 def build_sdb(spark, a):

@@ -27,6 +27,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if it is read by fewer tasks than there are (small inputs before costly kernels)."""
+    """df dealt over all cores if it is read from fewer files than there are cores (few tasks, before costly kernels)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(2 * cores) if 0 < len(df.inputFiles()) < cores else df
