@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from strandloom.plans import assemble
 from strandloom.sources import fastx
 
 
+#: What a path may begin with in a listing or in Spark's names.
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*:)?/*"
+
+
 def _params(a: argparse.Namespace) -> Params:
     known = {k: getattr(a, k) for k in ("w", "k", "r", "tol", "min_ec_cov", "bestn") if hasattr(a, k)}
     return Params(**known)
@@ -26,8 +31,9 @@ def reads_of(spark: SparkSession, listing: str, least_file: int = fastx.LEAST_FI
     """Reads (rid, name, seq) of the listed files, long enough, with dense ids in file and record order."""
     paths = fastx.file_list(spark, listing)
     raw = fastx.read_fastx(spark, paths, least_file)
-    place = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], i)])
-    kept = assemble.cut_lineage(catalog.long_reads(raw.withColumn("file_no", F.element_at(place, F.element_at(F.split("file", "/"), -1)))))
+    bare = lambda p: re.sub(SCHEME, "", p)
+    place = F.create_map(*[F.lit(x) for i, p in enumerate(paths) for x in (bare(p), i)])
+    kept = assemble.cut_lineage(catalog.long_reads(raw.withColumn("file_no", F.element_at(place, F.regexp_replace("file", SCHEME, "")))))
     # places without large holes: a file's records follow those of the files before it
     sizes = kept.groupBy("file_no").agg(F.max("ord").alias("last"))
     before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
