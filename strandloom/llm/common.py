@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _tables: list[tuple[SparkSession, str]] = []
 _fallback: dict[str, str] = {}
 
@@ -37,10 +39,18 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    Meanwhile Arrow batches have ARROW_ROWS rows at most, since a row can be a whole text.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/strandloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, str(min(int(before or ARROW_ROWS), ARROW_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
     _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
