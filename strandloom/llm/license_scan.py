@@ -75,18 +75,17 @@ def word_frequencies(spaced: DataFrame, vocabulary: list[str]) -> dict[str, int]
     return {r["word"]: r["n"] for r in found.collect()}
 
 
-def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text: str = "text", look_up: int = 12, widest: float = 0.2, enough: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text: str = "text", look_up: int = 12, enough: float = 0.6) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    look_up: highest-IDF licence words that a file looks up; widest: words in more than this share of the files are not
-    looked up; enough: share of a template's words that an alignment must match.  score is the best such share.
+    look_up: highest-IDF licence words that a file looks up; enough: share of a template's words that an alignment must
+    match.  score is the best such share.
     """
     spaced = docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_string(F.col(f"`{text}`")).alias("norm"))
     entries = [(t.label, words_of(t.text), words_of(t.key_phrase)) for t in templates]
     vocabulary = sorted({w for _, ws, _ in entries for w in ws})
     seen = word_frequencies(spaced, vocabulary)
-    total = max(1, spaced.select(F.count("*").alias("n")).first()["n"])
-    rare = sorted((w for w in vocabulary if seen.get(w, 0) <= widest * total), key=lambda w: (seen.get(w, 0), w))
+    rare = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     postings = {w: [(k, i) for k, (_, ws, _) in enumerate(entries) for i, x in enumerate(ws) if x == w] for w in rare}
     index = f"map({', '.join(f'{_literal(w)}, array({", ".join(f"struct({k} as t, {i} as p)" for k, i in ps)})' for w, ps in postings.items())})" if postings else "cast(map() as map<string, array<struct<t: int, p: int>>>)"
     table = "array(" + ", ".join(f"struct({_literal(label)} as label, {_literal(ws)} as words, {_literal(key)} as key, {key_at(ws, key)} as at)" for label, ws, key in entries) + ")"

@@ -42,3 +42,10 @@ def test_base_matches_brute_force_and_labels(documents):
 def test_empty_table_and_nulls(documents):
     assert scan_licenses(documents([])).collect() == []
     assert tuple(scan_licenses(documents([(None, None)])).collect()[0]) == (None, 0, 0, None, None, "", "", 0.0)
+
+
+def test_a_notice_in_every_third_row_keeps_its_label(documents):
+    notice = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(k, notice if k % 3 == 0 else f"plain words {k}") for k in range(90)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(documents(rows)).collect()}
+    assert got == {k: ("gpl-3", 1.0) if k % 3 == 0 else ("", 0.0) for k, _ in rows}
