@@ -1,9 +1,9 @@
 """Licence scan by a positional rare-token index, in DataFrame functions only.
 
-Words are runs of letters, digits and non-ASCII characters, with A-Z lower-cased.  The templates' words are indexed with
-their positions.  The document frequencies of the templates' vocabulary (a few hundred words) over all documents give
-the IDF; each file looks up its own highest-IDF licence words only, the postings found are intersected by the
-difference of positions, and an alignment counts if the template's mandatory phrase stands at its place in the file.
+Words are runs of letters, digits and non-ASCII characters, with A-Z lower-cased.  The document frequencies of the
+templates' vocabulary (a few hundred words) over all documents give the IDF; the highest-IDF word of each template's
+mandatory phrase is its anchor, indexed with its position.  Each file looks up all anchors it has; every place of one
+names an alignment, which counts if the mandatory phrase stands at its place in the file, so none is missed.
 The rows are never shuffled: index and templates are literals of fixed size.
 
 Edge cases: a null or empty text, or one without words, has n_words 0, no labels and score 0.  Long texts are read
@@ -75,31 +75,34 @@ def word_frequencies(spaced: DataFrame, vocabulary: list[str]) -> dict[str, int]
     return {r["word"]: r["n"] for r in found.collect()}
 
 
-def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text: str = "text", look_up: int = 12, enough: float = 0.6) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[Template] = TEMPLATES, id_col: str = "doc_id", text: str = "text", enough: float = 0.6) -> DataFrame:
     """One row per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    look_up: highest-IDF licence words that a file looks up; enough: share of a template's words that an alignment must
-    match.  score is the best such share.
+    enough: share of a template's words that an alignment must match; score is the best such share.
     """
     spaced = docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_string(F.col(f"`{text}`")).alias("norm"))
     entries = [(t.label, words_of(t.text), words_of(t.key_phrase)) for t in templates]
     vocabulary = sorted({w for _, ws, _ in entries for w in ws})
     seen = word_frequencies(spaced, vocabulary)
-    rare = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
-    postings = {w: [(k, i) for k, (_, ws, _) in enumerate(entries) for i, x in enumerate(ws) if x == w] for w in rare}
+    # the rarest word of each key phrase, with the template's place that it stands at
+    postings = {}
+    for k, (_, ws, key) in enumerate(entries):
+        word = min(key, key=lambda w: (seen.get(w, 0), w))
+        postings.setdefault(word, []).append((k, key_at(ws, key) + key.index(word)))
+    anchors = sorted(postings)
     index = f"map({', '.join(f'{_literal(w)}, array({", ".join(f"struct({k} as t, {i} as p)" for k, i in ps)})' for w, ps in postings.items())})" if postings else "cast(map() as map<string, array<struct<t: int, p: int>>>)"
     table = "array(" + ", ".join(f"struct({_literal(label)} as label, {_literal(ws)} as words, {_literal(key)} as key, {key_at(ws, key)} as at)" for label, ws, key in entries) + ")"
     phrases = "array(" + ", ".join(f"struct({_literal(words_of(p))} as words, {_literal(label)} as label)" for p, label in BASE_PHRASES.items()) + ")"
 
     rows = spaced.withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "), F.lit(""))) + 1).cast("long"))
     padded = F.col("padded")
-    marked = rows.withColumn("padded", F.concat(F.lit(" "), F.lower("norm"), F.lit(" "))).withColumn("hit", _any([padded.contains(f" {w} ") for w in _anchors(entries, rare)] + [padded.contains(f" {p} ") for p in BASE_PHRASES]))
+    marked = rows.withColumn("padded", F.concat(F.lit(" "), F.lower("norm"), F.lit(" "))).withColumn("hit", _any([padded.contains(f" {w} ") for w in anchors] + [padded.contains(f" {p} ") for p in BASE_PHRASES]))
     low = F.translate("norm", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = marked.withColumn("words", F.when(F.col("hit"), F.split(low, " ")))
     # places of the base phrases
     found = found.withColumn("spots", F.expr(f"flatten(transform({phrases}, p -> transform(filter(sequence(0, size(words) - 1), i -> get(words, i) = p.words[0] and slice(words, i + 1, size(p.words)) = p.words), i -> struct(i, p.label as label))))"))
-    # the file's rarest licence words, their places, and the alignments that the postings name
-    found = found.withColumn("look", F.expr(f"slice(array_intersect({_literal(rare) if rare else 'cast(array() as array<string>)'}, words), 1, {look_up})"))
+    # the anchors in the file, their places, and the alignments that the postings name
+    found = found.withColumn("look", F.expr(f"array_intersect({_literal(anchors) if anchors else 'cast(array() as array<string>)'}, words)"))
     found = found.withColumn("places", F.expr("flatten(transform(look, l -> transform(filter(sequence(0, size(words) - 1), i -> words[i] = l), i -> struct(l as w, i as i))))"))
     found = found.withColumn("starts", F.expr(f"array_distinct(flatten(transform(places, x -> transform({index}[x.w], q -> struct(q.t as t, x.i - q.p as at)))))"))
     kept = f"filter(starts, s -> slice(words, greatest(s.at + {table}[s.t].at, 0) + 1, size({table}[s.t].key)) = {table}[s.t].key and s.at + {table}[s.t].at >= 0)"
@@ -129,9 +132,3 @@ def _any(conditions: list[Column]) -> Column:
     for c in conditions:
         out = out | c
     return out
-
-
-def _anchors(entries: list, rare: list[str]) -> list[str]:
-    """The rarest word of each key phrase that files look up: a file without any of them has no alignment to verify."""
-    rank = {w: i for i, w in enumerate(rare)}
-    return sorted({min((w for w in key if w in rank), key=rank.get) for _, _, key in entries if any(w in rank for w in key)})

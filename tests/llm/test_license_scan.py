@@ -2,7 +2,7 @@ import re
 
 from tests.llm.conftest import corpus
 
-from strandloom.llm.license_scan import BASE_PHRASES, SEPARATORS, scan_licenses, words_of
+from strandloom.llm.license_scan import BASE_PHRASES, SEPARATORS, TEMPLATES, scan_licenses, words_of
 
 LINES = {
     "Released under the MIT license.": ("mit", "mit"),
@@ -49,3 +49,12 @@ def test_a_notice_in_every_third_row_keeps_its_label(documents):
     rows = [(k, notice if k % 3 == 0 else f"plain words {k}") for k in range(90)]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan_licenses(documents(rows)).collect()}
     assert got == {k: ("gpl-3", 1.0) if k % 3 == 0 else ("", 0.0) for k, _ in rows}
+
+
+def test_all_notices_of_a_long_file_are_found(documents):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    gpl = "This work is licensed under the GNU General Public License, version 3"
+    every = ". ".join(t.text for t in TEMPLATES)
+    rows = [(1, f"{bsd}. {gpl}."), (2, f"{every}. {'plain words ' * 500}"), *((k, f"gnu general public {k}") for k in range(3, 80))]
+    got = {r["doc_id"]: r["labels"] for r in scan_licenses(documents(rows)).where("doc_id < 3").collect()}
+    assert got == {1: "bsd-3,gpl-3", 2: ",".join(sorted({t.label for t in TEMPLATES}))}
