@@ -10,8 +10,8 @@ whose numbers or names were exchanged.
 
 The benchmark is broadcast if its size, which is checked, allows; else the same joins are shuffled.
 
-Edge cases: null or empty texts and items never match.  Items under 10 words are too short to be evidence and are not
-reported.  Long texts are read whole.  Rows with the same id are told apart by a checksum of the text.  Null ids are
+Edge cases: null or empty texts and items never match.  Items under 10 words must stand in the document whole and with
+the same values; an item of one word leaks in every document that has the word.  Long texts are read whole.  Rows with the same id are told apart by a checksum of the text.  Null ids are
 carried along.  An empty table on either side gives an empty result.
 """
 
@@ -57,6 +57,11 @@ def _value(word: str) -> str:
     return f"translate({word}, '{NAME}{NUMBER}{UNIT}', '')"
 
 
+def _values(words: str) -> str:
+    """SQL for the words of an array with values, without placeholders."""
+    return f"transform({words}, w -> {_value('w')})"
+
+
 def _small(rows: DataFrame) -> bool:
     return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
@@ -64,10 +69,9 @@ def _small(rows: DataFrame) -> bool:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", enough: int = 13) -> DataFrame:
     """One row per leaking document and item: id, item, first_word, matched_words, item_words, slots, text_crc32."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), template_words(F.col(f"`{item_text}`"), True).alias("values"))
-    items = items.withColumn("words", F.expr(_bare("values"))).where(F.size("words") >= LEAST)
-    windows = items.select("item", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {BLOCK}), i -> slice(words, i + 1, {BLOCK}))")).alias("offset", "window"))
-    literal = F.expr(f"size(filter(window, w -> w not in ('{NAME}', '{NUMBER}', '{UNIT}')))")
-    windows = windows.where(literal >= 3).select(F.expr("xxhash64(window)").alias("hash"), "item", "offset")
+    items = items.withColumn("words", F.expr(_bare("values"))).where(F.size("words") > 0)
+    windows = items.where(F.size("words") >= LEAST).select("item", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {BLOCK}), i -> slice(words, i + 1, {BLOCK}))")).alias("offset", "window"))
+    windows = windows.select(F.expr("xxhash64(window)").alias("hash"), "item", "offset")
     known = F.broadcast if _small(windows) else (lambda x: x)
     few = F.broadcast if _small(items) else (lambda x: x)
 
@@ -78,13 +82,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     met = cut.select("doc", "sum", F.posexplode(hashes).alias("block", "hash")).join(known(windows), "hash")
     lines = met.select("doc", "sum", "item", (F.col("block") * BLOCK - F.col("offset")).alias("shift")).distinct()
 
+    # items under LEAST words, looked up whole with their values at every place
+    short = items.where(F.size("words") < LEAST).select("item", F.size("words").alias("n"), F.expr(f"xxhash64({_values('values')})").alias("hash"))
+    lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
+    if lengths:
+        spots = ", ".join(f"if(size(plain) >= {n}, transform(sequence(0, size(plain) - {n}), i -> struct({n} as n, i as shift, xxhash64(slice(plain, i + 1, {n})) as hash)), array())" for n in lengths)
+        plain = rows.select("doc", "sum", template_words(F.col("text"), True).alias("values")).select("doc", "sum", F.expr(_values("values")).alias("plain"))
+        at = plain.select("doc", "sum", F.explode(F.expr(f"concat({spots})")).alias("spot")).select("doc", "sum", "spot.*")
+        lines = lines.unionByName(at.join(F.broadcast(short) if _small(short) else short, ["n", "hash"]).select("doc", "sum", "item", "shift")).distinct()
+
     # the alignments named by the join, on the whole texts
     asked = lines.groupBy("doc", "sum").agg(F.collect_set(F.struct("item", "shift")).alias("asked"))
     full = rows.join(asked.withColumnRenamed("doc", "doc_").withColumnRenamed("sum", "sum_").hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("sum") == F.col("sum_")))
     full = full.select("doc", "sum", "asked", template_words(F.col("text"), True).alias("doc_values")).dropDuplicates(["doc", "sum"])
     each = full.select("doc", "sum", "doc_values", F.explode("asked").alias("line")).select("doc", "sum", "line.item", "line.shift", "doc_values")
     beside = each.join(few(items), "item").withColumn("theirs", F.expr("transform(sequence(0, size(words) - 1), j -> if(shift + j >= 0, get(doc_values, shift + j), null))"))
-    beside = beside.withColumn("equal", F.expr(f"transform({_bare('theirs')}, (w, j) -> coalesce(w = words[j] or {_value('theirs[j]')} = {_value('values[j]')}, false))"))
+    beside = beside.withColumn("equal", F.expr(f"transform({_bare('theirs')}, (w, j) -> coalesce(w = words[j] and size(words) >= {LEAST} or {_value('theirs[j]')} = {_value('values[j]')}, false))"))
     # the longest unbroken run of equal template words
     run = F.expr("aggregate(equal, named_struct('n', 0, 'best', 0, 'end', 0, 'i', 0), (a, e) -> named_struct('n', if(e, a.n + 1, 0), 'best', greatest(a.best, if(e, a.n + 1, 0)), 'end', if(e and a.n + 1 > a.best, a.i + 1, a.end), 'i', a.i + 1))")
     scored = beside.withColumn("run", run).where(F.col("run.best") >= F.least(F.lit(enough), F.size("words")))

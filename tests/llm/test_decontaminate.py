@@ -73,3 +73,10 @@ def test_empty_tables(spark, documents):
     assert find_leaks(documents([]), items(spark)).collect() == []
     assert find_leaks(documents([(1, ITEMS[1][1])]), items(spark, [])).collect() == []
     assert drop_leaks(documents([(1, ITEMS[1][1])]), items(spark, [])).count() == 1
+
+
+def test_items_full_of_slots_and_short_items_are_caught(spark, documents):
+    slots, short = "Compute 3 x 4 + 12 x 5 + 7 x 9 + 2 x 6", "Name the capital of Peru"
+    rows = [(k, f"{'so ' * k}{slots} now") for k in range(5)] + [(5, f"please {short.lower()}, now"), (6, "name the capital of Chad"), (7, "Peru")]
+    got = find_leaks(documents(rows), items(spark, [(0, slots), (1, short), (2, "Add 3 and 4")])).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 0) for k in range(5)} | {(5, 1)}
