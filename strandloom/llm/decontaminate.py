@@ -6,7 +6,8 @@ blocks of 5 template words, each benchmark item into its windows of 5 at every o
 a shared run of 9 words or more always has a block that meets a window.  For the documents that met one, the whole
 alignment is checked: a leak is an unbroken run of `enough` equal template words (or the whole item, if shorter) in which
 each value of a slot in the item has one value in the document and the other way round, which also finds questions
-whose numbers or names were exchanged.
+whose numbers or names were exchanged; or such a run of the same words, whatever the slots around it.  Every run of an
+alignment is tried.
 
 The benchmark is broadcast if its size, which is checked, allows; else the same joins are shuffled.
 
@@ -62,6 +63,24 @@ def _values(words: str) -> str:
     return f"transform({words}, w -> {_value('w')})"
 
 
+def _runs(flags: str, need: str) -> str:
+    """SQL for the unbroken runs (n, at) of at least so many true flags."""
+    breaks = f"concat(array(-1), filter(sequence(0, size({flags}) - 1), j -> not {flags}[j]), array(size({flags})))"
+    return f"filter(transform(array({breaks}), b -> transform(sequence(1, size(b) - 1), k -> struct(b[k] - b[k - 1] - 1 as n, b[k - 1] + 1 as at)))[0], r -> r.n >= {need})"
+
+
+def _slots(run: str) -> str:
+    """SQL for the slots of a run: the item's value and the document's, which may stand there without a placeholder."""
+    pairs = f"filter(arrays_zip(slice(values, {run}.at + 1, {run}.n), slice(theirs, {run}.at + 1, {run}.n)), z -> substr(z['0'], 1, 1) in ('{NAME}', '{NUMBER}', '{UNIT}'))"
+    return f"transform({pairs}, z -> struct(z['0'] as mine, concat(substr(z['0'], 1, 1), {_value("z['1']")}) as theirs))"
+
+
+def _agree(slots: str) -> str:
+    """SQL for whether each value of the item has one in the document and the other way round."""
+    pairs = f"size(array_distinct({slots}))"
+    return f"{pairs} = size(array_distinct({slots}.mine)) and {pairs} = size(array_distinct({slots}.theirs))"
+
+
 def _small(rows: DataFrame) -> bool:
     return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
@@ -98,16 +117,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     each = full.select("doc", "sum", "doc_values", F.explode("asked").alias("line")).select("doc", "sum", "line.item", "line.shift", "doc_values")
     beside = each.join(few(items), "item").withColumn("theirs", F.expr("transform(sequence(0, size(words) - 1), j -> if(shift + j >= 0, get(doc_values, shift + j), null))"))
     beside = beside.withColumn("equal", F.expr(f"transform({_bare('theirs')}, (w, j) -> coalesce(w = words[j] and size(words) >= {LEAST} or {_value('theirs[j]')} = {_value('values[j]')}, false))"))
-    # the longest unbroken run of equal template words
-    run = F.expr("aggregate(equal, named_struct('n', 0, 'best', 0, 'end', 0, 'i', 0), (a, e) -> named_struct('n', if(e, a.n + 1, 0), 'best', greatest(a.best, if(e, a.n + 1, 0)), 'end', if(e and a.n + 1 > a.best, a.i + 1, a.end), 'i', a.i + 1))")
-    scored = beside.withColumn("run", run).where(F.col("run.best") >= F.least(F.lit(enough), F.size("words")))
-    pairs = f"filter(arrays_zip(slice(values, run.end - run.best + 1, run.best), slice(theirs, run.end - run.best + 1, run.best)), z -> substr(z['0'], 1, 1) in ('{NAME}', '{NUMBER}', '{UNIT}'))"
-    scored = scored.withColumn("slots", F.expr(pairs))
-    distinct = "size(array_distinct(slots))"
-    consistent = F.expr(f"{distinct} = size(array_distinct(slots.`0`)) and {distinct} = size(array_distinct(slots.`1`))")
-    best = scored.where(consistent).groupBy("doc", "sum", "item").agg(
-        F.max(F.struct(F.col("run.best").alias("n"), (-(F.col("shift") + F.col("run.end") - F.col("run.best"))).alias("at"), F.size("words").alias("words"), F.size("slots").alias("slots"))).alias("won")
-    )
+    # the longest unbroken run of equal template words whose slots agree, or of the same words
+    beside = beside.withColumn("same", F.expr(f"transform(theirs, (w, j) -> coalesce({_value('w')} = {_value('values[j]')}, false))"))
+    need = f"least({enough}, size(words))"
+    beside = beside.withColumn("runs", F.expr(f"transform({_runs('equal', need)}, r -> struct(r.n as n, r.at as at, {_slots('r')} as slots))"))
+    agreeing = f"filter(runs, r -> {_agree('r.slots')})"
+    verbatim = f"transform({_runs('same', need)}, r -> struct(r.n as n, r.at as at, {_slots('r')} as slots))"
+    ranked = F.expr(f"array_max(transform(concat({agreeing}, {verbatim}), r -> struct(r.n as n, -(shift + r.at) as at, size(words) as words, size(r.slots) as slots)))")
+    best = beside.withColumn("found", ranked).where("found is not null").groupBy("doc", "sum", "item").agg(F.max("found").alias("won"))
     return best.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("won.at")).cast("long").alias("first_word"), F.col("won.n").cast("long").alias("matched_words"), F.col("won.words").cast("long").alias("item_words"), F.col("won.slots").cast("long").alias("slots"), F.col("sum").alias("text_crc32")
     )

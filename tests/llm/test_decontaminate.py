@@ -80,3 +80,15 @@ def test_items_full_of_slots_and_short_items_are_caught(spark, documents):
     rows = [(k, f"{'so ' * k}{slots} now") for k in range(5)] + [(5, f"please {short.lower()}, now"), (6, "name the capital of Chad"), (7, "Peru")]
     got = find_leaks(documents(rows), items(spark, [(0, slots), (1, short), (2, "Add 3 and 4")])).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 0) for k in range(5)} | {(5, 1)}
+
+
+def test_a_verbatim_run_is_caught_though_slots_around_it_disagree(spark, documents):
+    item = "the red train leaves at 9 hours from the very old and quiet station near the river and comes home at 9 hours"
+    two = f"{item} while one of seven small birds sings a song of 5 trees and 4 green hills by the lake"
+    rows = [
+        (1, item[: -len("9 hours")] + "5 hours"),
+        (2, two.replace("train leaves at 9", "train leaves at 8").replace("while one", "while two").replace("5 trees", "6 trees")),
+        (3, item.replace("from the very", "from a very").replace("near the", "by the").replace("comes home at 9", "comes home at 5")),
+    ]
+    got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in find_leaks(documents(rows), items(spark, [(0, item), (1, two)])).collect()}
+    assert got[1, 0] == 21 and {d for d, _ in got} == {1, 2}
