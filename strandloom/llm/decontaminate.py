@@ -1,7 +1,9 @@
 """Benchmark decontamination by templates, in DataFrame functions only.
 
 Words are canonicalised to templates: numbers, units after a number, and names (capitalised words inside a sentence)
-become typed placeholders, other words are lower-cased, punctuation is dropped.  Each document is cut into consecutive
+become typed placeholders, other words are lower-cased, punctuation is dropped.  A capitalised word anywhere else, such
+as at a sentence's or a line's start, is hashed both as a name and as itself, and is a slot in alignments that have no
+leak without it.  Each document is cut into consecutive
 blocks of 5 template words, each benchmark item into its windows of 5 at every offset, and they meet in a hash join, so
 a shared run of 9 words or more always has a block that meets a window.  For the documents that met one, the whole
 alignment is checked: a leak is an unbroken run of `enough` equal template words (or the whole item, if shorter) in which
@@ -28,34 +30,57 @@ BLOCK, LEAST = 5, 10
 MOST_BROADCAST = 200_000
 #: Units that may follow a number.
 UNITS = "%|°|€|\\\\$|£|km|cm|mm|m|kg|mg|g|lb|lbs|oz|ft|mi|mph|kmh|ml|l|s|sec|secs|min|mins|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|kilometers?|kilometres?|miles?|feet|inches|inch|pounds?|dollars?|euros?|cents?|grams?|kilograms?|liters?|litres?|percent|degrees?"
-NAME, NUMBER, UNIT = (chr(0xE000 + k) for k in range(3))
-_WORD_GAP = f"[^\\p{{L}}\\p{{N}}{NAME}-{UNIT}]+"
+#: CAPITAL marks capitalised words that stand where any word may have a capital.
+NAME, NUMBER, UNIT, CAPITAL = (chr(0xE000 + k) for k in range(4))
+_WORD_GAP = f"[^\\p{{L}}\\p{{N}}{NAME}-{CAPITAL}]+"
 
 
 def marked(text: Column, values: bool) -> Column:
-    """The text with placeholders for numbers, units and names, followed by the values or in their stead."""
+    """The text with placeholders, before names and capitalised words, and before numbers and units or in their stead."""
     keep = "$0" if values else ""
     x = F.coalesce(text, F.lit(""))
     digits = F.regexp_replace(x, "[0-9]+", f" {NUMBER}{keep} ")
     digit = "[0-9]+" if values else ""
     units = F.regexp_replace(digits, f"({NUMBER}{digit}) +({UNITS})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}{'$2' if values else ''} ")
     x = F.when(x.rlike("[0-9]"), units).otherwise(x)
-    return F.regexp_replace(x, "\\p{Lu}(?<=[\\p{Ll},;] \\p{Lu})\\p{Ll}+(?!\\p{L})", f"{NAME}{keep}")
+    names = F.regexp_replace(x, "\\p{Lu}(?<=[\\p{Ll},;] \\p{Lu})\\p{Ll}+(?!\\p{L})", f"{NAME}$0")
+    return F.regexp_replace(names, f"(?<![\\p{{L}}{NAME}])\\p{{Lu}}\\p{{Ll}}+(?!\\p{{L}})", f"{CAPITAL}$0")
 
 
 def template_words(text: Column, values: bool = False) -> Column:
-    """Array of template words; values: a slot's value follows its placeholder."""
+    """Array of template words, names with their values; values: those of numbers and units too."""
     return F.array_remove(F.split(F.lower(marked(text, values)), _WORD_GAP), "")
 
 
 def _bare(words: str) -> str:
-    """SQL for the template words of an array with values."""
-    return f"transform({words}, w -> if(substr(w, 1, 1) in ('{NAME}', '{NUMBER}', '{UNIT}'), substr(w, 1, 1), w))"
+    """SQL for the template words of an array with values; words marked by CAPITAL count as literal."""
+    return f"transform({words}, w -> if(substr(w, 1, 1) in ('{NAME}', '{NUMBER}', '{UNIT}'), substr(w, 1, 1), ltrim('{CAPITAL}', w)))"
+
+
+def _wide(words: str) -> str:
+    """SQL for the same with every capitalised word as a name."""
+    return f"transform({words}, w -> if(substr(w, 1, 1) in ('{NAME}', '{CAPITAL}'), '{NAME}', if(substr(w, 1, 1) in ('{NUMBER}', '{UNIT}'), substr(w, 1, 1), w)))"
+
+
+def _template(words: str) -> str:
+    """SQL for the words of an array with values as template_words gives them without: names alone have theirs."""
+    return f"transform({words}, w -> if(substr(w, 1, 1) in ('{NUMBER}', '{UNIT}'), substr(w, 1, 1), w))"
+
+
+def _hashes(words: str) -> str:
+    """SQL for the hashes of a few template words in all forms, each capitalised word as a name and as itself.
+
+    Equal words share the form in which both are themselves, exchanged names the one in which both are names.
+    """
+    name = f"substr(w, 1, 1) in ('{NAME}', '{CAPITAL}')"
+    add = lambda x: f"transform(forms, f -> array_append(f, {x}))"
+    forms = f"aggregate({words}, array(cast(array() as array<string>)), (forms, w) -> if({name}, concat({add(f"'{NAME}'")}, {add('substr(w, 2)')}), {add('w')}))"
+    return f"if(exists({words}, w -> {name}), transform({forms}, f -> xxhash64(f)), array(xxhash64({words})))"
 
 
 def _value(word: str) -> str:
-    """SQL for a word with values without its placeholder: a name at a sentence's start bears none."""
-    return f"translate({word}, '{NAME}{NUMBER}{UNIT}', '')"
+    """SQL for a word with values without its placeholder."""
+    return f"translate({word}, '{NAME}{NUMBER}{UNIT}{CAPITAL}', '')"
 
 
 def _values(words: str) -> str:
@@ -69,10 +94,10 @@ def _runs(flags: str, need: str) -> str:
     return f"filter(transform(array({breaks}), b -> transform(sequence(1, size(b) - 1), k -> struct(b[k] - b[k - 1] - 1 as n, b[k - 1] + 1 as at)))[0], r -> r.n >= {need})"
 
 
-def _slots(run: str) -> str:
+def _slots(run: str, marks: str) -> str:
     """SQL for the slots of a run: the item's value and the document's, which may stand there without a placeholder."""
-    pairs = f"filter(arrays_zip(slice(values, {run}.at + 1, {run}.n), slice(theirs, {run}.at + 1, {run}.n)), z -> substr(z['0'], 1, 1) in ('{NAME}', '{NUMBER}', '{UNIT}'))"
-    return f"transform({pairs}, z -> struct(z['0'] as mine, concat(substr(z['0'], 1, 1), {_value("z['1']")}) as theirs))"
+    pairs = f"filter(arrays_zip(slice(values, {run}.at + 1, {run}.n), slice(theirs, {run}.at + 1, {run}.n)), z -> substr(z['0'], 1, 1) in ({marks}))"
+    return f"transform({pairs}, z -> struct(translate(z['0'], '{CAPITAL}', '{NAME}') as mine, concat(if(substr(z['0'], 1, 1) in ('{NAME}', '{CAPITAL}'), '{NAME}', substr(z['0'], 1, 1)), {_value("z['1']")}) as theirs))"
 
 
 def _agree(slots: str) -> str:
@@ -89,16 +114,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per leaking document and item: id, item, first_word, matched_words, item_words, slots, text_crc32."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), template_words(F.col(f"`{item_text}`"), True).alias("values"))
     items = items.withColumn("words", F.expr(_bare("values"))).where(F.size("words") > 0)
-    windows = items.where(F.size("words") >= LEAST).select("item", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {BLOCK}), i -> slice(words, i + 1, {BLOCK}))")).alias("offset", "window"))
-    windows = windows.select(F.expr("xxhash64(window)").alias("hash"), "item", "offset")
+    items = items.withColumn("wide", F.expr(_wide("values"))).withColumn("forms", F.expr(_template("values")))
+    windows = items.where(F.size("words") >= LEAST).select("item", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {BLOCK}), i -> slice(forms, i + 1, {BLOCK}))")).alias("offset", "window"))
+    windows = windows.select(F.explode(F.expr(_hashes("window"))).alias("hash"), "item", "offset")
+    items = items.drop("forms")
     known = F.broadcast if _small(windows) else (lambda x: x)
     few = F.broadcast if _small(items) else (lambda x: x)
 
     check = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), check.alias("sum"), F.col(f"`{text}`").alias("text"))
     cut = rows.select("doc", "sum", template_words(F.col("text")).alias("words"))
-    hashes = F.expr(f"if(size(words) >= {BLOCK}, transform(sequence(0, size(words) div {BLOCK} - 1), i -> xxhash64(slice(words, {BLOCK} * i + 1, {BLOCK}))), array())")
-    met = cut.select("doc", "sum", F.posexplode(hashes).alias("block", "hash")).join(known(windows), "hash")
+    parts = F.expr(f"if(size(words) >= {BLOCK}, transform(sequence(0, size(words) div {BLOCK} - 1), i -> slice(words, {BLOCK} * i + 1, {BLOCK})), array())")
+    met = cut.select("doc", "sum", F.posexplode(parts).alias("block", "part")).select("doc", "sum", "block", F.explode(F.expr(_hashes("part"))).alias("hash")).join(known(windows), "hash")
     lines = met.select("doc", "sum", "item", (F.col("block") * BLOCK - F.col("offset")).alias("shift")).distinct()
 
     # items under LEAST words, looked up whole with their values at every place
@@ -117,14 +144,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     each = full.select("doc", "sum", "doc_values", F.explode("asked").alias("line")).select("doc", "sum", "line.item", "line.shift", "doc_values")
     beside = each.join(few(items), "item").withColumn("theirs", F.expr("transform(sequence(0, size(words) - 1), j -> if(shift + j >= 0, get(doc_values, shift + j), null))"))
     beside = beside.withColumn("equal", F.expr(f"transform({_bare('theirs')}, (w, j) -> coalesce(w = words[j] and size(words) >= {LEAST} or {_value('theirs[j]')} = {_value('values[j]')}, false))"))
-    # the longest unbroken run of equal template words whose slots agree, or of the same words
+    # the longest unbroken run of equal template words whose slots agree, or of the same words; where there is none,
+    # the longest one with all capitalised words as names
     beside = beside.withColumn("same", F.expr(f"transform(theirs, (w, j) -> coalesce({_value('w')} = {_value('values[j]')}, false))"))
+    beside = beside.withColumn("close", F.expr(f"transform({_wide('theirs')}, (w, j) -> coalesce(w = wide[j] and size(words) >= {LEAST} or same[j], false))"))
     need = f"least({enough}, size(words))"
-    beside = beside.withColumn("runs", F.expr(f"transform({_runs('equal', need)}, r -> struct(r.n as n, r.at as at, {_slots('r')} as slots))"))
-    agreeing = f"filter(runs, r -> {_agree('r.slots')})"
-    verbatim = f"transform({_runs('same', need)}, r -> struct(r.n as n, r.at as at, {_slots('r')} as slots))"
-    ranked = F.expr(f"array_max(transform(concat({agreeing}, {verbatim}), r -> struct(r.n as n, -(shift + r.at) as at, size(words) as words, size(r.slots) as slots)))")
-    best = beside.withColumn("found", ranked).where("found is not null").groupBy("doc", "sum", "item").agg(F.max("found").alias("won"))
+    for name, flags, marks in (("runs", "equal", f"'{NAME}', '{NUMBER}', '{UNIT}'"), ("others", "close", f"'{NAME}', '{NUMBER}', '{UNIT}', '{CAPITAL}'")):
+        beside = beside.withColumn(name, F.expr(f"transform({_runs(flags, need)}, r -> struct(r.n as n, r.at as at, {_slots('r', marks)} as slots))"))
+    verbatim = f"transform({_runs('same', need)}, r -> struct(r.n as n, r.at as at, {_slots('r', f"'{NAME}', '{NUMBER}', '{UNIT}'")} as slots))"
+    ranked = lambda found, rank: f"transform({found}, r -> struct({rank} as rank, r.n as n, -(shift + r.at) as at, size(words) as words, size(r.slots) as slots))"
+    strict = ranked(f"concat(filter(runs, r -> {_agree('r.slots')}), {verbatim})", 1)
+    wide = ranked(f"filter(others, r -> {_agree('r.slots')})", 0)
+    best = beside.withColumn("found", F.expr(f"array_max(concat({strict}, {wide}))")).where("found is not null").groupBy("doc", "sum", "item").agg(F.max("found").alias("won"))
     return best.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("won.at")).cast("long").alias("first_word"), F.col("won.n").cast("long").alias("matched_words"), F.col("won.words").cast("long").alias("item_words"), F.col("won.slots").cast("long").alias("slots"), F.col("sum").alias("text_crc32")
     )

@@ -92,3 +92,17 @@ def test_a_verbatim_run_is_caught_though_slots_around_it_disagree(spark, documen
     ]
     got = {(r["doc_id"], r["item_id"]): r["matched_words"] for r in find_leaks(documents(rows), items(spark, [(0, item), (1, two)])).collect()}
     assert got[1, 0] == 21 and {d for d, _ in got} == {1, 2}
+
+
+def test_names_at_starts_of_sentences_and_lines_are_slots(spark, documents):
+    item = "Tom has 3 red apples and 5 green pears. Tom eats 2 apples and buys 4 plums. Tom gives Mary 6 nuts."
+    told = item.replace("Tom", "Anna").replace("Mary", "Paul")
+    rows = [
+        (1, told),
+        (2, told.replace("5", "8").replace(". ", ".\n  ")),
+        (3, told.replace("gives ", "gives\n")),
+        (4, item.replace("Tom gives", "Ben gives").replace("Tom eats", "Anna eats").replace("Mary", "Paul")),
+        (5, item.lower()),
+    ]
+    got = find_leaks(documents(rows), items(spark, [(0, item)])).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 5}
