@@ -7,7 +7,9 @@ for a word.  A word's hash is a polynomial over random 64-bit byte values, mixed
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -18,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: White space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
-ARROW_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Arrow batches have at most so many rows and bytes, since a row can be a whole text.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 _tables: list[tuple[SparkSession, str]] = []
+_open = threading.local()
 _fallback: dict[str, str] = {}
 
 
@@ -38,32 +41,57 @@ def work_dir(spark: SparkSession) -> str:
     return _fallback["dir"]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing.
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, once, where they aren't bounded closer already."""
+    for name, most in ARROW.items():
+        if int(spark.conf.get(name).rstrip("b")) > most:
+            spark.conf.set(name, str(most))
 
-    Meanwhile Arrow batches have ARROW_ROWS rows at most, since a row can be a whole text.
-    """
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{work_dir(spark)}/strandloom-{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH, None)
-    spark.conf.set(_BATCH, str(min(int(before or ARROW_ROWS), ARROW_ROWS)))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(_BATCH) if before is None else spark.conf.set(_BATCH, before)
-    _tables.append((spark, path))
+    (_open.tables[-1] if getattr(_open, "tables", None) else _tables).append((spark, path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class scratch:
+    """A block whose tables are deleted at its end, but for those given to keep(), which the block around it owns.
+
+    Only tables that this thread writes meanwhile are meant, so queries beside it keep theirs.
+    """
+
+    def __enter__(self) -> "scratch":
+        if not hasattr(_open, "tables"):
+            _open.tables = []
+        _open.tables.append([])
+        return self
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        own = _open.tables[-1].pop()
+        (_open.tables[-2] if len(_open.tables) > 1 else _tables).append(own)
+        return out
+
+    def __exit__(self, *error) -> None:
+        for table in _open.tables.pop():
+            _delete(*table)
+
+
 def clear_work() -> None:
     """Delete the tables that materialize() wrote; call it when the results built on them have been stored."""
     while _tables:
-        spark, path = _tables.pop()
-        jvm = spark.sparkContext._jvm
-        if jvm is None:
-            continue
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(*_tables.pop())
 
 
 def at_exit() -> None:
@@ -75,6 +103,16 @@ def at_exit() -> None:
 
 atexit.register(at_exit)
 
+
+def release() -> None:
+    """Give freed memory back to the system, so that idle Python workers hold little beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 

@@ -11,11 +11,13 @@ each value of a slot in the item has one value in the document and the other way
 whose numbers or names were exchanged; or such a run of the same words, whatever the slots around it.  Every run of an
 alignment is tried.
 
-The benchmark is broadcast if its size, which is checked, allows; else the same joins are shuffled.
+The benchmark is broadcast if its size, which is checked, allows; else the same joins are shuffled.  Blocks carry the
+places of their rows, and the texts of the rows that met a window are fetched by place, so no text is shuffled to find
+or to drop one.
 
 Edge cases: null or empty texts and items never match.  Items under 10 words must stand in the document whole and with
-the same values; an item of one word leaks in every document that has the word.  Long texts are read whole.  Rows with the same id are told apart by a checksum of the text.  Null ids are
-carried along.  An empty table on either side gives an empty result.
+the same values; an item of one word leaks in every document that has the word.  Long texts are read whole.  Rows are told apart by their places, so repeated rows have lines of
+their own.  Null ids are carried along.  An empty table on either side gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import free_names
+from strandloom.llm.common import free_names, materialize
+from strandloom.llm.places import choose, placed
 
 BLOCK, LEAST = 5, 10
 #: A table of so many rows at most is broadcast.
@@ -110,8 +113,8 @@ def _small(rows: DataFrame) -> bool:
     return rows.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", enough: int = 13) -> DataFrame:
-    """One row per leaking document and item: id, item, first_word, matched_words, item_words, slots, text_crc32."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_col: str, item_text: str, enough: int) -> DataFrame:
+    """doc, sum (text checksum), file, row, item, won (the best run) of each row and item that leaks into it."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), template_words(F.col(f"`{item_text}`"), True).alias("values"))
     items = items.withColumn("words", F.expr(_bare("values"))).where(F.size("words") > 0)
     items = items.withColumn("wide", F.expr(_wide("values"))).withColumn("forms", F.expr(_template("values")))
@@ -121,27 +124,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     known = F.broadcast if _small(windows) else (lambda x: x)
     few = F.broadcast if _small(items) else (lambda x: x)
 
-    check = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), check.alias("sum"), F.col(f"`{text}`").alias("text"))
-    cut = rows.select("doc", "sum", template_words(F.col("text")).alias("words"))
+    file, row = free_names(docs, "file", "row")
+    rows = placed(docs, file, row).select(F.col(f"`{id_col}`").alias("doc"), F.col(file).alias("file"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
+    cut = rows.select("file", "row", template_words(F.col("text")).alias("words"))
     parts = F.expr(f"if(size(words) >= {BLOCK}, transform(sequence(0, size(words) div {BLOCK} - 1), i -> slice(words, {BLOCK} * i + 1, {BLOCK})), array())")
-    met = cut.select("doc", "sum", F.posexplode(parts).alias("block", "part")).select("doc", "sum", "block", F.explode(F.expr(_hashes("part"))).alias("hash")).join(known(windows), "hash")
-    lines = met.select("doc", "sum", "item", (F.col("block") * BLOCK - F.col("offset")).alias("shift")).distinct()
+    met = cut.select("file", "row", F.posexplode(parts).alias("block", "part")).select("file", "row", "block", F.explode(F.expr(_hashes("part"))).alias("hash")).join(known(windows), "hash")
+    lines = met.select("file", "row", "item", (F.col("block") * BLOCK - F.col("offset")).alias("shift")).distinct()
 
     # items under LEAST words, looked up whole with their values at every place
     short = items.where(F.size("words") < LEAST).select("item", F.size("words").alias("n"), F.expr(f"xxhash64({_values('values')})").alias("hash"))
     lengths = sorted(r["n"] for r in short.select("n").distinct().collect())
     if lengths:
         spots = ", ".join(f"if(size(plain) >= {n}, transform(sequence(0, size(plain) - {n}), i -> struct({n} as n, i as shift, xxhash64(slice(plain, i + 1, {n})) as hash)), array())" for n in lengths)
-        plain = rows.select("doc", "sum", template_words(F.col("text"), True).alias("values")).select("doc", "sum", F.expr(_values("values")).alias("plain"))
-        at = plain.select("doc", "sum", F.explode(F.expr(f"concat({spots})")).alias("spot")).select("doc", "sum", "spot.*")
-        lines = lines.unionByName(at.join(F.broadcast(short) if _small(short) else short, ["n", "hash"]).select("doc", "sum", "item", "shift")).distinct()
-
-    # the alignments named by the join, on the whole texts
-    asked = lines.groupBy("doc", "sum").agg(F.collect_set(F.struct("item", "shift")).alias("asked"))
-    full = rows.join(asked.withColumnRenamed("doc", "doc_").withColumnRenamed("sum", "sum_").hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("doc_")) & (F.col("sum") == F.col("sum_")))
-    full = full.select("doc", "sum", "asked", template_words(F.col("text"), True).alias("doc_values")).dropDuplicates(["doc", "sum"])
-    each = full.select("doc", "sum", "doc_values", F.explode("asked").alias("line")).select("doc", "sum", "line.item", "line.shift", "doc_values")
+        plain = rows.select("file", "row", template_words(F.col("text"), True).alias("values")).select("file", "row", F.expr(_values("values")).alias("plain"))
+        at = plain.select("file", "row", F.explode(F.expr(f"concat({spots})")).alias("spot")).select("file", "row", "spot.*")
+        lines = lines.unionByName(at.join(F.broadcast(short) if _small(short) else short, ["n", "hash"]).select("file", "row", "item", "shift")).distinct()
+
+    # the alignments named by the join, on the whole texts of the rows that it met alone
+    asked = materialize(lines.groupBy("file", "row").agg(F.collect_set(F.struct("item", "shift")).alias("asked")), "asked")
+    full = choose(rows, "file", "row", asked, tag="met").join(F.broadcast(asked) if _small(asked) else asked.hint("shuffle_hash"), ["file", "row"])
+    check = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    full = full.select("doc", check.alias("sum"), "file", "row", "asked", template_words(F.col("text"), True).alias("doc_values"))
+    keys = ["doc", "sum", "file", "row"]
+    each = full.select(*keys, "doc_values", F.explode("asked").alias("line")).select(*keys, "line.item", "line.shift", "doc_values")
     beside = each.join(few(items), "item").withColumn("theirs", F.expr("transform(sequence(0, size(words) - 1), j -> if(shift + j >= 0, get(doc_values, shift + j), null))"))
     beside = beside.withColumn("equal", F.expr(f"transform({_bare('theirs')}, (w, j) -> coalesce(w = words[j] and size(words) >= {LEAST} or {_value('theirs[j]')} = {_value('values[j]')}, false))"))
     # the longest unbroken run of equal template words whose slots agree, or of the same words; where there is none,
@@ -155,7 +160,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ranked = lambda found, rank: f"transform({found}, r -> struct({rank} as rank, r.n as n, -(shift + r.at) as at, size(words) as words, size(r.slots) as slots))"
     strict = ranked(f"concat(filter(runs, r -> {_agree('r.slots')}), {verbatim})", 1)
     wide = ranked(f"filter(others, r -> {_agree('r.slots')})", 0)
-    best = beside.withColumn("found", F.expr(f"array_max(concat({strict}, {wide}))")).where("found is not null").groupBy("doc", "sum", "item").agg(F.max("found").alias("won"))
+    return beside.withColumn("found", F.expr(f"array_max(concat({strict}, {wide}))")).where("found is not null").groupBy(*keys, "item").agg(F.max("found").alias("won"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", enough: int = 13) -> DataFrame:
+    """One row per leaking document and item: id, item, first_word, matched_words, item_words, slots, text_crc32."""
+    best = _leaks(docs, benchmark, id_col, text, item_col, item_text, enough)
     return best.select(
         F.col("doc").alias(id_col), F.col("item").alias(item_col), (-F.col("won.at")).cast("long").alias("first_word"), F.col("won.n").cast("long").alias("matched_words"), F.col("won.words").cast("long").alias("item_words"), F.col("won.slots").cast("long").alias("slots"), F.col("sum").alias("text_crc32")
     )
@@ -163,7 +173,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", enough: int = 13) -> DataFrame:
     """docs without those in which an item leaks."""
-    leak_id, leak_sum = free_names(docs, "leak_id", "leak_sum")
-    leaks = find_leaks(docs, benchmark, id_col, text, enough=enough).select(F.col(id_col).alias(leak_id), F.col("text_crc32").alias(leak_sum)).distinct()
-    check = F.crc32(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"))
-    return docs.join(leaks.hint("shuffle_hash"), F.col(f"`{id_col}`").eqNullSafe(F.col(leak_id)) & (check == F.col(leak_sum)), "left_anti")
+    file, row = free_names(docs, "file", "row")
+    whole = placed(docs, file, row)
+    leaks = _leaks(whole, benchmark, id_col, text, "item_id", "text", enough).select(F.col("file").alias(file), F.col("row").alias(row)).distinct()
+    return choose(whole, file, row, leaks, drop=True).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -14,10 +14,11 @@ empty result; columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import SPACE, free_names, materialize
+from strandloom.llm.places import choose, placed
 
 
 def text_digest(text: Column) -> Column:
@@ -31,27 +32,37 @@ def frequent_digests(rows: DataFrame, counters: int) -> list[str]:
     return [x["item"] for x in summary or [] if x["count"] > 1]
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = 4096) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256."""
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text)).alias("text_sha256"), F.monotonically_increasing_id().alias("row_no")), "digests")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_no")
+def _grouped(docs: DataFrame, id_col: str, text: str, counters: int) -> DataFrame:
+    """doc_id, text_sha256, file, row, first (the order of the row that stays), group_size."""
+    file, row = free_names(docs, "file", "row")
+    whole = placed(docs, file, row)
+    rows = whole.select(F.col(f"`{id_col}`").alias("doc_id"), text_digest(F.col(f"`{text}`")).alias("text_sha256"), F.col(file).alias("file"), F.col(row).alias("row"))
+    rows = materialize(rows, "digests")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "file", "row")
     frequent = rows.sparkSession.createDataFrame([(x,) for x in frequent_digests(rows, counters)], "text_sha256 string")
-    winners = rows.join(F.broadcast(frequent), "text_sha256").groupBy("text_sha256").agg(F.min(order).alias("first"), F.count("*").alias("group_size"))
-    winners = materialize(winners, "winners")
+    of_groups = (F.min(order).alias("first"), F.count("*").alias("group_size"))
+    winners = materialize(rows.join(F.broadcast(frequent), "text_sha256").groupBy("text_sha256").agg(*of_groups), "winners")
     hot = rows.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select("*", F.min(order).over(group).alias("first"), F.count("*").over(group).alias("group_size"))
-    both = hot.select("doc_id", "row_no", "first", "group_size", "text_sha256").unionByName(rest.select("doc_id", "row_no", "first", "group_size", "text_sha256"))
-    kept = (F.col("row_no") == F.col("first.row_no")).alias("kept")
-    return both.select(F.col("doc_id").alias(id_col), F.col("first.doc_id").alias("keep_id"), "group_size", kept, "text_sha256")
+    rest = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    return hot.unionByName(rest.join(rest.groupBy("text_sha256").agg(*of_groups), "text_sha256"))
+
+
+def _stays():
+    return (F.col("file") == F.col("first.file")) & (F.col("row") == F.col("first.row"))
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = 4096) -> DataFrame:
+    """One row per document: id, keep_id, group_size, kept, text_sha256."""
+    both = _grouped(docs, id_col, text, counters)
+    return both.select(F.col("doc_id").alias(id_col), F.col("first.doc_id").alias("keep_id"), "group_size", _stays().alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", counters: int = 4096) -> DataFrame:
-    """docs with one row of each group of equal texts, the one with the smallest id (of rows that share it, any one)."""
-    groups = exact_groups(docs, id_col, text, counters)
-    digest, keep_id, keep_digest = free_names(docs, "digest", "keep_id", "keep_digest")
-    keep = groups.where("kept").select(F.col(id_col).alias(keep_id), F.col("text_sha256").alias(keep_digest)).hint("shuffle_hash")
-    marked = docs.withColumn(digest, text_digest(F.col(f"`{text}`")))
-    kept = marked.join(keep, (F.col(digest) == F.col(keep_digest)) & F.col(f"`{id_col}`").eqNullSafe(F.col(keep_id)), "left_semi")
-    again = groups.where(F.col(id_col).eqNullSafe(F.col("keep_id")) & ~F.col("kept")).head(1)
-    return (kept.dropDuplicates([id_col, digest]) if again else kept).drop(digest)
+    """docs with one row of each group of equal texts, the one with the smallest id (of rows that share it, the first).
+
+    Digests alone are shuffled; the texts of copies, of large groups and small, are left out where they are read.
+    """
+    file, row = free_names(docs, "file", "row")
+    whole = placed(docs, file, row)
+    copies = _grouped(whole, id_col, text, counters).where(~_stays()).select(F.col("file").alias(file), F.col("row").alias(row))
+    return choose(whole, file, row, copies, drop=True).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -55,7 +55,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_groups(_table(spark, sf_dir, "documents")).drop("sum")
+    return link_groups(_table(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
