@@ -9,13 +9,15 @@ last open window of a partition is cut into sequences of power-of-two lengths, w
 Nothing is shuffled, memory is bounded by a shard, and a lost task is simply repeated over the same rows, with the same
 sequence ids, which hold the partition's number.
 
-Edge cases: a null or empty text is its end token alone.  Very long texts are tokenised whole and cut.  Repeated rows
+Edge cases: a null or empty text is its end token alone.  Very long texts are tokenised whole and cut; the
+string of a special token in a text is that token.  Repeated rows
 are packed one by one; their pieces differ by sequence only.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -25,25 +27,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import bound_batches
+
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
 class Tokens:
-    """Ids of a public byte-level vocabulary; its ranks file gives the same ids as its JSON file, several times faster."""
+    """Ids of a public byte-level vocabulary; its ranks file gives the same ids as its JSON file, several times faster.
+
+    The strings of the JSON file's special tokens become these tokens wherever they stand in a text, as they do by the
+    tokenizer's defaults; with plain they are ordinary text.
+    """
 
-    def __init__(self, name: str = "byte_bpe_50k"):
+    def __init__(self, name: str = "byte_bpe_50k", plain: bool = False):
         import public_tokenizers as public
         import tiktoken
 
         with open(public.path(f"{name}.tiktoken"), "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.path, self.exact = public.path(f"{name}.json"), None
+        self.path, self.exact, self.plain = public.path(f"{name}.json"), None, plain
+        with open(self.path, encoding="utf-8") as file:
+            special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.fast = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.allowed = set() if plain else set(special)
 
     def __call__(self, text: str) -> np.ndarray:
         try:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+            return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype(np.uint32, copy=False)
         except BaseException as error:  # its regex engine gives up on some texts, such as a million spaces
             if isinstance(error, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
@@ -51,7 +62,7 @@ class Tokens:
 
             if self.exact is None:
                 self.exact = Tokenizer.from_file(self.path)
-                self.exact.encode_special_tokens = True
+                self.exact.encode_special_tokens = self.plain
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
@@ -166,8 +177,12 @@ class Packer:
         self.pool = []
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2048, shard: int = 512, end_token: int = 1, vocabulary: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2048, shard: int = 512, end_token: int = 1, vocabulary: str = "byte_bpe_50k", with_ids: bool = False, plain: bool = False) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
+
+    plain: the strings of special tokens in a text are ordinary text.
+    """
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc", pa.int64()), *_SCHEMA] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
     types = f"doc long, {PIECES}" + (", ids array<long>" if with_ids else "")
 
@@ -176,7 +191,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(vocabulary), np.array([end_token], np.uint32)
+        tokens, end = Tokens(vocabulary, plain), np.array([end_token], np.uint32)
         packer = Packer(window, shard, TaskContext.get().partitionId() << 40, with_ids)
         for batch in batches:
             for doc, value in zip(batch.column(0), batch.column(1), strict=True):

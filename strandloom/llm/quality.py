@@ -203,8 +203,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int
                 lists = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x, k)) for x, k in ((feature, pa.int32()), (value, pa.float32()))]
                 yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), *lists], names=["pattern", "feature", "value"])
 
-    share = min(1.0, sample / max(1, int(count.sum())))
-    chosen = rows.where(F.abs(F.xxhash64("id", "text", F.lit(17)) % 1_000_000) < int(share * 1_000_000) + 1).limit(sample)
+    # rows whose 64-bit hash is under a threshold; a little more than the sample, of which the smallest hashes stay
+    share = min(1.0, (sample + 6 * sample**0.5) / max(1, int(count.sum())))
+    hashed = rows.withColumn("hash", F.xxhash64("id", "text", F.lit(17)))
+    chosen = hashed.where(F.col("hash") <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63))).orderBy("hash").limit(sample)
     got = chosen.select("text").mapInArrow(featurise, "pattern int, feature array<int>, value array<float>").toArrow()
     feature, value = (got.column(c).combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.float32())) for c in ("feature", "value"))
     doc = np.repeat(np.arange(got.num_rows), np.diff(feature.offsets.to_numpy()) if got.num_rows else 0)

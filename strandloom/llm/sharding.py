@@ -1,12 +1,14 @@
 """Sharding by jump consistent hashing: a row's shard follows from its key and the number of shards alone.
 
 No ring table is kept, and when shards are appended only the rows that the new shards take move.  A row's slot is its
-gapless place in its shard, in order of key: rows are numbered in small pieces of a shard by a window, and the pieces
-are offset by a running sum over their counts, so no task holds a shard.
+gapless place in its shard, in order of key (null first), size and checksum: rows are sorted in ranges of shard and key,
+a few per shard or many, and the ranges' parts of a shard are offset by a running sum over their counts, so no task holds
+a shard, and a key with very many rows is in several ranges.
 
 Edge cases: a null key counts as 0 (such rows share a shard), a null text has no bytes, and
 repeated rows get slots of their own.  Ties are broken by size and checksum, so equal rows are interchangeable.
-An empty table gives an empty result; columns other than the key and the text are not read.
+An empty table gives an empty result; columns other than the key and the text are not read.  A column of the result
+that the key is called like gets an underscore more.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import materialize
+from strandloom.llm.common import free_names, materialize
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -50,20 +52,24 @@ def shard_of(key: Column, shards: int) -> Column:
 def stable_key(docs: DataFrame, key: str) -> Column:
     """A 64-bit key: integers themselves (null: 0), other types by their hash."""
     integral = dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
-    return F.coalesce(F.col(key).cast("long"), F.lit(0)) if integral else F.xxhash64(key)
-
-
-def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", piece_rows: int = 10_000) -> DataFrame:
-    """Key, size, text_crc32, law, shard, slot and grown_shard (the shard with one shard more) of each row."""
-    bytes_ = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key).alias(key), (F.octet_length(bytes_).cast("long") + 16).alias("size"), F.crc32(bytes_).alias("text_crc32"), stable_key(docs, key).alias("hash_key"))
-    rows = materialize(rows.select("*", shard_of(F.col("hash_key"), shards).alias("shard"), shard_of(F.col("hash_key"), shards + 1).alias("grown_shard")), "shards")
-    pieces = max(1, -(-rows.count() // (shards * piece_rows)))
-    rows = rows.withColumn("piece", F.pmod(F.xxhash64(key, "size", "text_crc32", F.lit(7)), F.lit(pieces)).cast("int") if pieces > 1 else F.lit(0))
-    counts = rows.groupBy("shard", "piece").agg(F.count("*").alias("n"))
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(0)) if integral else F.xxhash64(F.col(f"`{key}`"))
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", piece_rows: int = 25_000, most_pieces: int = 20_000) -> DataFrame:
+    """Key, size, text_crc32, law, shard, slot and grown_shard (the shard with one shard more) of each row.
+
+    piece_rows, most_pieces: rows that a sorted range has about, as far as so many ranges do; slots don't depend on them.
+    """
+    bytes_ = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), (F.octet_length(bytes_).cast("long") + 16).alias("size"), F.crc32(bytes_).alias("text_crc32"), stable_key(docs, key).alias("hash_key"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    rows = materialize(rows.select("*", shard_of(F.col("hash_key"), shards).alias("shard"), shard_of(F.col("hash_key"), shards + 1).alias("grown_shard")).drop("hash_key"), "shards")
+    pieces = min(most_pieces, max(1, -(-rows.count() // piece_rows)))
+    order = [F.col("shard"), F.col("key").asc_nulls_first(), F.col("size"), F.col("text_crc32"), F.col("tie")]
+    ranges = rows.repartitionByRange(pieces, *order).sortWithinPartitions(*order)
+    ranges = materialize(ranges.select("*", F.spark_partition_id().alias("piece"), F.monotonically_increasing_id().alias("place")).drop("tie"), "ranges")
+    counts = ranges.groupBy("shard", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     before = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = Window.partitionBy("shard", "piece").orderBy(F.col(key).asc_nulls_first(), "size", "text_crc32")
-    numbered = rows.withColumn("place", F.row_number().over(place)).join(offsets, ["shard", "piece"])
-    slot = (F.col("offset") + F.col("place") - 1).cast("long").alias("slot")
-    return numbered.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    offsets = counts.select("shard", "piece", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    numbered = ranges.join(F.broadcast(offsets), ["shard", "piece"])
+    size, crc, law, shard, slot, grown = free_names(docs.select(F.col(f"`{key}`")), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return numbered.select(F.col("key").alias(key), F.col("size").alias(size), F.col("text_crc32").alias(crc), F.lit("key").alias(law), F.col("shard").alias(shard), (F.col("offset") + F.col("place")).cast("long").alias(slot), F.col("grown_shard").alias(grown))

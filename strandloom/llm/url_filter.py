@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], default: st
             yield pd.DataFrame(found, columns=["rule", "verdict"]) if found else pd.DataFrame({"rule": pd.Series(dtype=str), "verdict": pd.Series(dtype=str)})
 
     kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*kept, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    parts = pages.select(*kept, url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     (found,) = free_names(parts, "found")
     judged = parts.withColumn(found, judge("host", "path"))
     return judged.select(*[F.col(f"`{c}`") for c in parts.columns], f"{found}.rule", f"{found}.verdict")
@@ -107,7 +107,7 @@ def filter_urls_by_join(pages: DataFrame, rules: list[tuple[str, str, str]], def
     spark = pages.sparkSession
     table = spark.createDataFrame(rules, "rule_host string, rule_path string, rule_verdict string")
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    parts = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     places = parts.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("rule_host")

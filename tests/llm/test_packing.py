@@ -11,7 +11,6 @@ from strandloom.llm.packing import Index, Tokens, pack_documents
 def reference_ids(text, tokenizer=[]):
     if not tokenizer:
         tokenizer.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
-        tokenizer[0].encode_special_tokens = True
     return [*tokenizer[0].encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -74,3 +73,6 @@ def test_hard_texts():
     tokens = Tokens()
     for text in (" " * 200_000, "a" * 100_000, "<|endoftext|> x", "é\u2028日本 \U0001f600", "\n\n \t\r\n"):
         assert tokens(text).tolist() == reference_ids(text)[:-1]
+    special = "x <|endoftext|> y" + " " * 200_000 + "<|endoftext|><|endoftext"
+    assert tokens(special).tolist() == reference_ids(special)[:-1] and tokens("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
+    assert Tokens(plain=True)("x <|endoftext|> y").tolist() == [87, 1279, 91, 437, 1659, 5239, 91, 29, 331]

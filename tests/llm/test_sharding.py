@@ -38,6 +38,25 @@ def test_shards_slots_and_growth(documents):
     assert shard_documents(documents([])).collect() == []
 
 
+def test_slots_are_in_order_of_key_at_every_size(documents):
+    rows = corpus() + [(40, f"same key {k % 3}") for k in range(60)]
+    order = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"])
+    seen = []
+    for piece in (10_000, 9):
+        got = sorted(shard_documents(documents(rows).repartition(3), 5, piece_rows=piece).collect(), key=lambda r: (r["shard"], r["slot"]))
+        assert got == sorted(got, key=lambda r: (r["shard"], order(r)))
+        seen.append(got)
+    assert seen[0] == seen[1]
+
+
+def test_key_columns_with_dots_and_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "`size` long, `a.b` string")
+    got = shard_documents(rows, 3, key="size", text="a.b")
+    assert got.columns == ["size", "size_", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted((r["size"], r["size_"]) for r in got.collect()) == [(1, 17), (2, 16)]
+    assert shard_documents(rows, 3, key="a.b", text="a.b").count() == 2
+
+
 def test_other_key_types(spark):
     rows = spark.createDataFrame([("a", "x"), (None, None), ("b", "")], "name string, body string")
     assert len(shard_documents(rows, 3, key="name", text="body").collect()) == 3
