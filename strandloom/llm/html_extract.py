@@ -1,11 +1,13 @@
 """Main text of HTML pages from streamed standard-library parser events.
 
-The parser's events are cut into lines at block elements.  Each line has a text-to-tag ratio; the ratios are smoothed
-with a Gaussian along the page and clustered by a threshold, one standard deviation of the smoothed ratios, and the runs
-of lines above it are the content regions.  A region inside an article (or main, or a container named as content) is
-widened to the lines of that container, so short paragraphs and the headline stay.  Lines in menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element, role, class or id, never count;
-outside such containers, nor do lines of links alone.
+The parser's events are cut into lines at block elements.  Each line has a text-to-tag ratio, taken as a logarithm, to
+which its place in the page adds a prior: above 0 in an article (or main, or a container named as content), below 0
+outside of these if the page has one, far below 0 in menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, known by element, role, class or id, and for lines of links alone outside containers.  The sums are
+smoothed with a Gaussian along each section of the page, so that short paragraphs and the headline go with the text
+around them, and clustered by a threshold, halfway between the means of the lines above and under it.  The runs of lines
+above it are the content regions, and they alone are the text.  Scripts, styles and other text that isn't shown are no
+lines.
 
 Edge cases: null or empty HTML, or a page without text, gives an empty text.  Cut-off pages and unclosed elements are
 read as far as they go.  Plain text without markup is one line and kept.  Repeated rows are extracted one by one, other
@@ -15,8 +17,11 @@ columns aren't touched, and an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,7 +30,9 @@ from pyspark.sql import functions as F
 
 #: Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template nav header footer aside form iframe select button textarea svg canvas object dialog menu head title".split())
+SKIPPED = frozenset("noscript nav header footer aside form iframe select button textarea object dialog menu".split())
+#: Elements whose text isn't shown.
+HIDDEN = frozenset("script style template svg canvas head title".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav noscript ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 KEPT = frozenset(("html", "body", "article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -38,29 +45,56 @@ MINOR = frozenset("comment comments reply related promo ad advert sponsored teas
 HEADS = re.compile(r"(?:^|[\s_-])(?:headers?|site-?head|topbar)(?:$|[\s_-])", re.I)
 CONTENT = re.compile(r"(?:^|[\s_-])(?:content|main|post|entry|story|article(?:-?body)?|article-?text)(?:$|[\s_-])", re.I)
 
-_KERNEL = np.exp(-0.5 * (np.arange(-3, 4) / 1.5) ** 2)
+#: Gaussian weights of a line and those one to three lines away.
+_KERNEL = np.exp(-0.5 * (np.arange(4) / 1.5) ** 2)
+#: Priors of lines (logarithms, as the ratios): in an article or main, in a container named as content, beside the first,
+#: beside the second, and where main text hardly ever is.
+STRONG, NAMED, BESIDE_STRONG, BESIDE_NAMED, CHROME = 4.0, 3.0, -4.0, -4.0, -10.0
+#: Bounds of the threshold: a line under the first is never content, one above the second always.
+LEAST, MOST = 0.0, 3.0
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    container: int
+    chrome: bool
+    plain: bool  # some of its text is outside links
+
+
+class _Open(NamedTuple):
+    tag: str
+    chrome: bool
+    hidden: bool
+    container: int
+
+
+_PAGE = _Open("", False, False, 0)
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, container, whether some text is outside links) of each line."""
+    """Collects the lines of a page, and the kinds of its containers."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, skipped, container
+        self.lines: list[Line] = []
+        self.open: list[_Open] = []
         self.parts: list[str] = []
-        self.tags, self.containers, self.links, self.plain = 0, 0, 0, False
-        self.strong: dict[int, str] = {}  # containers that are elements made for the main text
+        self.tags, self.links, self.plain = 0, 0, False
+        self.kinds: list[str] = [""]  # of containers: "article", "main" or "named"
 
-    def _break(self) -> None:
+    def _top(self) -> _Open:
+        return self.open[-1] if self.open else _PAGE
+
+    def end_line(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, max(1, self.tags), self.open[-1][2] if self.open else 0, self.plain))
+                self.lines.append(Line(text, max(1, self.tags), self._top().container, self._top().chrome, self.plain))
             self.parts = []
         self.tags, self.plain = 0, False
 
-    def _skipped(self, tag: str, attrs: list, inside: bool) -> bool:
+    def _is_chrome(self, tag: str, attrs: list, inside: bool) -> bool:
         if tag in KEPT:
             return tag == "article" and any(name == "class" and value and MINOR & set(value.lower().split()) for name, value in attrs)
         if tag in SKIPPED and not (tag == "header" and inside):
@@ -73,23 +107,35 @@ class _Lines(HTMLParser):
         return False
 
     def _close(self, k: int) -> None:
-        self.links -= sum(name == "a" for name, _, _ in self.open[k:])
+        self.links -= sum(x.tag == "a" for x in self.open[k:])
         del self.open[k:]
 
+    def _container(self, tag: str, attrs: list, inside: int) -> int:
+        """The container that a block element opens, or the one it is in."""
+        around = self.kinds[inside]
+        if tag in ("article", "main") and around != "article":
+            kind = tag
+        elif not inside and tag in ("div", "section") and any(n in ("class", "id") and v and CONTENT.search(v) for n, v in attrs):
+            kind = "named"
+        else:
+            return inside
+        self.kinds.append(kind)
+        return len(self.kinds) - 1
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCKS
         if block:
-            self._break()
+            self.end_line()
             if self.open and tag in ("body", "article", "main"):  # these close what they can't stand in
-                for k, (name, skipped, _) in enumerate(self.open):
-                    if skipped and name in ("head", "nav", "header", "title"):
+                for k, x in enumerate(self.open):
+                    if (x.chrome or x.hidden) and x.tag in ("head", "nav", "header", "title"):
                         self._close(k)
                         break
-            names = [x[0] for x in self.open[-4:]]
+            names = [x.tag for x in self.open[-4:]]
             for name, by in (("p", BLOCKS), ("li", ("li",)), ("option", ("option",))):
                 if tag in by and name in names:
                     k = len(self.open) - 1 - names[::-1].index(name)
-                    if name != "li" or not any(x[0] in ("ul", "ol") for x in self.open[k:]):
+                    if name != "li" or not any(x.tag in ("ul", "ol") for x in self.open[k:]):
                         self._close(k)
                         break
         self.tags += 1
@@ -97,17 +143,12 @@ class _Lines(HTMLParser):
             if tag == "br":
                 self.parts.append(" ")
             return
-        _, skip, container = self.open[-1] if self.open else ("", False, 0)
-        if not skip:
-            skip = self._skipped(tag, attrs, container in self.strong)
-            if not skip and block:
-                strong = tag in ("article", "main")
-                if (strong and self.strong.get(container) != "article") or (container == 0 and tag in ("div", "section") and any(n in ("class", "id") and v and CONTENT.search(v) for n, v in attrs)):
-                    self.containers += 1
-                    container = self.containers
-                    if strong:
-                        self.strong[container] = tag
-        self.open.append((tag, skip, container))
+        top = self._top()
+        chrome = top.chrome or self._is_chrome(tag, attrs, self.kinds[top.container] in ("article", "main"))
+        if chrome != top.chrome and not block:  # an inline element of another kind is a line of its own
+            self.end_line()
+        container = self._container(tag, attrs, top.container) if block and not chrome else top.container
+        self.open.append(_Open(tag, chrome, top.hidden or tag in HIDDEN, container))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -116,26 +157,68 @@ class _Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
-            self._break()
+            self.end_line()
         self.tags += 1
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            if self.open[k].tag == tag:
+                if self.open[k].chrome != (self.open[k - 1].chrome if k else False):
+                    self.end_line()
                 self._close(k)
                 break
-            if self.open[k][0] in KEPT:
+            if self.open[k].tag in KEPT:
                 break
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
+        if not self._top().hidden:
             self.parts.append(data)
             self.plain |= not self.links and not data.isspace()
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines are in a content region: smoothed ratio not under a standard deviation of all smoothed ratios."""
-    weight = np.convolve(np.ones(len(ratios)), _KERNEL, "full")[3 : 3 + len(ratios)]
-    smooth = np.convolve(ratios, _KERNEL, "full")[3 : 3 + len(ratios)] / weight
-    return smooth >= min(smooth.std(), smooth.max())
+def priors(lines: list[Line], kinds: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The prior of each line, and the number of the section it is in."""
+    present = {kinds[x.container] for x in lines if not x.chrome}
+    best = next((k for k in ("article", "main", "named") if k in present), "")
+    prior, key = np.zeros(len(lines)), []
+    for i, x in enumerate(lines):
+        if x.chrome or (not x.plain and not x.container):
+            prior[i] = CHROME
+        elif best:
+            within = kinds[x.container] == best
+            prior[i] = (NAMED if within else BESIDE_NAMED) if best == "named" else STRONG if within else BESIDE_STRONG
+        key.append((prior[i], x.container))
+    return prior, np.cumsum([0] + [a != b for a, b in zip(key[1:], key, strict=False)]) if lines else np.empty(0, int)
+
+
+def smoothed(values: np.ndarray, section: np.ndarray) -> np.ndarray:
+    """Each value as the mean of those around it in its section, weighted by a Gaussian."""
+    total, weight = values * _KERNEL[0], np.full(len(values), _KERNEL[0])
+    for d, w in enumerate(_KERNEL[1:], 1):
+        near = w * (section[d:] == section[:-d])
+        total[d:] += near * values[:-d]
+        total[:-d] += near * values[d:]
+        weight[d:] += near
+        weight[:-d] += near
+    return total / weight
+
+
+def threshold(values: np.ndarray) -> float:
+    """Halfway between the means of the values above and under it, within LEAST and MOST."""
+    order = np.sort(values).tolist()
+    sums, n = list(accumulate(order, initial=0.0)), len(order)
+    cut = sums[n] / n
+    for _ in range(50):
+        k = bisect_left(order, cut)
+        new = ((sums[n] - sums[k]) / (n - k) + sums[k] / k) / 2 if 0 < k < n else order[0]
+        if abs(new - cut) < 1e-6:
+            break
+        cut = new
+    return min(max(cut, LEAST), MOST)
+
+
+def content_lines(ratios: np.ndarray, prior: np.ndarray | float = 0.0, section: np.ndarray | None = None) -> np.ndarray:
+    """Which lines are in a content region, by their text-to-tag ratios, priors and sections."""
+    values = smoothed(np.log1p(ratios) + prior, np.zeros(len(ratios), int) if section is None else section)
+    return values >= threshold(values)
 
 
 def main_text(html: str | None) -> str:
@@ -145,18 +228,12 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    parser._break()
+    parser.end_line()
     lines = parser.lines
     if not lines:
         return ""
-    chosen = content_lines(np.array([len(t) / n for t, n, _, _ in lines], float))
-    strong = {c for _, _, c, _ in lines if c in parser.strong}
-    strong = {c for c in strong if parser.strong[c] == "article"} or strong
-    regions = {c for (_, _, c, _), hit in zip(lines, chosen, strict=True) if hit and c}
-    regions = (regions & strong) or strong or regions
-    if regions:
-        return " ".join(t for t, _, c, _ in lines if c in regions)
-    return " ".join(t for (t, _, _, plain), hit in zip(lines, chosen, strict=True) if hit and plain)
+    chosen = content_lines(np.array([len(x.text) / x.tags for x in lines], float), *priors(lines, parser.kinds))
+    return " ".join(x.text for x, hit in zip(lines, chosen, strict=True) if hit)
 
 
 def extract(html: Column) -> Column:

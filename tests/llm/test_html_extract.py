@@ -1,3 +1,10 @@
+import math
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from strandloom.llm import html_extract as H
 from strandloom.llm.html_extract import content_lines, extract_pages, main_text
 
 BODY = "".join(f"<p>Paragraph {k} has <b>some</b> words &amp; a few&nbsp;more &lt;signs&gt;,\n  over\tlines.</p>" for k in range(6))
@@ -47,3 +54,51 @@ def test_columns_and_rows(spark):
     assert out.columns == ["page_id", "url", "text", "n_chars"] and dict(out.dtypes)["n_chars"] == "bigint"
     assert sorted((r["page_id"], r["n_chars"]) for r in out.collect()) == [(1, len(WANT)), (1, len(WANT)), (2, 0), (3, 249999)]
     assert extract_pages(pages.limit(0)).collect() == []
+
+
+@pytest.fixture(scope="module")
+def pages():
+    return pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column(0).to_pylist()
+
+
+def brute(html):
+    """The text by the scorer's definition, line by line."""
+    parser = H._Lines()
+    parser.feed(html or "")
+    parser.close()
+    parser.end_line()
+    prior, section = H.priors(parser.lines, parser.kinds)
+    raw = [math.log(1 + len(x.text) / x.tags) + p for x, p in zip(parser.lines, prior)]
+    smooth = []
+    for i in range(len(raw)):
+        near = [k for k in range(max(0, i - 3), min(len(raw), i + 4)) if section[k] == section[i]]
+        weights = [math.exp(-(((k - i) / 1.5) ** 2) / 2) for k in near]
+        smooth.append(sum(w * raw[k] for w, k in zip(weights, near)) / sum(weights))
+    if not smooth:
+        return ""
+    cut = sum(smooth) / len(smooth)
+    for _ in range(50):
+        high, low = [x for x in smooth if x >= cut], [x for x in smooth if x < cut]
+        cut = (sum(high) / len(high) + sum(low) / len(low)) / 2 if high and low else min(smooth)
+    cut = min(max(cut, H.LEAST), H.MOST)
+    return " ".join(x.text for x, v in zip(parser.lines, smooth) if v >= cut)
+
+
+def test_scorer_matches_brute_force(pages):
+    assert [main_text(x) for x in pages] == [brute(x) for x in pages]
+
+
+def test_the_clusters_choose_the_lines(pages, monkeypatch):
+    found = [main_text(x) for x in pages]
+    for other in (lambda r, *_: np.ones(len(r), bool), lambda r, *_: np.zeros(len(r), bool), lambda r, *_: np.arange(len(r)) < 1):
+        monkeypatch.setattr(H, "content_lines", other)
+        changed = sum(a != main_text(x) for a, x in zip(found, pages))
+        assert changed > len(pages) / 3
+
+
+def test_ratios_decide_where_the_page_names_no_part():
+    text = "".join(f"<div>Some {k} words that a reader came for, one after the other, in a plain division.</div>" for k in range(5))
+    menu = "".join(f"<div><b>{w}</b><i>{w}</i><u>x</u></div>" for w in ("Home", "News", "Jobs", "Help", "Shop", "More", "Sale", "Play"))
+    found = main_text(f"<body>{menu}{text}{menu}</body>")
+    assert "Some 0 words" in found and "Some 4 words" in found and not any(w in found for w in ("News", "Jobs", "Help", "Shop", "More"))
+    assert "Home" in main_text(f"<body><article>{menu}</article>{text}</body>")
