@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from strandloom.plans.lineage import cut_lineage
 
+#: Neighbour lists of so many edges at most, 8 bytes a neighbour and side, are broadcast.
+MOST_BROADCAST = 1 << 21
+
 
 def twin(node: Column) -> Column:
     return node.bitwiseXOR(F.lit(1))
@@ -35,15 +38,27 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def _with_degrees(edges: DataFrame) -> DataFrame:
-    deg = degrees(edges)
+    deg = cut_lineage(degrees(edges))
     left = deg.toDF("v", "v_in", "v_out")
     return edges.join(left, "v").join(deg.toDF("w", "w_in", "w_out"), "w")
 
 
 def reducible_edges(edges: DataFrame) -> DataFrame:
-    """Edges v to w with a witness x: v to x and x to w."""
-    a, b = edges.select("v", F.col("w").alias("x")), edges.select(F.col("v").alias("x"), "w")
-    return edges.join(a.join(b, "x").select("v", "w"), ["v", "w"], "left_semi").select("v", "w")
+    """Edges v to w with a witness x: v to x and x to w.
+
+    The neighbours of v and of w are gathered once and compared at each edge.  Where all neighbour lists together are
+    too large to broadcast, each edge lists the neighbours at its end with fewer of them, and the other halves are looked
+    up among the edges, by pairs of nodes, so that no node is a hot key.
+    """
+    edges = cut_lineage(edges.select("v", "w"))
+    outs, ins = edges.groupBy("v").agg(F.collect_list("w").alias("outs")), edges.groupBy("w").agg(F.collect_list("v").alias("ins"))
+    if edges.count() <= MOST_BROADCAST:
+        return edges.join(F.broadcast(outs), "v").join(F.broadcast(ins), "w").where(F.arrays_overlap("outs", "ins")).select("v", "w")
+    rows = cut_lineage(_with_degrees(edges).select("v", "w", (F.col("v_out") <= F.col("w_in")).alias("ahead")))
+    some, other = edges.withColumnRenamed("w", "x"), edges.withColumnRenamed("v", "x")
+    ahead = rows.where("ahead").join(some, "v").join(other, ["x", "w"], "left_semi")
+    back = rows.where("not ahead").join(other, "w").join(some, ["v", "x"], "left_semi")
+    return ahead.select("v", "w").union(back.select("v", "w")).distinct()
 
 
 def spur_edges(edges: DataFrame) -> DataFrame:
@@ -54,6 +69,7 @@ def spur_edges(edges: DataFrame) -> DataFrame:
 
 def transitive_reduction(edges: DataFrame, spurs: bool = True) -> DataFrame:
     """edges without those that have a witness, and without spurs, both judged on the input."""
+    edges = cut_lineage(edges)
     gone = reducible_edges(edges)
     if spurs:
         gone = gone.union(spur_edges(edges))

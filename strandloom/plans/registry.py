@@ -421,15 +421,13 @@ def unitigs(spark, sf_dir):
 
 
 @_query(
-    sql.query(
-        ["e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS v, 1000000000 + l_orderkey AS w FROM lineitem WHERE l_quantity > 49)", "b AS (SELECT v, w FROM e UNION ALL SELECT w, v FROM e)", "reach AS (SELECT v AS node, v AS root FROM b UNION SELECT b.w, root FROM reach JOIN b ON b.v = node)"],
-        "SELECT node, min(root) AS component FROM reach GROUP BY node",
-        recursive=True,
-    )
+    "WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT l_suppkey AS v, 1000000000 + l_orderkey AS w FROM lineitem), b AS MATERIALIZED (SELECT v, w FROM e UNION ALL SELECT w, v FROM e), "
+    "cc(node, component) USING KEY (node) AS (SELECT DISTINCT v, v FROM b UNION SELECT u.node, min(x.component) FROM recurring.cc u JOIN b ON b.v = u.node JOIN cc x ON x.node = b.w WHERE x.component < u.component GROUP BY u.node) "
+    "SELECT node, component FROM cc"
 )
 def graph_components(spark, sf_dir):
-    """Connected components of suppliers and orders linked by large order lines."""
-    lines = _table(spark, sf_dir, "lineitem").where("l_quantity > 49")
+    """Connected components of suppliers and orders linked by order lines."""
+    lines = _table(spark, sf_dir, "lineitem")
     return graph.components(lines.select(F.col("l_suppkey").alias("v"), (F.col("l_orderkey") + 1_000_000_000).alias("w")).distinct())
 
 

@@ -14,7 +14,7 @@ def pairs_of(df):
     return sorted((r["v"], r["w"]) for r in df.collect())
 
 
-def test_reduction_spurs_and_bridges(spark):
+def test_reduction_spurs_and_bridges(spark, monkeypatch):
     rng = random.Random(1)
     rows = {(v, w): rng.randrange(9) for v in range(30) for w in range(v + 1, 30) if rng.random() < 0.15}
     df = edges(spark, [(v, w, x) for (v, w), x in rows.items()])
@@ -26,6 +26,9 @@ def test_reduction_spurs_and_bridges(spark):
     witness = {e for e in rows if any((e[0], x) in rows and (x, e[1]) in rows for x in range(30))}
     spur = {(v, w) for v, w in rows if (not n(into, v) and n(into, w) >= 2 and n(out, w)) or (not n(out, w) and n(out, v) >= 2 and n(into, v))}
     assert pairs_of(G.reducible_edges(df)) == sorted(witness) and pairs_of(G.spur_edges(df)) == sorted(spur)
+    monkeypatch.setattr(G, "MOST_BROADCAST", 0)
+    assert pairs_of(G.reducible_edges(df)) == sorted(witness)
+    monkeypatch.undo()
     assert pairs_of(G.transitive_reduction(df)) == sorted(set(rows) - witness - spur)
     assert pairs_of(G.bridge_candidates(df, 5)) == sorted((v, w) for (v, w), x in rows.items() if x < 5 and n(out, v) >= 2 and n(into, v) and n(out, w) and n(into, w) >= 2)
     assert pairs_of(G.remove_weak_spurs(df, 3)) == sorted(e for e in rows if not (e in spur and rows[e] <= 3))
