@@ -63,33 +63,77 @@ def ovlp_ec(spark, a):
 
 
 def dp_graph(spark, a):
-    reduced, placed = assemble.string_graph(_load(spark, a.overlaps), _params(a))
-    placed.write.parquet(f"{a.out}/edges")
-    reduced.write.parquet(f"{a.out}/reduced")
+    write_graph(_load(spark, a.overlaps), _params(a), a.out)
+
+
+def write_graph(ovlp: DataFrame, p: Params, out: str) -> tuple[DataFrame, DataFrame]:
+    """Write the graph's tables and texts; (layout, edges) as stored."""
+    reduced, placed, before = assemble.string_graph(ovlp, p)
     found = assemble.cut_lineage(graph.unitigs(reduced))
-    found.write.parquet(f"{a.out}/unitigs")
-    layout.layouts(layout.reduce_by_unitigs(reduced, found)).write.parquet(f"{a.out}/layout")
+    for name, rows in (("edges", placed), ("reduced", reduced), ("unitigs", found), ("layout", layout.layouts(reduced))):
+        rows.write.parquet(f"{out}/{name}")
+    laid, edges = (placed.sparkSession.read.parquet(f"{out}/{name}") for name in ("layout", "edges"))
+    lens = ovlp.select(F.col("rid0").alias("rid"), F.col("len0").alias("len")).union(ovlp.select("rid1", "len1")).distinct()
+    fastx.edge_lines(reduced).write.text(f"{out}/g.dat")
+    fastx.unitig_lines(before, before.join(found.select("begin", "second").distinct(), ["begin", "second"], "left_semi")).write.text(f"{out}/utg0.dat")
+    fastx.unitig_lines(found, found).write.text(f"{out}/utg.dat")
+    fastx.gfa_lines(found, lens).write.text(f"{out}/utg.gfa")
+    fastx.layout_lines(laid, edges).write.text(f"{out}/layout.dat")
+    return laid, edges
 
 
 def simple_graph(spark, a):
-    """The older graph: each read's best links, kept where both sides agree, and their unitigs."""
-    placed = layout.placed_edges(overlaps.graph_input(_load(spark, a.overlaps)))
-    best = graph.strongest_links(graph.best_links(placed.select("v", "w", "weight")))
-    clean = graph.without_short_cycles(best)
-    placed.write.parquet(f"{a.out}/edges")
-    graph.unitigs(clean).write.parquet(f"{a.out}/unitigs")
+    write_simple_graph(_load(spark, a.overlaps), a.out)
+
+
+def write_simple_graph(ovlp: DataFrame, out: str) -> None:
+    """The older graph: each node's clearest link, kept where both sides agree, its unitigs and the links across them."""
+    edges, placed = assemble.simple_graph(ovlp)
+    found = assemble.cut_lineage(graph.unitigs(edges))
+    across = layout.cross_edges(placed.select("v", "w", "weight"), found)
+    for name, rows in (("edges", placed), ("reduced", edges), ("unitigs", found), ("across", across), ("layout", layout.layouts(edges.select("v", "w", "weight").unionByName(across).distinct()))):
+        rows.write.parquet(f"{out}/{name}")
+    fastx.edge_lines(edges).write.text(f"{out}/g.dat")
 
 
 def make_contigs(spark, a):
-    layout.spell(_load(spark, f"{a.graph}/layout"), _load(spark, f"{a.graph}/edges"), _load(spark, a.reads)).write.parquet(a.out)
+    write_contigs(layout.contigs(_load(spark, f"{a.graph}/layout"), _load(spark, f"{a.graph}/edges"), _load(spark, a.reads), not a.raw), a.out)
+
+
+def write_contigs(contigs: DataFrame, out: str) -> DataFrame:
+    """Write contigs as Parquet and as FASTA, primary ones (_m.fa) and others (_e0.fa); they are returned as stored."""
+    contigs.write.parquet(out)
+    stored = contigs.sparkSession.read.parquet(out)
+    fastx.write_fasta(stored.where("tag = 'P'"), f"{out}_m.fa", F.col("ctg"))
+    fastx.write_fasta(stored.where("tag <> 'P'"), f"{out}_e0.fa", F.col("ctg"))
+    return stored
 
 
 def dedup(spark, a):
-    contig_map.drop_duplicates(_load(spark, a.reference), _load(spark, a.target), _params(a)).write.parquet(a.out)
+    write_unique(_load(spark, a.reference), _load(spark, a.target), Params(w=a.w, k=a.k, r=a.r), a.out)
+
+
+def write_unique(reference: DataFrame, target: DataFrame, p: Params, out: str) -> DataFrame:
+    """Write the targets that no reference contig holds, as Parquet and as FASTA (.fa); they are returned as stored."""
+    contig_map.drop_duplicates(reference, target, p).write.parquet(out)
+    stored = reference.sparkSession.read.parquet(out)
+    fastx.write_fasta(stored, f"{out}.fa", F.col("name"))
+    return stored
 
 
 def resolve(spark, a):
-    assemble.resolve(_load(spark, a.contigs), _params(a)).write.parquet(a.out)
+    write_resolved(_load(spark, a.contigs), _params(a), a.out)
+
+
+def write_resolved(contigs: DataFrame, p: Params, out: str) -> None:
+    """Write contigs with their kinds, as Parquet and as FASTA (_p.fa, _a.fa), and the relations as text (.rel)."""
+    assemble.resolve(contigs, p).write.parquet(out)
+    stored = contigs.sparkSession.read.parquet(out)
+    for kind in ("P", "A"):
+        fastx.write_fasta(stored.where(F.col("kind") == kind), f"{out}_{kind.lower()}.fa", F.col("name"))
+    names = contigs.select(F.col("rid").alias("partner"), F.col("name").alias("other"))
+    kinds = stored.join(names, "partner", "left").select(F.concat_ws(" ", "kind", "name", F.coalesce("other", "name")).alias("value"))
+    fastx.relation_lines(contig_map.sketch_containment(sketch.shimmers(contigs, p))).union(kinds).write.text(f"{out}.rel")
 
 
 def getreads(spark, a):
@@ -98,14 +142,23 @@ def getreads(spark, a):
 
 
 def asm(spark, a):
-    reads, p = reads_of(spark, a.input, a.least_file), _params(a)
-    reads = assemble.cut_lineage(reads)
-    contigs = assemble.cut_lineage(assemble.assemble(reads, p, fast=a.fast))
-    contigs.write.parquet(f"{a.out}/contigs")
-    named = catalog.dense_ids(contigs.withColumn("ord", F.monotonically_increasing_id()), "ord").select("rid", F.col("ctg").alias("name"), "seq")
+    p = _params(a)
+    reads, found = assemble.corrected_overlaps(assemble.cut_lineage(reads_of(spark, a.input, a.least_file)), p, a.fast)
+    if a.layout == 1:
+        write_simple_graph(found, f"{a.out}/graph")
+        laid, edges = _load(spark, f"{a.out}/graph/layout"), _load(spark, f"{a.out}/graph/edges")
+    else:
+        laid, edges = write_graph(found, p, f"{a.out}/graph")
+    contigs = write_contigs(layout.contigs(laid, edges, reads, not a.raw), f"{a.out}/contigs")
+    named = assemble.cut_lineage(catalog.dense_ids(contigs.withColumn("ord", F.substring("ctg", 4, 6).cast("long")), "ord").select("rid", F.col("ctg").alias("name"), "seq", "tag"))
+    # duplicates among the other contigs go by the primary ones, then what is left is related
+    main, rest = (named.where(f"tag {sign} 'P'").drop("tag") for sign in ("=", "<>"))
+    unique = write_unique(main, rest, Params(w=min(48, p.w), k=p.k, r=min(4, p.r)), f"{a.out}/unique")
     if not a.no_resolve:
-        assemble.resolve(named, p).write.parquet(f"{a.out}/resolved")
+        write_resolved(main.unionByName(unique), p, f"{a.out}/resolved")
     catalog.assembly_summary(contigs.select(F.length("seq").alias("len"))).write.parquet(f"{a.out}/summary")
+    if not a.keep:
+        fastx.delete(spark, f"{a.out}/graph")
 
 
 COMMANDS = {
@@ -132,6 +185,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         c.add_argument("--least_file", type=int, default=fastx.LEAST_FILE)
         c.add_argument("--fast", action="store_true")
         c.add_argument("--no_resolve", action="store_true")
+        c.add_argument("--raw", action="store_true", help="leave the contigs as the reads spell them")
+        c.add_argument("-l", "--layout", type=int, choices=(1, 2), default=2, help="the older graph (1) or the string graph (2)")
+        c.add_argument("--keep", action="store_true", help="keep the graph's tables")
     a = parser.parse_args(args)
     COMMANDS[a.command][0](spark or SparkSession.builder.getOrCreate(), a)
 

@@ -105,6 +105,28 @@ def greedy_bridges(edges: Iterable[tuple[int, int, int]], most: int = 1 << 30) -
     return set(left)
 
 
+def without_bridges(edges: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """What `greedy_bridges` leaves, by rounds: in each, candidates that come first at all reads they touch are decided.
+
+    Candidates that share no read don't change each other's degrees, so the rounds decide as the lightest-first order
+    does.  A candidate and its twin are one.
+    """
+    edges = cut_lineage(edges)
+    first = F.least(F.struct("v", "w"), F.struct(twin(F.col("w")).alias("v"), twin(F.col("v")).alias("w")))
+    left = cut_lineage(bridge_candidates(edges, most).select(F.struct("weight", first.alias("edge")).alias("rank")).distinct())
+    while left.head(1):
+        reads = lambda c: (F.shiftright(f"rank.edge.{c}", 1)).alias("read")
+        touched = left.select("rank", reads("v")).union(left.select("rank", reads("w")))
+        turns = touched.join(touched.groupBy("read").agg(F.min("rank").alias("least")), "read")
+        now = cut_lineage(turns.groupBy("rank").agg(F.bool_and(F.col("rank") == F.col("least")).alias("now")).where("now").select("rank"))
+        pair = now.select(F.col("rank.edge.v").alias("v"), F.col("rank.edge.w").alias("w"))
+        still = bridge_candidates(edges, most).join(pair, ["v", "w"], "left_semi").select("v", "w")
+        gone = still.union(still.select(twin(F.col("w")), twin(F.col("v"))))
+        edges = cut_lineage(edges.join(gone, ["v", "w"], "left_anti"))
+        left = cut_lineage(left.join(now, "rank", "left_anti"))
+    return edges
+
+
 def patch_ends(reduced: DataFrame, ovlp_edges: DataFrame) -> DataFrame:
     """reduced plus all overlap edges into the nodes that begin paths in it, reduced twice again."""
     begins = degrees(reduced).where("n_in = 0 and n_out > 0").select(F.col("node").alias("w"))

@@ -7,16 +7,26 @@ Arrow group, components in parallel.  An edge v to w carries `off`, where read w
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import reverse_complement
+from strandloom.operators.catalog import dense_ids
+from strandloom.operators.consensus import polished_contigs
 from strandloom.operators.graph import components, twin
+from strandloom.operators.sketch import sketch_offset
+from strandloom.plans.lineage import cut_lineage
 
 #: Reads that make a branch a true one, and edges that make a path a contig or a primary one.
 BRANCH, SHORT, PRIMARY = 1024, 3, 8
+#: Bases at the begin of an overlap in which the cut is looked for.
+WINDOW = 100
+#: Unitigs whose graph the driver reduces, at most: one small row each.
+MOST_UNITIGS = 5_000_000
 
 
 def placed_edges(ovlp: DataFrame) -> DataFrame:
@@ -55,15 +65,19 @@ class Walk:
                     queue.append(w)
         return list(seen)[:most]
 
-    def route(self, start: int, goal: int, most: int = 256) -> list[int]:
-        """A path with the fewest edges, or none within so many nodes."""
-        before, queue = {start: None}, deque([start])
-        while queue and len(before) < most:
-            v = queue.popleft()
+    def route(self, start: int, goal: int, most: int = 256, weight: dict[tuple[int, int], int] | None = None) -> list[int]:
+        """The path of least weight (without weights: of fewest edges), or none within so many nodes."""
+        before, done, queue = {}, {}, [(0, start, None)]
+        while queue and len(done) < most:
+            far, v, by = heappop(queue)
+            if v in done:
+                continue
+            done[v], before[v] = far, by
+            if v == goal:
+                break
             for w in self.out[v]:
-                if w not in before:
-                    before[w] = v
-                    queue.append(w)
+                if w not in done:
+                    heappush(queue, (far + (weight[v, w] if weight else 1), w, v))
         if goal not in before:
             return []
         path = [goal]
@@ -174,18 +188,71 @@ def layouts(edges: DataFrame) -> DataFrame:
     return split.select("component", "v", "w").groupBy("component").applyInArrow(walk, "component long, path int, tag string, ord int, node long")
 
 
-def spell(layout: DataFrame, edges: DataFrame, reads: DataFrame) -> DataFrame:
-    """(ctg, tag, n_reads, seq): each path's reads, each cut where the next one starts."""
+def _cuts(steps: DataFrame) -> DataFrame:
+    """steps (with seq, next_seq and off) with end, where the read is cut, and skip, where the next one goes on from.
+
+    The cut is at the first minimizer that the reads share where the overlap begins, so that both agree on it; without
+    one it is where the aligned ranges say that the next read starts.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off, end, skip = batch.column("off").to_pylist(), [], []
+            for at, a, b in zip(off, batch.column("seq"), batch.column("next_seq"), strict=True):
+                found = None if at is None else sketch_offset(a.as_py()[max(at, 0) : max(at, 0) + WINDOW].encode(), b.as_py()[:WINDOW].encode())
+                x, y = found or (0, 0)
+                end.append(None if at is None else at + x)
+                skip.append(y)
+            keep = batch.select(["component", "path", "tag", "ord", "seq"])
+            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(end, pa.int32()), pa.array(skip, pa.int32())], names=[*keep.schema.names, "end", "skip"])
+
+    columns = ("component", "path", "tag", "ord", "seq", F.col("off").cast("int").alias("off"), F.coalesce("next_seq", F.lit("")).alias("next_seq"))
+    return steps.select(*columns).mapInArrow(cut, "component long, path int, tag string, ord int, seq string, end int, skip int")
+
+
+def tiles(layout: DataFrame, edges: DataFrame, reads: DataFrame) -> DataFrame:
+    """(component, path, tag, ord, seq, at, length): the reads of each path, as they stand on it.
+
+    seq is the read from the place on that the contig takes it up, at the contig's place `at`, and its first `length`
+    bases are the contig's.
+    """
     order = Window.partitionBy("component", "path").orderBy("ord")
-    steps = layout.withColumn("next", F.lead("node").over(order))
-    placed = steps.join(edges.select(F.col("v").alias("node"), F.col("w").alias("next"), "off"), ["node", "next"], "left")
-    seqs = placed.join(reads.select("rid", "seq"), F.shiftright("node", 1) == F.col("rid"))
     turned = F.when(F.col("node") % 2 == 1, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))
-    piece = F.when(F.col("next").isNull(), turned).otherwise(F.substring(turned, F.lit(1), F.col("off")))
-    parts = seqs.select("component", "path", "tag", F.struct("ord", piece.alias("piece")).alias("part"))
+    seqs = layout.withColumn("rid", F.shiftright("node", 1)).join(reads.select("rid", "seq"), "rid").withColumn("seq", turned)
+    steps = seqs.withColumn("next", F.lead("node").over(order)).withColumn("next_seq", F.lead("seq").over(order))
+    placed = steps.join(edges.select(F.col("v").alias("node"), F.col("w").alias("next"), "off"), ["node", "next"], "left")
+    cut = _cuts(placed).withColumn("begin", F.coalesce(F.lag("skip").over(order), F.lit(0)))
+    cut = cut.withColumn("length", F.greatest(F.coalesce("end", F.length("seq")) - F.col("begin"), F.lit(0)))
+    at = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return cut.select("component", "path", "tag", "ord", F.expr("substring(seq, begin + 1)").alias("seq"), at.alias("at"), "length")
+
+
+def contig_name(number: Column) -> Column:
+    """The name of a contig, from its number and its tag."""
+    return F.concat(F.lit("ctg"), F.lpad(number.cast("string"), 6, "0"), F.lit("_"), F.col("tag"))
+
+
+def spell(tiled: DataFrame) -> DataFrame:
+    """(component, path, tag, n_reads, seq): what the tiles of each path spell."""
+    parts = tiled.select("component", "path", "tag", F.struct("ord", F.expr("substring(seq, 1, length)").alias("piece")).alias("part"))
     made = parts.groupBy("component", "path", "tag").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-    name = F.concat(F.lit("ctg"), F.col("component").cast("string"), F.lit("_"), F.col("path").cast("string"), F.lit("_"), F.col("tag"))
-    return made.select(name.alias("ctg"), "tag", F.size("parts").alias("n_reads"), F.array_join("parts.piece", "").alias("seq"))
+    return made.select("component", "path", "tag", F.size("parts").alias("n_reads"), F.array_join("parts.piece", "").alias("seq"))
+
+
+def contigs(layout: DataFrame, edges: DataFrame, reads: DataFrame, polish: bool = True, min_len: int = 1200) -> DataFrame:
+    """(ctg, tag, n_reads, seq) of the paths, rewritten by the majority of their reads; names are numbered by component and path.
+
+    Contigs with too large a share of bases that few reads cover are left out, unless polish is off.
+    """
+    tiled = cut_lineage(tiles(layout, edges, reads))
+    raw = cut_lineage(spell(tiled))
+    paths = raw.select("component", "path").withColumn("ord", F.col("component") * (1 << 20) + F.col("path"))
+    named = cut_lineage(raw.join(dense_ids(paths, "ord", "number"), ["component", "path"]).withColumn("ctg", contig_name(F.col("number"))))
+    if not polish:
+        return named.select("ctg", "tag", "n_reads", "seq")
+    laid = tiled.join(named.select("component", "path", "ctg"), ["component", "path"]).select("ctg", F.col("at").alias("bgn"), "seq")
+    better = polished_contigs(named.select("ctg", "seq"), laid, min_len)
+    return named.drop("seq").join(better.select("ctg", "seq"), "ctg").select("ctg", "tag", "n_reads", "seq")
 
 
 def reduced_unitigs(paths: dict[tuple[int, int, int], int], sink_steps: int = 15, light: int = 5) -> set[tuple[int, int, int]]:
@@ -214,7 +281,7 @@ def reduced_unitigs(paths: dict[tuple[int, int, int], int], sink_steps: int = 15
             routes = []
             for x in walk.near(w, sink_steps):
                 if x in sinks:
-                    route = [v, *walk.route(w, x)]
+                    route = [v, *walk.route(w, x, weight=weight)]
                     steps = list(zip(route, route[1:], strict=False))
                     if sum(weight[e] for e in steps) < light:
                         routes += steps
@@ -236,6 +303,9 @@ def reduce_by_unitigs(edges: DataFrame, unitigs: DataFrame) -> DataFrame:
     Only one row per unitig reaches the driver; the graph of unitigs is the collapsed form of the read graph.
     """
     ends = unitigs.groupBy("begin", "second").agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n"))
+    ends = cut_lineage(ends)
+    if ends.count() > MOST_UNITIGS:
+        raise ValueError(f"more than {MOST_UNITIGS} unitigs; reduce the graph further before")
     kept = reduced_unitigs({(r["begin"], r["second"], r["end"]): r["n"] for r in ends.toLocalIterator()})
     stay = edges.sparkSession.createDataFrame([(b, s) for b, s, _ in sorted(kept)], "begin long, second long")
     order = Window.partitionBy("begin", "second").orderBy("ord")

@@ -109,8 +109,13 @@ def with_markers(ovlp: DataFrame, deltas: DataFrame) -> DataFrame:
     own = deltas.join(best.select(*key), key, "left_semi").select(*key, "x", "kind").distinct()
     found = markers(best, own)
     mine = own.join(found.select("rid0", "x", "kind"), ["rid0", "x", "kind"]).groupBy(*key).agg(F.count("*").alias("dist_c"))
-    inside = best.join(found.select("rid0", "x"), "rid0").where("x > bgn0 and x <= end0").groupBy(*key).agg(F.count("*").alias("max_dist_c"))
-    both = best.join(mine, key, "left").join(inside, key, "left").fillna(0, ["dist_c", "max_dist_c"])
+    # markers inside an overlap: those up to its end less those up to its begin, by one running sum along each read
+    ends = best.select("rid0", F.col("bgn0").alias("at")).union(best.select("rid0", "end0")).distinct().withColumn("n", F.lit(0))
+    steps = ends.union(found.select("rid0", F.col("x").alias("at"), F.lit(1).alias("n"))).groupBy("rid0", "at").agg(F.sum("n").alias("n"))
+    upto = steps.select("rid0", "at", F.sum("n").over(Window.partitionBy("rid0").orderBy("at")).alias("upto"))
+    counted = best.join(upto.toDF("rid0", "bgn0", "low"), ["rid0", "bgn0"]).join(upto.toDF("rid0", "end0", "high"), ["rid0", "end0"])
+    counted = counted.withColumn("max_dist_c", F.greatest(F.col("high") - F.col("low"), F.lit(0)))
+    both = counted.join(mine, key, "left").fillna(0, ["dist_c"])
     fits = ((F.col("max_dist_c") > 2) & (F.col("dist_c") <= 1)) | ((F.col("max_dist_c") <= 2) & (F.col("dist_c") == 0))
     both = both.withColumn("idt_c", F.when(F.col("end0") > F.col("bgn0"), 100 - 100 * F.col("dist_c") / (F.col("end0") - F.col("bgn0"))))
     return both.withColumn("flag", F.when(fits, COMPATIBLE).otherwise(0)).select(*COLUMNS)

@@ -22,25 +22,53 @@ def correct(reads: DataFrame, ovlp: DataFrame, p: Params, min_len: int = 1200) -
     return consensus.corrected_reads(ovlp, reads, p.tol, p.min_ec_cov, min_len)
 
 
-def string_graph(ovlp: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """(reduced edges, all edges with offsets) of the overlaps."""
+#: Edges this heavy are no bridges.
+HEAVY = 1_000_000
+
+
+def string_graph(ovlp: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reduced edges, all edges with offsets, unitigs before the last step) of the overlaps.
+
+    Transitive edges, spurs and bridges go, the begins of paths get their overlaps back, and light detours between
+    unitigs go.
+    """
     used = overlaps.graph_input(ovlp)
     dead = cut_lineage(overlaps.dead_ends(used))
-    gone = dead.union(overlaps.chimeras(used)).union(overlaps.contained_reads(used, dead)).distinct()
-    kept = cut_lineage(overlaps.best_n_per_side(overlaps.without_reads(used, cut_lineage(gone)), p.bestn))
-    placed = cut_lineage(layout.placed_edges(kept))
-    reduced = graph.transitive_reduction(placed.select("v", "w", "weight"))
-    return cut_lineage(reduced), placed
+    bad = cut_lineage(overlaps.chimeras(used).union(overlaps.contained_reads(used, dead)).distinct())
+    sound = cut_lineage(overlaps.without_reads(used, bad))
+    kept = overlaps.best_n_per_side(overlaps.without_reads(sound, dead), p.bestn)
+    placed = cut_lineage(layout.placed_edges(sound))
+    bare = lambda edges: edges.select("v", "w", "weight")
+    reduced = graph.remove_weak_spurs(cut_lineage(graph.transitive_reduction(bare(layout.placed_edges(kept)))))
+    patched = cut_lineage(graph.patch_ends(graph.without_bridges(reduced, HEAVY), bare(placed)))
+    found = cut_lineage(graph.unitigs(patched))
+    return cut_lineage(layout.reduce_by_unitigs(patched, found)), placed, found
+
+
+def simple_graph(ovlp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, all edges with offsets) of the older graph: clearest links that are the strongest at both ends."""
+    placed = cut_lineage(layout.placed_edges(overlaps.graph_input(ovlp)))
+    best = graph.strongest_links(graph.best_links(placed.select("v", "w", "weight")))
+    return cut_lineage(graph.without_short_cycles(best)), placed
+
+
+def assemble(reads: DataFrame, p: Params, fast: bool = True, min_len: int = 1200, polish: bool = False) -> DataFrame:
+    """Contigs (ctg, tag, n_reads, seq) of reads (rid, name, seq); not fast: the reads are corrected first.
+
+    polish: contigs are rewritten by the majority of their reads; bases that few of them cover are lower-case then.
+    """
+    reads, ovlp = corrected_overlaps(reads, p, fast, min_len)
+    reduced, placed, _ = string_graph(ovlp, p)
+    return layout.contigs(layout.layouts(reduced), placed, reads, polish, min_len)
 
 
-def assemble(reads: DataFrame, p: Params, fast: bool = True, min_len: int = 1200) -> DataFrame:
-    """Contigs (ctg, tag, n_reads, seq) of reads (rid, name, seq); not fast: the reads are corrected first."""
+def corrected_overlaps(reads: DataFrame, p: Params, fast: bool = True, min_len: int = 1200) -> tuple[DataFrame, DataFrame]:
+    """(reads, their overlaps); not fast: those of the corrected reads."""
     ovlp = find_overlaps(reads, p, min_len)
     if not fast:
         reads = cut_lineage(correct(reads, ovlp, p, min_len))
         ovlp = find_overlaps(reads, p, min_len)
-    reduced, placed = string_graph(ovlp, p)
-    return layout.spell(layout.layouts(reduced), placed, reads)
+    return reads, ovlp
 
 
 def resolve(contigs: DataFrame, p: Params) -> DataFrame:

@@ -163,5 +163,11 @@ def unitig_lines(unitigs: DataFrame, kept: DataFrame) -> DataFrame:
 
 
 def write_shimmers(mm: DataFrame, path: str, chunks: int) -> None:
-    """The sketch as Parquet, partitioned by the chunk of the read."""
-    mm.withColumn("chunk", F.pmod("rid", F.lit(chunks)).cast("int")).repartition("chunk").write.partitionBy("chunk").parquet(path)
+    """The sketch as Parquet, partitioned by the chunk of the read; as many tasks write a chunk as its rows ask for."""
+    rows = mm.withColumn("chunk", F.pmod("rid", F.lit(chunks)).cast("int"))
+    rows.hint("rebalance", "chunk").write.partitionBy("chunk").parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -168,3 +168,25 @@ def test_interval_query_matches_brute_force(spark):
     got = sorted((r["i_id"], r["q_id"]) for r in contig_map.interval_query(df, df).collect())
     real = [r for r in rows if r[2] < r[3]]
     assert got == sorted((a[0], b[0]) for a in real for b in real if a[1] == b[1] and a[2] < b[3] and a[3] > b[2])
+
+
+def test_polished_contigs_have_fewer_errors(spark):
+    rng = random.Random(11)
+    genome = dna(rng, 12_000)
+    rows = []
+    for k, name, seq in tiles(rng, genome, 3000, 150):
+        bases = list(seq)
+        for i in rng.sample(range(40, len(bases) - 40), 2):
+            bases[i] = rng.choice("ACGT".replace(bases[i], ""))
+        rows.append((k, name, "".join(bases)))
+    reads = spark.createDataFrame(rows, "rid long, name string, seq string")
+    p = Params(w=24, k=25, r=3, tol=0.02)
+    words = {s[i : i + 21] for s in (genome, turned(genome)) for i in range(len(genome) - 20)}
+
+    def wrong(polish):
+        seq = max((c["seq"].upper() for c in assemble.assemble(reads, p, polish=polish).collect()), key=len)
+        assert len(seq) > 8000
+        return sum(seq[i : i + 21] not in words for i in range(len(seq) - 20)) / len(seq)
+
+    raw, better = wrong(False), wrong(True)
+    assert better < raw / 3 and raw > 0.003

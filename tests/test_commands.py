@@ -34,7 +34,17 @@ def test_commands_from_files_to_contigs(spark, tmp_path):
     (tmp_path / "ids").write_text("5\n2\n")
     run("getreads", at("sdb"), at("ids"), at("two"))
     assert sorted(r["name"] for r in fastx.read_fasta(spark, at("two")).collect()) == ["r2", "r5"]
-    run("asm", at("reads.lst"), at("asm"), "--fast")
+    run("asm", at("reads.lst"), at("asm"), "--fast", "--keep")
+    rows = lambda name: sorted(tuple(r) for r in spark.read.parquet(at(name)).collect())
+    assert rows("asm/graph/layout") == rows("graph/layout") and rows("asm/contigs") == rows("ctg")
+    primary = spark.read.parquet(at("ctg")).where("tag = 'P'").collect()
+    assert sorted((r["name"], r["seq"]) for r in fastx.read_fasta(spark, at("asm/contigs_m.fa")).collect()) == sorted((r["ctg"], r["seq"]) for r in primary)
+    assert all(r["ctg"].startswith("ctg0") and r["ctg"].endswith("_P") for r in primary)
+    relations = [r["value"].split(" ")[0] for r in spark.read.text(at("asm/resolved.rel")).collect()]
+    assert relations.count("P") + relations.count("A") == spark.read.parquet(at("asm/resolved")).count()
+    assert spark.read.text(at("graph/utg.gfa")).where("value like 'H%'").count() == 1
+    fastx.delete(spark, at("asm/graph"))
+    assert not (tmp_path / "asm/graph").exists()
     assert spark.read.parquet(at("asm/summary")).collect()[0]["longest"] > 6000
     assert spark.read.parquet(at("asm/resolved")).count() == spark.read.parquet(at("asm/contigs")).count()
     ovlp = spark.read.parquet(at("ovlp"))

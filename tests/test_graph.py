@@ -141,3 +141,18 @@ def test_read_filters(spark):
     assert 0 in ids(overlaps.chimeras(df)) and 3 in ids(overlaps.chimeras(df)) and 1 not in ids(overlaps.chimeras(df))
     none = df.select(F.col("rid0").alias("rid")).where(F.lit(False))
     assert ids(overlaps.contained_reads(df, none)) == [4] and overlaps.without_reads(df, spark.createDataFrame([(4,)], "rid long")).count() == 6
+
+
+def test_bridges_go_by_rounds_as_one_by_one(spark):
+    rng = random.Random(12)
+    for k in range(3):
+        rows = {}
+        for _ in range(60):
+            v, w = rng.randrange(24), rng.randrange(24)
+            if v >> 1 != w >> 1:
+                x = rng.randrange(6)
+                rows[v, w] = rows[w ^ 1, v ^ 1] = x
+        df = edges(spark, [(v, w, x) for (v, w), x in rows.items()])
+        assert set(pairs_of(G.without_bridges(df, 5))) == G.greedy_bridges([(v, w, x) for (v, w), x in rows.items()], 5)
+    walk = layout.Walk([(0, 2), (2, 8), (0, 4), (4, 6), (6, 8)])
+    assert walk.route(0, 8, weight={(0, 2): 9, (2, 8): 1, (0, 4): 1, (4, 6): 1, (6, 8): 1}) == [0, 4, 6, 8]
