@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators.overlaps import overlap_line
+from strandloom.plans.lineage import cut_lineage
 
 #: Files under this size are skipped unless asked for.
 LEAST_FILE = 65_536
@@ -34,14 +35,76 @@ def parse_fastx(data: bytes, drop_last: bool = False) -> Iterator[tuple[str, str
         yield head.strip().partition(b" ")[0].decode(), body.translate(None, b"\r\n").decode()
 
 
-def read_fastx(spark: SparkSession, paths: list[str], least_file: int = LEAST_FILE, drop_last: bool = False) -> DataFrame:
-    """Records (file, ord, name, seq) of the files, each file read by one task.
-
-    Files go through Spark's binary reader, so any store that Spark reads will do.  Plain FASTA of any size is better
-    read by `read_fasta`, which splits files.
+def _sniffed(spark: SparkSession, paths: list[str]) -> list[tuple[str, int, str, bool]]:
+    """(path, size, kind: ">" or "@" or other, whether gzipped) of each file, by its first bytes."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        stream = fs.open(path)
+        first, zipped = stream.read(), False
+        if first == 0x1F and stream.read() == 0x8B:
+            stream.seek(0)
+            stream = jvm.java.util.zip.GZIPInputStream(stream)
+            first, zipped = stream.read(), True
+        stream.close()
+        out.append((name, fs.getFileStatus(path).getLen(), chr(max(first, 0)), zipped))
+    return out
+
+
+def _in_order(spark: SparkSession, paths: list[str], sep: str | None = None) -> DataFrame:
+    """(file, no, value, n): the pieces of text files between separators, their numbers in the file, and how many it has.
+
+    Files are split among tasks; the pieces of each split are counted first, and a split's numbers begin after those of
+    the splits before it.
     """
-    files = spark.read.format("binaryFile").load(paths).where(F.col("length") >= least_file)
+    reader = spark.read.option("lineSep", sep) if sep else spark.read
+    rows = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    rows = (rows.where("trim(value) <> ''") if sep else rows).withColumn("at", F.monotonically_increasing_id())
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    of_file = Window.partitionBy("file")
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "block", (before - F.col("first")).alias("shift"), F.sum("n").over(of_file).alias("n"))
+    return rows.join(F.broadcast(offsets), ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("no"), "value", "n")
+
+
+def _fasta_fields(value: Column) -> tuple[Column, Column]:
+    """(name, sequence) of the text between two record marks."""
+    return F.regexp_extract(value, r"^\s*([^\s]+)", 1), F.regexp_replace(F.regexp_replace(value, r"^[^\n]*\n", ""), r"\s", "")
+
+
+def _fastq(spark: SparkSession, paths: list[str], drop_last: bool) -> DataFrame:
+    lines = _in_order(spark, paths)
+    last = F.floor((F.col("n") - 3) / 4) - (1 if drop_last else 0)  # the last record with three lines or four
+    used = lines.where("no % 4 < 2").where(F.floor(F.col("no") / 4) <= last).select("file", "no", "value")
 
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # a head whose sequence hasn't come
+        for batch in batches:
+            out = []
+            for file, no, value in zip(*(batch.column(c).to_pylist() for c in ("file", "no", "value")), strict=True):
+                if no % 4 == 0:
+                    if held:
+                        out.append((*held, None))
+                    held = (file, no // 4, value[1:].partition(" ")[0]) if value.startswith("@") else None
+                elif held and held[:2] == (file, no // 4):
+                    out.append((*held, value))
+                    held = None
+                else:
+                    out.append((file, no // 4, None, value))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["file", "ord", "name", "seq"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*held, None), (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["file", "ord", "name", "seq"])
+
+    found = cut_lineage(used.mapInArrow(pair, READS))
+    whole = found.where("name is not null and seq is not null")
+    # a record that two splits share, at most one a split
+    halves = found.where("name is null or seq is null").groupBy("file", "ord").agg(F.max("name").alias("name"), F.max("seq").alias("seq"))
+    return whole.unionByName(halves.where("name is not null and seq is not null"))
+
+
+def _whole_files(spark: SparkSession, paths: list[str], drop_last: bool) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -50,14 +113,37 @@ def read_fastx(spark: SparkSession, paths: list[str], least_file: int = LEAST_FI
                     [pa.array([path] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], names=["file", "ord", "name", "seq"]
                 )
 
-    return files.select("path", "content").mapInArrow(parse, READS)
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(parse, READS)
+
+
+def read_fastx(spark: SparkSession, paths: list[str], least_file: int = LEAST_FILE, drop_last: bool = False) -> DataFrame:
+    """Records (file, ord, name, seq) of the files, in any store that Spark reads.
+
+    Plain files are split among tasks at any size, gzipped ones are streamed by a task each.  Only gzipped files whose
+    names don't end in .gz are read as a whole, up to 2 GB.
+    """
+    files = [f for f in _sniffed(spark, paths) if f[1] >= least_file]
+    hidden = [name for name, _, _, zipped in files if zipped and not name.endswith(".gz")]
+    plain = {kind: [name for name, _, k, _ in files if k == kind and name not in hidden] for kind in ">@"}
+    parts = []
+    if plain[">"]:
+        rows = _in_order(spark, plain[">"], ">")
+        name, seq = _fasta_fields(F.col("value"))
+        parts.append(rows.select("file", F.col("no").alias("ord"), name.alias("name"), seq.alias("seq")))
+    if plain["@"]:
+        parts.append(_fastq(spark, plain["@"], drop_last))
+    if hidden:
+        parts.append(_whole_files(spark, hidden, drop_last))
+    out = parts[0] if parts else spark.createDataFrame([], READS)
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def read_fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Records (name, seq) of plain or gzipped FASTA; large plain files are split among tasks at record marks."""
     text = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''")
-    head = F.regexp_extract("value", r"^\s*([^\s]+)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")
+    head, body = _fasta_fields(F.col("value"))
     return text.select(head.alias("name"), body.alias("seq"))
 
 

@@ -129,6 +129,32 @@ def test_fastx_files(spark, tmp_path):
     assert sorted((r["name"], r["seq"]) for r in fastx.read_fasta(spark, paths[0]).collect()) == sorted((f"s{k}", s) for k, s in enumerate(seqs))
 
 
+def test_files_in_many_splits(spark, tmp_path):
+    rng = random.Random(13)
+    seqs = [dna(rng, rng.choice([1, 50, 700, 5000])) for _ in range(90)]
+    fastq = "".join(f"@s{k} x\n{s}\n+\n{'@' * len(s)}\n" for k, s in enumerate(seqs))
+    fasta = "".join(f">s{k}\n{s}\n" for k, s in enumerate(seqs))
+    texts = {"a.fq": fastq, "b.fq": fastq.replace("\n", "\r\n"), "c.fa": fasta, "d.fq": fastq[: fastq.rindex("+")], "one.fq": fastq[: fastq.index("@s1 ")]}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "e.txt").write_bytes(gzip.compress(fastq.encode()))
+    (tmp_path / "f.fa.gz").write_bytes(gzip.compress(fasta.encode()))
+    want = {name: len(seqs) for name in ("a.fq", "b.fq", "c.fa", "e.txt", "f.fa.gz")} | {"d.fq": len(seqs) - 1, "one.fq": 1}
+    try:
+        for size in ("3000b", "700b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+            assert spark.read.text(str(tmp_path / "a.fq")).rdd.getNumPartitions() > 20
+            got = fastx.read_fastx(spark, [str(tmp_path / n) for n in want], 0).collect()
+            for name, n in want.items():
+                mine = sorted((r["ord"], r["name"], r["seq"]) for r in got if r["file"].endswith("/" + name))
+                assert mine == [(k, f"s{k}", s) for k, s in enumerate(seqs[:n])], name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert fastx.read_fastx(spark, [str(tmp_path / "a.fq")], 1 << 30).collect() == []
+
+
 def test_catalogue_and_writers(spark, tmp_path):
     rows = [(3 * k, f"n{k}", "ACGT" * (100 + 10 * k)) for k in range(20)]
     reads = spark.createDataFrame(rows, "ord long, name string, seq string")
