@@ -12,29 +12,12 @@ from strandloom.operators import align, candidates, catalog, consensus, contig_m
 from strandloom.params import TEXT_PARAMS, Params
 from strandloom.plans import assemble, sql
 from strandloom.plans.lineage import cut_lineage
+from strandloom.plans.register import QUERIES, SQL, query as _query, table as _table
 
 #: Parameters for the short benchmark texts.
 SHORT_PARAMS = Params(w=5, k=15, r=2)
 P = TEXT_PARAMS
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(oracle: str | None = None):
-    def register(f):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _SQL[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _seconds():
     """Seconds of a time without zone since 1970, whatever the session's zone."""
     return F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
@@ -311,7 +294,7 @@ def sketch_containment(spark, sf_dir):
     return contig_map.sketch_containment(_mm(spark, sf_dir))
 
 
-@_query(_SQL["sketch_containment"].replace("SELECT rid0, rid1, shared, a.s AS s0", "SELECT rid0, rid1 FROM (SELECT *, row_number() OVER (PARTITION BY rid0 ORDER BY shared DESC, rid1) AS k FROM (SELECT rid0, rid1, shared, a.s AS s0") + ") WHERE r0 > 0.5 AND s1 > s0) WHERE k = 1")
+@_query(SQL["sketch_containment"].replace("SELECT rid0, rid1, shared, a.s AS s0", "SELECT rid0, rid1 FROM (SELECT *, row_number() OVER (PARTITION BY rid0 ORDER BY shared DESC, rid1) AS k FROM (SELECT rid0, rid1, shared, a.s AS s0") + ") WHERE r0 > 0.5 AND s1 > s0) WHERE k = 1")
 def resolve_associates(spark, sf_dir):
     return contig_map.associates(contig_map.sketch_containment(_mm(spark, sf_dir)))
 
@@ -336,12 +319,6 @@ def _short(spark, sf_dir):
     return sketch.shimmers(_reads(spark, sf_dir, 0), SHORT_PARAMS), sketch.shimmers(items, SHORT_PARAMS)
 
 
-@_query()
-def match_chains(spark, sf_dir):
-    """Chains of the interval map."""
-    return contig_map.chains(contig_map.interval_map(*_short(spark, sf_dir)))
-
-
 # ---- string graph, on graphs made of orders
 
 
@@ -461,8 +438,12 @@ def assembled_documents(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from strandloom.plans import algebra  # noqa: F401  registers more queries
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from strandloom.plans import algebra  # noqa: F401
+
+    return dict(SQL)
