@@ -129,7 +129,7 @@ def covered_ranges(docs: DataFrame, length: int) -> DataFrame:
     """(doc, key, at, to): word ranges of each document that windows of smaller documents cover."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch.bits_for(total // 90)
-    buckets = 1 << min(16, max(8, int(total >> 22).bit_length()))
+    buckets = 1 << min(30, max(8, int(total >> 22).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
