@@ -431,10 +431,19 @@ def corrected_reads(spark, sf_dir):
     return consensus.corrected_reads(marked_overlaps(spark, sf_dir), reads, P.tol, min_len=200, least=200)
 
 
+def _document_tiles(spark, sf_dir, length=800, step=200):
+    """Each different document of 1,400 bases or more as reads that overlap, every other one reversed."""
+    texts = _reads(spark, sf_dir, 1400).groupBy("seq").agg(F.min("rid").alias("doc"))
+    tiles = texts.select("doc", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length, F.lit(step))).alias("at"))
+    piece = F.substring(F.col("seq"), F.col("at") + 1, F.lit(length))
+    number = F.col("doc") * 100_000 + (F.col("at") / step).cast("long")
+    return tiles.select(number.alias("rid"), F.concat_ws("_", "doc", "at").alias("name"), F.when(F.col("at") / step % 2 == 1, S.reverse_complement(piece)).otherwise(piece).alias("seq"))
+
+
 @_query()
 def assembled_documents(spark, sf_dir):
-    """Layout of the document reads' string graph, spelt out."""
-    return assemble.assemble(_reads(spark, sf_dir), P, min_len=200)
+    """Contigs of the documents' overlapping reads."""
+    return assemble.assemble(cut_lineage(_document_tiles(spark, sf_dir)), P, min_len=200)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
