@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandloom.operators import align, candidates, catalog, consensus, contig_map, graph, layout, overlaps, sketch
 from strandloom.params import Params
 from strandloom.plans import assemble
+from strandloom.plans.lineage import clear_tables
 from strandloom.sources import fastx
 
 
@@ -159,6 +160,7 @@ def asm(spark, a):
     catalog.assembly_summary(contigs.select(F.length("seq").alias("len"))).write.parquet(f"{a.out}/summary")
     if not a.keep:
         fastx.delete(spark, f"{a.out}/graph")
+        clear_tables()
 
 
 COMMANDS = {

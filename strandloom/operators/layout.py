@@ -23,6 +23,8 @@ from strandloom.plans.lineage import cut_lineage
 
 #: Reads that make a branch a true one, and edges that make a path a contig or a primary one.
 BRANCH, SHORT, PRIMARY = 1024, 3, 8
+#: Searches that a walk remembers, of BRANCH nodes at most each.
+REMEMBERED = 4096
 #: Bases at the begin of an overlap in which the cut is looked for.
 WINDOW = 100
 #: Unitigs whose graph the driver reduces, at most: one small row each.
@@ -50,7 +52,7 @@ class Walk:
     """Adjacency of a component, and searches in it."""
 
     def __init__(self, edges: list[tuple[int, int]]):
-        self.out, self.into = defaultdict(list), defaultdict(list)
+        self.out, self.into, self.found = defaultdict(list), defaultdict(list), {}
         for v, w in sorted(edges):
             self.out[v].append(w)
             self.into[w].append(v)
@@ -125,14 +127,23 @@ class Walk:
             seen.add(path[-1])
         return score[end], path[::-1]
 
+    def far(self, start: int) -> frozenset[int] | None:
+        """The first nodes found from start if they are more than BRANCH; else None.  The latest ones are remembered."""
+        if start not in self.found:
+            if len(self.found) >= REMEMBERED:
+                self.found.clear()
+            seen = self.near(start, BRANCH + 1)
+            self.found[start] = frozenset(seen) if len(seen) > BRANCH else None
+        return self.found[start]
+
+    def leaves(self, v: int, on: set[int]) -> bool:
+        """Whether a way off the path goes on for long from v without meeting the path (its nodes) again."""
+        return any(w not in on and (found := self.far(w)) is not None and on.isdisjoint(found) for w in self.out[v])
+
     def trimmed(self, path: list[int]) -> list[int]:
         """The path up to its first node with a way off it that goes on for long without meeting it again."""
         on = set(path)
-        for i, v in enumerate(path[:-1]):
-            for w in self.out[v]:
-                if w not in on and len(found := self.near(w, BRANCH + 1)) > BRANCH and not on & set(found):
-                    return path[: i + 1]
-        return path
+        return next((path[: i + 1] for i, v in enumerate(path[:-1]) if self.leaves(v, on)), path)
 
 
 def paths_of(edges: list[tuple[int, int]]) -> list[tuple[str, list[int]]]:
@@ -148,10 +159,9 @@ def paths_of(edges: list[tuple[int, int]]) -> list[tuple[str, list[int]]]:
         found = sorted((walk.best_path(s) for s in seeds), key=lambda x: (-x[0], x[1]))
         used = False
         for _, path in found:
-            path = walk.trimmed(path)
-            steps = []
-            for e in zip(path, path[1:], strict=False):
-                if e not in left:
+            steps, on = [], set(path)
+            for e in zip(path, path[1:], strict=False):  # up to where the path would be trimmed, or what another took
+                if e not in left or walk.leaves(e[0], on):
                     break
                 steps.append(e)
                 left -= {e, (e[1] ^ 1, e[0] ^ 1)}

@@ -431,9 +431,9 @@ def corrected_reads(spark, sf_dir):
     return consensus.corrected_reads(marked_overlaps(spark, sf_dir), reads, P.tol, min_len=200, least=200)
 
 
-def _document_tiles(spark, sf_dir, length=800, step=200):
-    """Each different document of 1,400 bases or more as reads that overlap, every other one reversed."""
-    texts = _reads(spark, sf_dir, 1400).groupBy("seq").agg(F.min("rid").alias("doc"))
+def _document_tiles(spark, sf_dir, length=1000, step=250):
+    """Each different document of 4,000 bases or more as reads that overlap, every other one reversed."""
+    texts = _reads(spark, sf_dir, 4000).groupBy("seq").agg(F.min("rid").alias("doc"))
     tiles = texts.select("doc", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - length, F.lit(step))).alias("at"))
     piece = F.substring(F.col("seq"), F.col("at") + 1, F.lit(length))
     number = F.col("doc") * 100_000 + (F.col("at") / step).cast("long")
