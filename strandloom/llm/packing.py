@@ -1,13 +1,18 @@
 """Lexical retrieval packing: documents become training sequences of a fixed window with almost no padding.
 
-Each scan partition is read in shards of a bounded number of documents.  Full windows of a long document are sequences
-of their own; the rest of each document (less than a window) goes to its shard's BM25 inverted index over token ids.
+Every text is tokenised once.  Full windows of a long document are sequences of their own; the rest of each document
+(less than a window) is stored as token ids.  Document frequencies and the mean length of all rests are gathered first (a
+row for each id of the vocabulary).  A rest's route is made of the least hashes of its best BM25 terms, so related rests,
+and copies before all, have routes that lie together wherever they stand in the table; rests are spread in ranges of
+routes and sorted by them, and a shard is a bounded number of neighbours in this order.  A shard's rests go to a BM25
+inverted index over token ids.
 Every unused rest in turn is a seed: the index returns its unused neighbours by score, those that fit are appended, and
 the best one that doesn't is cut to fill the window exactly.  Rests of the window left open pass to the next shard; the
 last open window of a partition is cut into sequences of power-of-two lengths, which need no padding.
 
-Nothing is shuffled, memory is bounded by a shard, and a lost task is simply repeated over the same rows, with the same
-sequence ids, which hold the partition's number.
+Rests of equal routes are split by their place in the scan, so a hot group of copies fills many shards and partitions.
+Memory is bounded by a shard.  Sequence ids hold the partition's number; ranges of routes come from a sample, so running
+the query again may give other sequences.
 
 Edge cases: a null or empty text is its end token alone.  Very long texts are tokenised whole and cut; the
 string of a special token in a text is that token.  Repeated rows
@@ -20,6 +25,7 @@ import base64
 import json
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +33,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bound_batches
+from strandloom.llm.common import bound_batches, materialize, mix64
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
+#: Rests in a partition, where there are more than cores to keep busy.
+PARTITION = 1 << 17
+
+
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids in two bytes each, or in four after a leading byte pair if one needs them."""
+    return ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 0xFFFF else b"\xff\xff" + ids.astype("<u4").tobytes()
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    return (np.frombuffer(data, "<u4", offset=2) if data[:2] == b"\xff\xff" else np.frombuffer(data, "<u2")).astype(np.uint32)
+
+
 class Tokens:
     """Ids of a public byte-level vocabulary; its ranks file gives the same ids as its JSON file, several times faster.
 
@@ -66,10 +85,32 @@ class Tokens:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
+class Statistics(NamedTuple):
+    """What BM25 needs to know of all rests: their number, mean length, and each id's document frequency."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray | int, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        """BM25 weights; terms in half of the documents or more have none."""
+        df = self.df[terms]
+        return np.maximum(np.log((self.n - df + 0.5) / (df + 0.5)), 0) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes / max(self.mean, 1)))
+
+    def route(self, ids: np.ndarray, best: int = 16) -> int:
+        """21 bits of each of the three least hashes among the best terms that other documents have too."""
+        terms, tf = np.unique(ids.astype(np.int64), return_counts=True)
+        weight = np.where(self.df[terms] > 1, self.weights(terms, tf, len(ids)), 0)
+        order = np.lexsort((terms, -weight))[:best]
+        least = np.sort(mix64(terms[order[weight[order] > 0]].astype(np.uint64)))[:3] >> np.uint64(43)
+        parts = [int(x) for x in least] + [(1 << 21) - 1] * (3 - len(least))
+        return parts[0] << 42 | parts[1] << 21 | parts[2]
+
+
 class Index:
-    """A shard's BM25 inverted index; terms in half of the documents or more have no positive weight and are left out."""
+    """A shard's BM25 inverted index, by the statistics of all documents or, without them, of its own."""
 
-    def __init__(self, texts: list[np.ndarray], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, texts: list[np.ndarray], statistics: Statistics | None = None):
         n = len(texts)
         sizes = np.array([len(t) for t in texts])
         of = np.repeat(np.arange(n), sizes)
@@ -77,13 +118,13 @@ class Index:
         pair, tf = np.unique(terms * n + of, return_counts=True)
         term, doc = pair // max(n, 1), pair % max(n, 1)
         _, at, df = np.unique(term, return_index=True, return_counts=True)
-        idf = np.log((n - df + 0.5) / (df + 0.5))
         no = np.repeat(np.arange(len(df)), df)
-        keep = idf[no] > 0
+        if statistics is None:
+            statistics = Statistics(n, sizes.mean() if n else 0, np.bincount(term))
         self.n, self.first, self.df = n, at, df
-        norm = k1 * (1 - b + b * sizes / max(sizes.mean(), 1)) if n else sizes
-        self.weight = np.where(keep, idf[no] * tf * (k1 + 1) / (tf + norm[doc]), 0)
+        self.weight = statistics.weights(term, tf, sizes[doc])
         self.doc = doc
+        keep = self.weight > 0
         order = np.argsort(doc[keep], kind="stable")
         self.by_doc = no[keep][order]
         self.start = np.searchsorted(doc[keep][order], np.arange(n + 1))
@@ -102,19 +143,15 @@ class Index:
 
 
 class Packer:
-    """Packs one partition; rows() gives the pieces of the sequences that are complete."""
+    """Packs one partition's rests; out holds the pieces of the sequences that are complete."""
 
-    def __init__(self, window: int, shard: int, base: int, with_ids: bool):
-        self.window, self.shard, self.sequence, self.with_ids = window, shard, base, with_ids
+    def __init__(self, window: int, shard: int, base: int, with_ids: bool, statistics: Statistics | None = None):
+        self.window, self.shard, self.sequence, self.with_ids, self.statistics = window, shard, base, with_ids, statistics
         self.pool: list[list] = []  # [document, ids, start, tokens of the document]
         self.out: list[tuple] = []
 
-    def add(self, doc, ids: np.ndarray) -> None:
-        full = len(ids) - len(ids) % self.window
-        for start in range(0, full, self.window):
-            self._emit([[doc, ids[start : start + self.window], start, len(ids)]])
-        if full < len(ids):
-            self.pool.append([doc, ids[full:], full, len(ids)])
+    def add(self, doc, ids: np.ndarray, start: int, total: int) -> None:
+        self.pool.append([doc, ids, start, total])
         if len(self.pool) >= self.shard:
             self.pool = self._pack()
 
@@ -130,7 +167,7 @@ class Packer:
         """Emit full windows; what the last, open window holds is returned."""
         if not self.pool:
             return []
-        pool, index = self.pool, Index([p[1] for p in self.pool])
+        pool, index = self.pool, Index([p[1] for p in self.pool], self.statistics)
         unused = np.ones(len(pool), bool)
         for seed in range(len(pool)):
             if not unused[seed]:
@@ -177,30 +214,94 @@ class Packer:
         self.pool = []
 
 
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _cut(rows: DataFrame, window: int, end_token: int, vocabulary: str, plain: bool, with_ids: bool) -> DataFrame:
+    """Windows of long documents, which are sequences already, and the rest of each document with its ids (rest)."""
+    schema = pa.schema([("doc", pa.int64()), *_SCHEMA, ("rest", pa.binary()), ("ids", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, end = Tokens(vocabulary, plain), np.array([end_token], np.uint32)
+        place, out, held = TaskContext.get().partitionId() << 40, [], 0
+        for batch in batches:
+            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
+                ids = np.concatenate([tokens(value.as_py() or ""), end])
+                for start in range(0, len(ids), window):
+                    part = ids[start : start + window]
+                    whole = len(part) == window
+                    found = (zlib.crc32(part.astype("<u4").tobytes()), None, part if with_ids else None) if whole else (None, pack_ids(part), None)
+                    out.append((doc.as_py(), start, len(part), found[0], len(ids), place, 0, *found[1:]))
+                    place, held = place + 1, held + 2 * len(part)
+                    if held >= 4 << 20:
+                        yield _table(out, schema)
+                        out, held = [], 0
+        yield _table(out, schema)
+
+    return rows.mapInArrow(cut, f"doc long, {PIECES}, rest binary, ids array<long>")
+
+
+def _statistics(rests: DataFrame) -> Statistics:
+    """Statistics of all rests; each task adds up its own, the driver gets a row for each id of the vocabulary."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, size = np.zeros(1 << 16, np.int64), 0, 0
+        for batch in batches:
+            for rest in batch.column(0):
+                terms = np.unique(unpack_ids(rest.as_py()))
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1, np.int64)])
+                df[terms] += 1
+            n += len(batch)
+            size += sum(batch.column(1).to_pylist())
+        met = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], met])), pa.array(np.concatenate([[n, size], df[met]]))], ["term", "n"])
+
+    rows = rests.select("rest", "length").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in rows}
+    n, size = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, size / max(n, 1), df)
+
+
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 2048, shard: int = 512, end_token: int = 1, vocabulary: str = "byte_bpe_50k", with_ids: bool = False, plain: bool = False) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for.
 
     plain: the strings of special tokens in a text are ordinary text.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    cut = materialize(_cut(rows, window, end_token, vocabulary, plain, with_ids), "pieces")
+    rests = cut.where("rest is not null")
+    statistics = _statistics(rests)
+
     schema = pa.schema([("doc", pa.int64()), *_SCHEMA] + ([("ids", pa.list_(pa.int64()))] if with_ids else []))
     types = f"doc long, {PIECES}" + (", ids array<long>" if with_ids else "")
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            routes = [statistics.route(unpack_ids(rest.as_py())) for rest in batch.column("rest")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(routes, pa.int64())], [*batch.schema.names, "route"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, end = Tokens(vocabulary, plain), np.array([end_token], np.uint32)
-        packer = Packer(window, shard, TaskContext.get().partitionId() << 40, with_ids)
+        # windows have the numbers below 2**62
+        packer = Packer(window, shard, 1 << 62 | TaskContext.get().partitionId() << 40, with_ids, statistics)
         for batch in batches:
-            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
-                packer.add(doc.as_py(), np.concatenate([tokens(value.as_py() or ""), end]))
+            for doc, start, total, rest in zip(*(batch.column(k) for k in ("doc", "start", "doc_tokens", "rest")), strict=True):
+                packer.add(doc.as_py(), unpack_ids(rest.as_py()), start.as_py(), total.as_py())
                 if len(packer.out) >= 8192:
-                    yield table(packer.out)
+                    yield _table(packer.out, schema)
                     packer.out = []
         packer.finish()
-        yield table(packer.out)
-
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(pack, types).withColumnRenamed("doc", id_col)
+        yield _table(packer.out, schema)
+
+    # places, which differ, split the rests of one route
+    parts = max(2 * spark.sparkContext.defaultParallelism, statistics.n // PARTITION)
+    near = rests.select("doc", "start", "doc_tokens", F.col("sequence_id").alias("place"), "rest").mapInArrow(routed, "doc long, start long, doc_tokens long, place long, rest binary, route long")
+    near = near.repartitionByRange(parts, "route", "place").sortWithinPartitions("route", "place").drop("route", "place")
+    windows = cut.where("rest is null").select(*schema.names)
+    return windows.unionByName(near.mapInArrow(pack, types)).withColumnRenamed("doc", id_col)

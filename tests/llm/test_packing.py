@@ -1,11 +1,12 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
-from tests.llm.conftest import corpus
+from tests.llm.conftest import corpus, prose
 from tokenizers import Tokenizer
 
-from strandloom.llm.packing import Index, Tokens, pack_documents
+from strandloom.llm.packing import Index, Statistics, Tokens, _cut, _statistics, pack_documents, pack_ids, unpack_ids
 
 
 def reference_ids(text, tokenizer=[]):
@@ -76,3 +77,50 @@ def test_hard_texts():
     special = "x <|endoftext|> y" + " " * 200_000 + "<|endoftext|><|endoftext"
     assert tokens(special).tolist() == reference_ids(special)[:-1] and tokens("x <|endoftext|> y").tolist() == [87, 220, 50256, 331]
     assert Tokens(plain=True)("x <|endoftext|> y").tolist() == [87, 1279, 91, 437, 1659, 5239, 91, 29, 331]
+
+
+def test_statistics_of_all_rests_match_brute_force(spark, documents):
+    rows = corpus()
+    cut = _cut(documents(rows).repartition(3).select("doc_id", "text").toDF("doc", "text"), 64, 1, "byte_bpe_50k", False, False)
+    found = _statistics(cut.where("rest is not null"))
+    rests = [ids[len(ids) - len(ids) % 64 :] for ids in map(reference_ids, (t for _, t in rows)) if len(ids) % 64]
+    assert found.n == len(rests) and found.mean == sum(map(len, rests)) / len(rests)
+    assert found.df.tolist() == [sum(k in r for r in map(set, rests)) for k in range(len(found.df))]
+    assert len(found.df) == 1 + max(map(max, rests))
+
+
+def test_weights_come_from_the_whole_table():
+    texts = [np.array(t, np.uint32) for t in ([5, 6], [5, 6], [5, 7], [7, 8])]
+    df = np.zeros(9, np.int64)
+    df[[5, 6, 7, 8]] = [90, 2, 10, 1]
+    index = Index(texts, Statistics(100, 2.0, df))
+    # 5 stands in 90 of 100 rests and counts nothing, though in three of these four
+    assert index.neighbours(0, np.ones(4, bool)).tolist() == [0, 1]
+    assert set(index.neighbours(2, np.ones(4, bool))) == {2, 3}
+
+
+def test_related_documents_of_far_partitions_share_sequences(spark, documents):
+    rng = random.Random(4)
+    topics = [[f"{a}{b}" for a, b in zip(rng.sample(prose(rng, 400).split(), 40), range(k, 4000, 100))] for k in range(60)]
+    rows = [(60 * c + k, " ".join(rng.choice(topics[k]) for _ in range(60))) for c in range(8) for k in range(60)]
+    pieces = pack_documents(documents(rows).repartitionByRange(8, "doc_id"), shard=32).collect()
+    held = {}
+    for r in pieces:
+        held.setdefault(r["sequence_id"], set()).add(r["doc_id"] % 60)
+    # a sequence holds some five documents; of unrelated ones it would hold as many topics
+    documents_held = len({(r["sequence_id"], r["doc_id"]) for r in pieces})
+    assert sum(map(len, held.values())) < 0.6 * documents_held
+
+
+def test_a_hot_group_is_spread_over_partitions(spark, documents):
+    hot = prose(random.Random(6), 50)
+    pieces = pack_documents(documents([(k, hot) for k in range(2000)]).repartition(2)).collect()
+    per = {}
+    for r in pieces:
+        per[r["sequence_id"] >> 40] = per.get(r["sequence_id"] >> 40, 0) + r["length"]
+    assert len(per) >= 6 and max(per.values()) < 0.3 * sum(per.values())
+
+
+def test_stored_ids_round_trip():
+    for ids in ([], [1, 0xFFFE], [0xFFFF], [3, 70_000], [0xFFFFFFFF, 0]):
+        assert unpack_ids(pack_ids(np.array(ids, np.uint32))).tolist() == ids
