@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Powers, Roll, blocks, mix64, text_bytes, word_hashes, word_spans
+from strandloom.llm.common import Powers, Roll, blocks, mix64, release, text_bytes, word_hashes, word_spans
 
 #: Dimensions of the hashed features, and the largest training sample.
 DIMENSIONS, SAMPLE = 1 << 14, 8192
+#: Bytes of text taken at once; arrays of about a hundred times as many are made for them.
+BLOCK = 1 << 18
 _GOOD, _BAD, _NONE = 2, 1, 0
 #: Prior rate of objections to bad and to good documents, and the share of all documents that the prior counts as.
 OBJECTS, FALSE_ALARM = (0.35, 0.1), (0.01, 1.0)
@@ -175,7 +177,7 @@ def train(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.nd
 
 
 def _each(texts: pa.Array) -> Iterator[tuple[int, int, Texts]]:
-    for a, b in blocks(texts):
+    for a, b in blocks(texts, BLOCK):
         yield a, b, Texts(texts.slice(a, b - a))
 
 
@@ -188,6 +190,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sample: int
         for batch in batches:
             for _, _, t in _each(batch.column(0)):
                 total += np.bincount(patterns(votes(t)), minlength=len(total))
+        release()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], names=["pattern", "n"])
 
@@ -228,6 +231,7 @@ def score(text: Column, weights: np.ndarray, session) -> Column:
                 z = np.bincount(doc, value * w[feature], b - a) + w[-1]
                 out[a:b] = np.where(t.n > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), 0)
             yield pa.array(out, pa.float64())
+        release()
 
     return scored(text)
 
