@@ -45,6 +45,38 @@ def test_label_model_finds_rates():
     assert Q.label_model(np.empty(0, np.int64), np.empty(0, np.int64)) == {}
 
 
+def brute_em(v, rounds=100):
+    """Expectation-maximisation document by document, with the same start and priors, in plain Python."""
+    (rate_bad, share_bad), (rate_good, share_good) = Q.OBJECTS, Q.FALSE_ALARM
+    good = [0.1 if 1 in row else 0.95 for row in v]
+    for _ in range(rounds):
+        objects = []
+        for of_class, rate, share in (([1 - g for g in good], rate_bad, share_bad), (good, rate_good, share_good)):
+            pseudo = share * len(v) + 1
+            objects.append([(sum(w for w, row in zip(of_class, v) if row[k] == 1) + rate * pseudo) / (sum(w for w, row in zip(of_class, v) if row[k] != 0) + pseudo) for k in range(Q.LABELLERS)])
+        prior = (sum(good) + 1) / (len(v) + 2)
+        new = []
+        for row in v:
+            p = [1 - prior, prior]
+            for c in (0, 1):
+                for k, x in enumerate(row):
+                    p[c] *= 1 if x == 0 else objects[c][k] if x == 1 else 1 - objects[c][k]
+            new.append(p[1] / (p[0] + p[1]))
+        done, good = max(abs(a - b) for a, b in zip(new, good)) < 1e-9, new
+        if done:
+            break
+    return good
+
+
+def test_label_model_matches_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 300):
+        v = rng.choice(3, (n, Q.LABELLERS), p=[0.2, 0.15, 0.65])
+        pattern, count = np.unique(Q.patterns(v), return_counts=True)
+        found = Q.label_model(pattern, count)
+        assert np.allclose([found[p] for p in Q.patterns(v)], brute_em(v.tolist()), atol=1e-6)
+
+
 def test_scores_do_not_depend_on_the_block():
     rows = [t for t, _ in labelled(60)]
     every = Q.features(Q.Texts(pa.array(rows)))
