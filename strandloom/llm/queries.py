@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm.conversation_repair import damaged, repair_conversations
 from strandloom.llm.decontaminate import find_leaks
 from strandloom.llm.exact_dedup import exact_groups
 from strandloom.llm.html_extract import extract_pages
@@ -62,8 +63,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_packing, op3_decontaminate, op4_substring_dedup, op5_exact_dedup, op6_sharding, op7_quality, op8_license_scan, op9_jaccard_join, op10_url_filter)
+    found = (op1_html_extract, op2_packing, op3_decontaminate, op4_substring_dedup, op5_exact_dedup, op6_sharding, op7_quality, op8_license_scan, op9_jaccard_join, op10_url_filter, op12_conversation_repair)
     return {f.__name__: f for f in found}
 
 
@@ -135,5 +140,39 @@ def _license_sql() -> str:
 SQL["op8_license_scan"] = _license_sql()
 
 
+#: CRC-32 of short ASCII texts: the table of all bytes, and a fold over the codes of the letters.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda x: list_reduce([x, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+SQL["op12_conversation_repair"] = rf"""
+    WITH RECURSIVE
+         c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, dense_rank() OVER (ORDER BY conv_id) AS k,
+                      {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS code FROM conversations, {_CRC_TABLE}),
+         a AS (SELECT k, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+               FROM (SELECT *, unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM c)),
+         o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM a),
+         f AS MATERIALIZED (SELECT *, left(role, 1) AS s, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+                                   WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+         ins(q, p, letters, extra, lines) AS (VALUES (0, 0, '', 0, ''), (1, 1, '', 0, ''), (2, 2, '', 0, ''), (3, 3, '', 0, ''),
+                (0, 2, 'I', 2, chr(10) || 'user:'), (1, 2, 'I', 2, chr(10) || 'user:'), (3, 2, 'I', 2, chr(10) || 'user:'), (2, 3, 'I', 2, chr(10) || 'assistant:'),
+                (0, 3, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', 4, chr(10) || 'user:' || chr(10) || 'assistant:')),
+         edit(e, p, s, p2, price, as_role) AS (SELECT 'D', p, NULL::VARCHAR, p, 3, NULL::VARCHAR FROM range(4) t(p) UNION ALL SELECT 'R', p, NULL, CASE p WHEN 2 THEN 3 ELSE 2 END, 2, CASE p WHEN 2 THEN 'assistant' ELSE 'user' END FROM range(4) t(p)
+                UNION ALL SELECT * FROM (VALUES ('K', 0, 's', 1, 0, NULL), ('K', 0, 'u', 2, 0, NULL), ('K', 1, 'u', 2, 0, NULL), ('K', 3, 'u', 2, 0, NULL), ('K', 2, 'a', 3, 0, NULL))),
+         best(k, i, q, b) AS (
+            SELECT DISTINCT k, 0::BIGINT, 0::BIGINT, {{'cost': 0::BIGINT, 'audit': '', 'rep': ''}} FROM c
+            UNION ALL
+            SELECT best.k, best.i + 1, p2::BIGINT, min({{'cost': b.cost + extra + price + (e <> 'D' AND fault = 'truncated')::BIGINT, 'audit': b.audit || letters || e,
+                        'rep': b.rep || lines || CASE WHEN e = 'D' THEN '' ELSE chr(10) || coalesce(as_role, role) || ':' || text END}})
+            FROM best JOIN f ON f.k = best.k AND f.i = best.i + 1 JOIN ins ON ins.q = best.q JOIN edit ON edit.p = ins.p AND (edit.s IS NULL OR edit.s = f.s) AND (e = 'D' OR fault NOT IN ('blank', 'duplicate'))
+            GROUP BY best.k, best.i, p2),
+         n AS (SELECT k, count(*) AS n, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                      count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+               FROM (SELECT *, lag(s) OVER (PARTITION BY k ORDER BY i) || s NOT IN ('su', 'ua', 'au') AS illegal FROM f) GROUP BY k),
+         done AS (SELECT best.k, min({{'cost': b.cost + extra, 'audit': b.audit || letters, 'rep': b.rep || lines}}) AS b FROM best LEFT JOIN n USING (k) JOIN ins USING (q) WHERE best.i = coalesce(n.n, 0) AND p IN (0, 3) GROUP BY best.k)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+           b.cost AS cost, b.audit AS audit, sha256(b.rep[2:]) AS repaired_sha256
+    FROM (SELECT DISTINCT k, conv_id FROM c) JOIN done USING (k) LEFT JOIN n USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
