@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandloom.llm.collocations import mine_collocations
 from strandloom.llm.conversation_repair import damaged, repair_conversations
 from strandloom.llm.decontaminate import find_leaks
 from strandloom.llm.exact_dedup import exact_groups
 from strandloom.llm.html_extract import extract_pages
 from strandloom.llm.jaccard_join import link_groups
 from strandloom.llm.license_scan import BASE_PHRASES, TEMPLATES, key_at, scan_licenses, words_of
+from strandloom.llm.ngram_model import score_texts
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.quality import score_documents
 from strandloom.llm.sharding import shard_documents
@@ -63,12 +65,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op11_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_html_extract, op2_packing, op3_decontaminate, op4_substring_dedup, op5_exact_dedup, op6_sharding, op7_quality, op8_license_scan, op9_jaccard_join, op10_url_filter, op12_conversation_repair)
+    found = (op1_html_extract, op2_packing, op3_decontaminate, op4_substring_dedup, op5_exact_dedup, op6_sharding, op7_quality, op8_license_scan, op9_jaccard_join, op10_url_filter, op11_ngram_model, op12_conversation_repair, op13_collocations)
     return {f.__name__: f for f in found}
 
 
@@ -174,5 +184,20 @@ SQL["op12_conversation_repair"] = rf"""
     FROM (SELECT DISTINCT k, conv_id FROM c) JOIN done USING (k) LEFT JOIN n USING (k)"""
 
 
+SQL["op13_collocations"] = rf"""
+    WITH p AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+               FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+         t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+         c AS MATERIALIZED (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS words, count(*) AS f
+               FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 5) r(k) WHERE len(w) >= k) GROUP BY ALL HAVING count(*) >= 30),
+         q AS (SELECT lang, phrase, f AS a, words, string_split(phrase, ' ') AS w FROM c WHERE words > 1),
+         s AS (SELECT q.lang, q.phrase, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+               FROM (SELECT *, unnest(range(1, words)) AS k FROM q) q JOIN c x ON x.lang = q.lang AND x.phrase = array_to_string(w[:k], ' ') JOIN c y ON y.lang = q.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+         b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+         g AS (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS f FROM (SELECT *, unnest(range(1, words - k + 2)) AS i FROM (SELECT *, unnest(range(2, words)) AS k FROM q)) GROUP BY ALL),
+         o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b LEFT JOIN g USING (lang, phrase) WHERE g.f IS NULL OR 100::HUGEINT * g.f < 80::HUGEINT * a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN t USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
