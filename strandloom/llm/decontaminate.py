@@ -4,16 +4,19 @@ Words are canonicalised to templates: numbers, units after a number, and names (
 become typed placeholders, other words are lower-cased, punctuation is dropped.  A capitalised word anywhere else, such
 as at a sentence's or a line's start, is hashed both as a name and as itself, and is a slot in alignments that have no
 leak without it.  Each document is cut into consecutive
-blocks of 5 template words, each benchmark item into its windows of 5 at every offset, and they meet in a hash join, so
-a shared run of 9 words or more always has a block that meets a window.  For the documents that met one, the whole
-alignment is checked: a leak is an unbroken run of `enough` equal template words (or the whole item, if shorter) in which
+blocks of 5 words, each benchmark item into its windows of 5 at every offset, and they meet in a hash join by their
+values, so a shared run of 9 words or more always has a block that meets a window; and, if three words or more are no
+slots, by their templates.  Blocks that are mostly slots, such as those of a list of numbers, meet their like only with the same
+values.  Where they met, the whole
+alignment is checked: a leak is an unbroken run of `enough` equal template words (or the whole item, if shorter) with five
+words or more that are no slots, in which
 each value of a slot in the item has one value in the document and the other way round, which also finds questions
-whose numbers or names were exchanged; or such a run of the same words, whatever the slots around it.  Every run of an
+whose numbers or names were exchanged; or such a run of the same words, whatever the slots in it and around it.  Every run of an
 alignment is tried.
 
 The benchmark is broadcast if its size, which is checked, allows; else the same joins are shuffled.  Blocks carry the
 places of their rows, and the texts of the rows that met a window are fetched by place, so no text is shuffled to find
-or to drop one.
+or to drop one.  Of a text, each alignment takes along as many words as its item has.
 
 Edge cases: null or empty texts and items never match.  Items under 10 words must stand in the document whole and with
 the same values; an item of one word leaks in every document that has the word.  Long texts are read whole.  Rows are told apart by their places, so repeated rows have lines of
@@ -29,6 +32,8 @@ from strandloom.llm.common import free_names, materialize
 from strandloom.llm.places import choose, placed
 
 BLOCK, LEAST = 5, 10
+#: Words that are no slots which a block needs to meet others by its template, and a run to count with other values.
+PLAIN, LITERAL = 3, 5
 #: A table of so many rows at most is broadcast.
 MOST_BROADCAST = 200_000
 #: Units that may follow a number.
@@ -83,7 +88,7 @@ def _hashes(words: str) -> str:
 
 def _value(word: str) -> str:
     """SQL for a word with values without its placeholder."""
-    return f"translate({word}, '{NAME}{NUMBER}{UNIT}{CAPITAL}', '')"
+    return f"ltrim('{NAME}{NUMBER}{UNIT}{CAPITAL}', {word})"
 
 
 def _values(words: str) -> str:
@@ -91,6 +96,17 @@ def _values(words: str) -> str:
     return f"transform({words}, w -> {_value('w')})"
 
 
+def _meeting(words: str) -> str:
+    """SQL for the hashes by which the words of a block or window, with values, meet others."""
+    literal = f"size(filter({words}, w -> substr(w, 1, 1) not in ('{NAME}', '{NUMBER}', '{UNIT}', '{CAPITAL}')))"
+    return f"concat(array(xxhash64({_values(words)}, 1)), if({literal} >= {PLAIN}, {_hashes(_template(words))}, array()))"
+
+
+def _blocks(words: str, last: str, step: int) -> str:
+    """SQL for runs of BLOCK words that begin at each multiple of step up to last times step; words are made once."""
+    return f"transform(array({words}), v -> if(size(v) >= {BLOCK}, transform(sequence(0, {last}), i -> slice(v, {step} * i + 1, {BLOCK})), array()))[0]"
+
+
 def _runs(flags: str, need: str) -> str:
     """SQL for the unbroken runs (n, at) of at least so many true flags."""
     breaks = f"concat(array(-1), filter(sequence(0, size({flags}) - 1), j -> not {flags}[j]), array(size({flags})))"
@@ -117,18 +133,17 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_c
     """doc, sum (text checksum), file, row, item, won (the best run) of each row and item that leaks into it."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), template_words(F.col(f"`{item_text}`"), True).alias("values"))
     items = items.withColumn("words", F.expr(_bare("values"))).where(F.size("words") > 0)
-    items = items.withColumn("wide", F.expr(_wide("values"))).withColumn("forms", F.expr(_template("values")))
-    windows = items.where(F.size("words") >= LEAST).select("item", F.posexplode(F.expr(f"transform(sequence(0, size(words) - {BLOCK}), i -> slice(forms, i + 1, {BLOCK}))")).alias("offset", "window"))
-    windows = windows.select(F.explode(F.expr(_hashes("window"))).alias("hash"), "item", "offset")
-    items = items.drop("forms")
+    items = items.withColumn("wide", F.expr(_wide("values")))
+    windows = items.where(F.size("words") >= LEAST).select("item", F.posexplode(F.expr(_blocks("values", f"size(v) - {BLOCK}", 1))).alias("offset", "window"))
+    windows = windows.select(F.explode(F.array_distinct(F.expr(_meeting("window")))).alias("hash"), "item", "offset")
     known = F.broadcast if _small(windows) else (lambda x: x)
     few = F.broadcast if _small(items) else (lambda x: x)
 
     file, row = free_names(docs, "file", "row")
     rows = placed(docs, file, row).select(F.col(f"`{id_col}`").alias("doc"), F.col(file).alias("file"), F.col(row).alias("row"), F.col(f"`{text}`").alias("text"))
-    cut = rows.select("file", "row", template_words(F.col("text")).alias("words"))
-    parts = F.expr(f"if(size(words) >= {BLOCK}, transform(sequence(0, size(words) div {BLOCK} - 1), i -> slice(words, {BLOCK} * i + 1, {BLOCK})), array())")
-    met = cut.select("file", "row", F.posexplode(parts).alias("block", "part")).select("file", "row", "block", F.explode(F.expr(_hashes("part"))).alias("hash")).join(known(windows), "hash")
+    cut = rows.select("file", "row", template_words(F.col("text"), True).alias("values"))
+    parts = cut.select("file", "row", F.posexplode(F.expr(_blocks("values", f"size(v) div {BLOCK} - 1", BLOCK))).alias("block", "part"))
+    met = parts.select("file", "row", "block", F.explode(F.expr(_meeting("part"))).alias("hash")).join(known(windows), "hash")
     lines = met.select("file", "row", "item", (F.col("block") * BLOCK - F.col("offset")).alias("shift")).distinct()
 
     # items under LEAST words, looked up whole with their values at every place
@@ -141,13 +156,15 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_c
         lines = lines.unionByName(at.join(F.broadcast(short) if _small(short) else short, ["n", "hash"]).select("file", "row", "item", "shift")).distinct()
 
     # the alignments named by the join, on the whole texts of the rows that it met alone
-    asked = materialize(lines.groupBy("file", "row").agg(F.collect_set(F.struct("item", "shift")).alias("asked")), "asked")
+    lengths_ = items.select("item", F.size("words").alias("n"))
+    asked = materialize(lines.join(few(lengths_), "item").groupBy("file", "row").agg(F.collect_set(F.struct("item", "shift", "n")).alias("asked")), "asked")
     full = choose(rows, "file", "row", asked, tag="met").join(F.broadcast(asked) if _small(asked) else asked.hint("shuffle_hash"), ["file", "row"])
     check = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     full = full.select("doc", check.alias("sum"), "file", "row", "asked", template_words(F.col("text"), True).alias("doc_values"))
     keys = ["doc", "sum", "file", "row"]
-    each = full.select(*keys, "doc_values", F.explode("asked").alias("line")).select(*keys, "line.item", "line.shift", "doc_values")
-    beside = each.join(few(items), "item").withColumn("theirs", F.expr("transform(sequence(0, size(words) - 1), j -> if(shift + j >= 0, get(doc_values, shift + j), null))"))
+    sides = "transform(array(doc_values), v -> transform(asked, a -> struct(a.item as item, a.shift as shift, transform(sequence(0, a.n - 1), j -> if(a.shift + j >= 0, get(v, a.shift + j), null)) as theirs)))[0]"
+    each = full.select(*keys, F.explode(F.expr(sides)).alias("line")).select(*keys, "line.item", "line.shift", "line.theirs")
+    beside = each.join(few(items), "item")
     beside = beside.withColumn("equal", F.expr(f"transform({_bare('theirs')}, (w, j) -> coalesce(w = words[j] and size(words) >= {LEAST} or {_value('theirs[j]')} = {_value('values[j]')}, false))"))
     # the longest unbroken run of equal template words whose slots agree, or of the same words; where there is none,
     # the longest one with all capitalised words as names
@@ -158,8 +175,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, id_col: str, text: str, item_c
         beside = beside.withColumn(name, F.expr(f"transform({_runs(flags, need)}, r -> struct(r.n as n, r.at as at, {_slots('r', marks)} as slots))"))
     verbatim = f"transform({_runs('same', need)}, r -> struct(r.n as n, r.at as at, {_slots('r', f"'{NAME}', '{NUMBER}', '{UNIT}'")} as slots))"
     ranked = lambda found, rank: f"transform({found}, r -> struct({rank} as rank, r.n as n, -(shift + r.at) as at, size(words) as words, size(r.slots) as slots))"
-    strict = ranked(f"concat(filter(runs, r -> {_agree('r.slots')}), {verbatim})", 1)
-    wide = ranked(f"filter(others, r -> {_agree('r.slots')})", 0)
+    told = f"r.n - size(r.slots) >= {LITERAL} and {_agree('r.slots')}"
+    strict = ranked(f"concat(filter(runs, r -> {told}), {verbatim})", 1)
+    wide = ranked(f"filter(others, r -> {told})", 0)
     return beside.withColumn("found", F.expr(f"array_max(concat({strict}, {wide}))")).where("found is not null").groupBy(*keys, "item").agg(F.max("found").alias("won"))
 
 

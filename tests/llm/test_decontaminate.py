@@ -106,3 +106,19 @@ def test_names_at_starts_of_sentences_and_lines_are_slots(spark, documents):
     ]
     got = find_leaks(documents(rows), items(spark, [(0, item)])).collect()
     assert {r["doc_id"] for r in got} == {1, 2, 3, 5}
+
+
+def test_lists_of_numbers_leak_only_with_the_same_numbers(spark, documents):
+    """Placeholders alone are no leak, and a table of numbers costs no more than its length."""
+    numbers = lambda a, n: " ".join(map(str, range(a, a + n)))
+    tested = [(k, f"What is the total of {numbers(100 * k + 11, 40)}") for k in range(20)]
+    rows = [(1, f"Sales by month {numbers(50_001, 20)}"), (2, f"Sales by month {numbers(50_001, 20_000)}"), (3, f"so {numbers(111, 15)} it is"), (4, f"Find {numbers(60_001, 9)} and the sum of those numbers")]
+    got = find_leaks(documents(rows), items(spark, [*tested, (50, f"Find {numbers(11, 9)} and the mean of these figures")])).collect()
+    assert [(r["doc_id"], r["item_id"], r["matched_words"]) for r in got] == [(3, 1, 15)]
+    assert drop_leaks(documents(rows), items(spark, tested)).count() == 3
+
+
+def test_an_item_that_stands_in_a_text_many_times(spark, documents):
+    rows = [(1, f"{ITEMS[1][1]}. " * 400), (2, f"{ITEMS[0][1]} " * 3)]
+    got = find_leaks(documents(rows), items(spark)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1), (2, 0)}
