@@ -84,15 +84,13 @@ def write_graph(ovlp: DataFrame, p: Params, out: str) -> tuple[DataFrame, DataFr
 
 
 def simple_graph(spark, a):
-    write_simple_graph(_load(spark, a.overlaps), a.out)
+    write_simple_graph(_load(spark, a.overlaps), a.out, _params(a).bestn)
 
 
-def write_simple_graph(ovlp: DataFrame, out: str) -> None:
-    """The older graph: each node's clearest link, kept where both sides agree, its unitigs and the links across them."""
-    edges, placed = assemble.simple_graph(ovlp)
-    found = assemble.cut_lineage(graph.unitigs(edges))
-    across = layout.cross_edges(placed.select("v", "w", "weight"), found)
-    for name, rows in (("edges", placed), ("reduced", edges), ("unitigs", found), ("across", across), ("layout", layout.layouts(edges.select("v", "w", "weight").unionByName(across).distinct()))):
+def write_simple_graph(ovlp: DataFrame, out: str, bestn: int) -> None:
+    """The older graph, its unitigs before the steps against repeats, and its layout."""
+    edges, placed, found = assemble.simple_graph(ovlp, bestn)
+    for name, rows in (("edges", placed), ("reduced", edges), ("unitigs", found), ("layout", layout.layouts(edges))):
         rows.write.parquet(f"{out}/{name}")
     fastx.edge_lines(edges).write.text(f"{out}/g.dat")
 
@@ -146,7 +144,7 @@ def asm(spark, a):
     p = _params(a)
     reads, found = assemble.corrected_overlaps(assemble.cut_lineage(reads_of(spark, a.input, a.least_file)), p, a.fast)
     if a.layout == 1:
-        write_simple_graph(found, f"{a.out}/graph")
+        write_simple_graph(found, f"{a.out}/graph", p.bestn)
         laid, edges = _load(spark, f"{a.out}/graph/layout"), _load(spark, f"{a.out}/graph/edges")
     else:
         laid, edges = write_graph(found, p, f"{a.out}/graph")

@@ -152,6 +152,11 @@ def reciprocal(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("w").alias("v"), F.col("v").alias("w")).distinct(), ["v", "w"], "left_semi")
 
 
+def mutual_links(edges: DataFrame) -> DataFrame:
+    """Edges whose twin, the same overlap seen from the other read, is in the list too."""
+    return edges.join(edges.select(twin(F.col("w")).alias("v"), twin(F.col("v")).alias("w")).distinct(), ["v", "w"], "left_semi")
+
+
 def strongest_links(edges: DataFrame) -> DataFrame:
     """Edges that are the heaviest, ties included, of both of their nodes."""
     out, into = Window.partitionBy("v").orderBy(F.desc("weight")), Window.partitionBy("w").orderBy(F.desc("weight"))

@@ -1,14 +1,12 @@
 """Paths through reduced string graphs and the contigs they spell.
 
-Graphs are reduced and split into components in DataFrame operations; what remains of a component is walked in one
-Arrow group, components in parallel.  An edge v to w carries `off`, where read w starts in coordinates of read v.
+Graphs are reduced and split into components in DataFrame operations; small components are walked in a task each, large
+ones by joins.  An edge v to w carries `off`, where read w starts in coordinates of read v.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -17,22 +15,21 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequences import reverse_complement
 from strandloom.operators.catalog import dense_ids
 from strandloom.operators.consensus import polished_contigs
-from strandloom.operators.graph import components, twin
+from strandloom.operators.graph import components, twin, without_short_cycles
+from strandloom.operators.path_rounds import paths_by_rounds
+from strandloom.operators.paths import paths_of
+from strandloom.operators.search import repeat_detours
 from strandloom.operators.sketch import sketch_offset
 from strandloom.plans.lineage import cut_lineage
 
-#: Reads that make a branch a true one, and edges that make a path a contig or a primary one.
-BRANCH, SHORT, PRIMARY = 1024, 3, 8
-#: Searches that a walk remembers, of BRANCH nodes at most each.
-REMEMBERED = 4096
+#: Edges of a component that one task walks, at most.
+IN_TASK = 100_000
 #: Bases at the begin of an overlap in which the cut is looked for.
 WINDOW = 100
-#: Unitigs whose graph the driver reduces, at most: one small row each.
-MOST_UNITIGS = 5_000_000
 
 
-def placed_edges(ovlp: DataFrame) -> DataFrame:
-    """(v, w, weight, off) of dovetail overlaps, with the twins of all edges; of equal edges the heaviest.
+def placed_edges(ovlp: DataFrame, *also: str) -> DataFrame:
+    """(v, w, weight, off) of dovetail overlaps, with the twins of all edges; of equal edges the heaviest.  `also`: more columns.
 
     Offsets come from the aligned ranges, as d_left may be off by a base or two.
     """
@@ -42,160 +39,34 @@ def placed_edges(ovlp: DataFrame) -> DataFrame:
     left, end = F.col("bgn0") - F.col("bgn1"), (F.col("len1") - F.col("end1")) - (F.col("len0") - F.col("end0"))
     edges = rows.select(
         F.when(right, a).otherwise(b).alias("v"), F.when(right, b).otherwise(a).alias("w"), (F.col("end0") - F.col("bgn0")).alias("weight"),
-        F.when(right, left).otherwise(-left).alias("off"), F.when(right, end).otherwise(-end).alias("back"),
+        F.when(right, left).otherwise(-left).alias("off"), F.when(right, end).otherwise(-end).alias("back"), *also,
     )
-    both = edges.select("v", "w", "weight", "off").union(edges.select(twin(F.col("w")), twin(F.col("v")), "weight", "back"))
-    return both.groupBy("v", "w").agg(F.max(F.struct("weight", "off")).alias("best")).select("v", "w", "best.weight", "best.off")
-
-
-class Walk:
-    """Adjacency of a component, and searches in it."""
-
-    def __init__(self, edges: list[tuple[int, int]]):
-        self.out, self.into, self.found = defaultdict(list), defaultdict(list), {}
-        for v, w in sorted(edges):
-            self.out[v].append(w)
-            self.into[w].append(v)
-
-    def near(self, start: int, most: int) -> list[int]:
-        """Nodes found by breadth-first search, up to so many."""
-        seen, queue = {start: None}, deque([start])
-        while queue and len(seen) < most:
-            for w in self.out[queue.popleft()]:
-                if w not in seen:
-                    seen[w] = None
-                    queue.append(w)
-        return list(seen)[:most]
-
-    def route(self, start: int, goal: int, most: int = 256, weight: dict[tuple[int, int], int] | None = None) -> list[int]:
-        """The path of least weight (without weights: of fewest edges), or none within so many nodes."""
-        before, done, queue = {}, {}, [(0, start, None)]
-        while queue and len(done) < most:
-            far, v, by = heappop(queue)
-            if v in done:
-                continue
-            done[v], before[v] = far, by
-            if v == goal:
-                break
-            for w in self.out[v]:
-                if w not in done:
-                    heappush(queue, (far + (weight[v, w] if weight else 1), w, v))
-        if goal not in before:
-            return []
-        path = [goal]
-        while path[-1] != start:
-            path.append(before[path[-1]])
-        return path[::-1]
-
-    def branching(self, most: int = 24) -> list[int]:
-        """Nodes with two ways out that don't meet within so many nodes."""
-        out = []
-        for v in list(self.out):
-            reach = [set(self.near(w, most)) for w in self.out[v]]
-            if any(not a & b for i, a in enumerate(reach) for b in reach[:i]):
-                out.append(v)
-        return out
-
-    def order(self, seed: int) -> list[int]:
-        """Reverse post-order of a depth-first search."""
-        seen, done, stack = {seed}, [], [(seed, iter(self.out[seed]))]
-        while stack:
-            v, rest = stack[-1]
-            for w in rest:
-                if w not in seen:
-                    seen.add(w)
-                    stack.append((w, iter(self.out[w])))
-                    break
-            else:
-                done.append(v)
-                stack.pop()
-        return done[::-1]
-
-    def best_path(self, seed: int) -> tuple[int, list[int]]:
-        """(score, path) of the heaviest path from the seed: a new read counts one, one met on its other strand minus one."""
-        score, before, met = {seed: 0}, {seed: None}, set()
-        for v in self.order(seed):
-            sources = [u for u in self.into[v] if u in score]
-            if v != seed:
-                u = max(sources, key=lambda u: (score[u], -u))
-                score[v], before[v] = score[u] + (-1 if v >> 1 in met else 1), u
-            met.add(v >> 1)
-        end = max(score, key=lambda v: (score[v], -v))
-        path, seen = [end], {end}
-        while before[path[-1]] is not None and before[path[-1]] not in seen:
-            path.append(before[path[-1]])
-            seen.add(path[-1])
-        return score[end], path[::-1]
-
-    def far(self, start: int) -> frozenset[int] | None:
-        """The first nodes found from start if they are more than BRANCH; else None.  The latest ones are remembered."""
-        if start not in self.found:
-            if len(self.found) >= REMEMBERED:
-                self.found.clear()
-            seen = self.near(start, BRANCH + 1)
-            self.found[start] = frozenset(seen) if len(seen) > BRANCH else None
-        return self.found[start]
-
-    def leaves(self, v: int, on: set[int]) -> bool:
-        """Whether a way off the path goes on for long from v without meeting the path (its nodes) again."""
-        return any(w not in on and (found := self.far(w)) is not None and on.isdisjoint(found) for w in self.out[v])
-
-    def trimmed(self, path: list[int]) -> list[int]:
-        """The path up to its first node with a way off it that goes on for long without meeting it again."""
-        on = set(path)
-        return next((path[: i + 1] for i, v in enumerate(path[:-1]) if self.leaves(v, on)), path)
-
-
-def paths_of(edges: list[tuple[int, int]]) -> list[tuple[str, list[int]]]:
-    """Edge-disjoint paths, (tag, nodes), the heaviest first; what a path uses, its twin can't.
-
-    Paths from nodes without incoming edges come first, then ones in what is left (cycles).  P: long ones; A: shorter
-    ones that leave and rejoin one long path; D: other shorter ones.  The shortest are dropped.
+    both = edges.select("v", "w", "weight", "off", *also).union(edges.select(twin(F.col("w")), twin(F.col("v")), "weight", "back", *also))
+    return both.groupBy("v", "w").agg(F.max(F.struct("weight", "off", *also)).alias("best")).select("v", "w", "best.weight", "best.off", *(f"best.{c}" for c in also))
+
+
+def layouts(edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(component, path, tag, ord, node): the paths of each component of a reduced graph.
+
+    Components up to `in_task` edges are walked in a task each; larger ones go through the same rule by joins.
     """
-    left, out, owner = set(edges), [], {}
-    while left:
-        walk = Walk(list(left))
-        seeds = [v for v in walk.out if walk.out[v] and not walk.into[v]] or sorted(v for v in walk.out if walk.out[v])[:1]
-        found = sorted((walk.best_path(s) for s in seeds), key=lambda x: (-x[0], x[1]))
-        used = False
-        for _, path in found:
-            steps, on = [], set(path)
-            for e in zip(path, path[1:], strict=False):  # up to where the path would be trimmed, or what another took
-                if e not in left or walk.leaves(e[0], on):
-                    break
-                steps.append(e)
-                left -= {e, (e[1] ^ 1, e[0] ^ 1)}
-            if not steps:
-                continue
-            used = True
-            if len(steps) < SHORT:
-                continue
-            nodes = [steps[0][0], *(w for _, w in steps)]
-            if len(steps) >= PRIMARY:
-                for v in nodes:
-                    owner.setdefault(v >> 1, len(out))
-                out.append(("P", nodes))
-            else:
-                start = owner.get(nodes[0] >> 1)
-                touches = start is not None and any(owner.get(v >> 1) == start for v in nodes[1:])
-                out.append(("A" if touches else "D", nodes))
-        if not used:
-            break
-    return out
-
-
-def layouts(edges: DataFrame) -> DataFrame:
-    """(component, path, tag, ord, node): the paths of each component of a reduced graph."""
-    member = components(edges.select("v", "w").union(edges.select(twin(F.col("v")), twin(F.col("w")))).union(edges.select("v", twin(F.col("v")))))
-    split = edges.join(member.withColumnRenamed("node", "v"), "v")
+    member = cut_lineage(components(edges.select("v", "w").union(edges.select(twin(F.col("v")), twin(F.col("w")))).union(edges.select("v", twin(F.col("v"))))))
+    split = edges.select("v", "w").join(member.withColumnRenamed("node", "v"), "v")
+    large = cut_lineage(split.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("component"))
 
     def walk(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        out = [(rows[0]["component"], k, tag, i, v) for k, (tag, nodes) in enumerate(paths_of([(r["v"], r["w"]) for r in rows])) for i, v in enumerate(nodes)]
+        component = table.column("component")[0].as_py()
+        found = paths_of(list(zip(table.column("v").to_pylist(), table.column("w").to_pylist(), strict=True)))
+        out = [(component, k, tag, i, v) for k, (tag, nodes) in enumerate(found) for i, v in enumerate(nodes)]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("component", "path", "tag", "ord", "node"), columns, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int64()), strict=True)})
 
-    return split.select("component", "v", "w").groupBy("component").applyInArrow(walk, "component long, path int, tag string, ord int, node long")
+    small = split.join(large, "component", "left_anti").select("component", "v", "w")
+    done = small.groupBy("component").applyInArrow(walk, "component long, path int, tag string, ord int, node long")
+    if not large.head(1):
+        return done
+    rest = split.join(large, "component", "left_semi").select("v", "w")
+    return done.unionByName(paths_by_rounds(rest, member.join(large, "component", "left_semi")))
 
 
 def _cuts(steps: DataFrame) -> DataFrame:
@@ -265,59 +136,16 @@ def contigs(layout: DataFrame, edges: DataFrame, reads: DataFrame, polish: bool
     return named.drop("seq").join(better.select("ctg", "seq"), "ctg").select("ctg", "tag", "n_reads", "seq")
 
 
-def reduced_unitigs(paths: dict[tuple[int, int, int], int], sink_steps: int = 15, light: int = 5) -> set[tuple[int, int, int]]:
-    """Unitigs (begin, second, end), each with its number of nodes, that stay when light detours by repeats go.
-
-    From each branching node, ways out that reach a sink (the other strand of a branching node) by a route lighter than
-    `light` are taken away with their twins, but a node keeps one way out: if all are light, the heaviest.  Then unitigs
-    between a node without ways out and one without ways in are put back.
-    """
-    weight: dict[tuple[int, int], int] = {}
-    for (begin, _, end), n in sorted(paths.items()):
-        weight[begin, end] = n
-    walk = Walk(list(weight))
-    branching = walk.branching()
-    sinks = {v ^ 1 for v in branching if walk.out[v ^ 1]}
-    gone: set[tuple[int, int]] = set()
-    for v in branching:
-        ways = {}
-        for w in walk.out[v]:
-            if w == v:
-                continue
-            if w in sinks:
-                if weight[v, w] < light:
-                    ways[w] = [(v, w)]
-                continue
-            routes = []
-            for x in walk.near(w, sink_steps):
-                if x in sinks:
-                    route = [v, *walk.route(w, x, weight=weight)]
-                    steps = list(zip(route, route[1:], strict=False))
-                    if sum(weight[e] for e in steps) < light:
-                        routes += steps
-            if routes:
-                ways[w] = routes
-        if ways and len(ways) == len([w for w in walk.out[v] if w != v]):
-            ways.pop(max(ways, key=lambda w: (weight[v, w], -w)))
-        for steps in ways.values():
-            gone |= set(steps) | {(b ^ 1, a ^ 1) for a, b in steps}
-    left = {e for e in weight if e not in gone}
-    out, into = {v for v, _ in left}, {w for _, w in left}
-    left |= {(v, w) for v, w in gone & set(weight) if v not in out and w not in into}
-    return {u for u in paths if (u[0], u[2]) in left}
-
-
 def reduce_by_unitigs(edges: DataFrame, unitigs: DataFrame) -> DataFrame:
-    """edges on the unitigs (begin, second, node, ord) that `reduced_unitigs` keeps.
+    """edges on the unitigs (begin, second, node, ord) that `repeat_detours` leaves.
 
-    Only one row per unitig reaches the driver; the graph of unitigs is the collapsed form of the read graph.
+    The graph of unitigs has an edge for each pair of ends, as heavy as the unitig has nodes (of several, the one with the
+    largest second node); it is searched and cut by joins.
     """
-    ends = unitigs.groupBy("begin", "second").agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n"))
-    ends = cut_lineage(ends)
-    if ends.count() > MOST_UNITIGS:
-        raise ValueError(f"more than {MOST_UNITIGS} unitigs; reduce the graph further before")
-    kept = reduced_unitigs({(r["begin"], r["second"], r["end"]): r["n"] for r in ends.toLocalIterator()})
-    stay = edges.sparkSession.createDataFrame([(b, s) for b, s, _ in sorted(kept)], "begin long, second long")
+    ends = cut_lineage(unitigs.groupBy("begin", "second").agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n")))
+    paths = ends.groupBy(F.col("begin").alias("v"), F.col("end").alias("w")).agg(F.max_by("n", "second").alias("weight"))
+    gone = repeat_detours(paths)
+    stay = cut_lineage(ends.join(gone.toDF("begin", "end"), ["begin", "end"], "left_anti").select("begin", "second"))
     order = Window.partitionBy("begin", "second").orderBy("ord")
     steps = unitigs.join(stay, ["begin", "second"], "left_semi").withColumn("w", F.lead("node").over(order)).where("w is not null").select(F.col("node").alias("v"), "w").distinct()
     return edges.join(steps, ["v", "w"], "left_semi")
@@ -332,41 +160,15 @@ def cross_edges(links: DataFrame, unitigs: DataFrame) -> DataFrame:
     return best.groupBy("w").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("v"), F.max("weight").alias("weight")).select("v", "w", "weight")
 
 
-def without_repeat_branches(weights: dict[tuple[int, int], int], most: int = 64) -> set[tuple[int, int]]:
-    """Edges that stay when every branching node, in order, keeps its heaviest way out only; twins go together."""
-    left = set(weights)
-    for v in sorted(Walk(list(weights)).branching(most)):
-        ways = sorted(w for x, w in left if x == v)
-        best = max(ways, key=lambda w: (weights[v, w], -w), default=None)
-        for w in ways:
-            if w != best:
-                left -= {(v, w), (w ^ 1, v ^ 1)}
-    return left
-
-
-def without_repeat_bridges(edges: list[tuple[int, int]], most: int = 32, steps: int = 24, longest: int = 8) -> set[tuple[int, int]]:
-    """Edges that stay when short ways between branching nodes go, for each such node the way to the nearest one.
+def unitig_links(edges: DataFrame, unitigs: DataFrame) -> DataFrame:
+    """(v, w, weight): edges from the end of a unitig to the begin of another that are the heaviest at both.
 
-    Nearest: fewest edges, then the smallest read; ways of more than `longest` nodes stay.
+    Judged on the graph of unitigs, without pairs that link both ways and links between two-way unitigs.  Each node is on
+    one unitig at most, which its first node names.
     """
-    left = set(edges)
-    branching = sorted(Walk(edges).branching(most))
-    reads = {v >> 1 for v in branching}
-    for v in branching:
-        walk = Walk(list(left))
-        depth, before, queue = {v: 0}, {}, deque([v])
-        while queue:
-            x = queue.popleft()
-            for w in walk.out[x] if depth[x] <= steps else ():
-                if w not in depth:
-                    depth[w], before[w] = depth[x] + 1, x
-                    queue.append(w)
-        near = min(((d, w) for w, d in depth.items() if w != v and w >> 1 in reads), default=None)
-        if near is None or near[0] + 1 > longest:
-            continue
-        w = near[1]
-        while w in before:
-            x = before[w]
-            left -= {(x, w), (w ^ 1, x ^ 1)}
-            w = x
-    return left
+    ends = cut_lineage(unitigs.groupBy("begin").agg(F.max_by("node", "ord").alias("end")))
+    between = edges.join(ends.select(F.col("end").alias("v"), F.col("begin").alias("from")), "v").join(ends.select(F.col("begin").alias("w")), "w", "left_semi")
+    between = cut_lineage(between.where("from <> w").select("from", "v", "w", "weight"))
+    kept = without_short_cycles(between.select(F.col("from").alias("v"), "w", "weight"))
+    between = between.join(kept.select(F.col("v").alias("from"), "w"), ["from", "w"], "left_semi")
+    return cross_edges(between.select("v", "w", "weight"), unitigs)

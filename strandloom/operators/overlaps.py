@@ -71,9 +71,9 @@ def parse_overlaps(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").startswith("O ")).select(*[F.get(parts, F.lit(i + 1)).cast(k).alias(c) for i, (c, k) in enumerate(zip(COLUMNS, kinds, strict=True))])
 
 
-def graph_input(ovlp: DataFrame) -> DataFrame:
-    """Overlaps that the graph uses."""
-    return ovlp.where("not (dist >= 12 and max_dist_c = 0) and dist_c <= 2")
+def graph_input(ovlp: DataFrame, older: bool = False) -> DataFrame:
+    """Overlaps that the graph uses; the older graph asks for few differences at markers only."""
+    return ovlp.where("dist_c <= 2" if older else "not (dist >= 12 and max_dist_c = 0) and dist_c <= 2")
 
 
 def best_per_pair(ovlp: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators import align, candidates, consensus, contig_map, graph, layout, overlaps, sketch
+from strandloom.operators import align, candidates, consensus, contig_map, graph, layout, overlaps, search, sketch
 from strandloom.params import Params
 from strandloom.plans.lineage import cut_lineage
 
@@ -45,11 +45,27 @@ def string_graph(ovlp: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, Data
     return cut_lineage(layout.reduce_by_unitigs(patched, found)), placed, found
 
 
-def simple_graph(ovlp: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, all edges with offsets) of the older graph: clearest links that are the strongest at both ends."""
-    placed = cut_lineage(layout.placed_edges(overlaps.graph_input(ovlp)))
-    best = graph.strongest_links(graph.best_links(placed.select("v", "w", "weight")))
-    return cut_lineage(graph.without_short_cycles(best)), placed
+def simple_graph(ovlp: DataFrame, bestn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, all edges with offsets, unitigs) of the older graph.
+
+    Unitigs are made of each node's clearest link where both reads agree on it.  Between them the heaviest links that are
+    so at both unitigs are added, short cycles and double links left out.  Then short ways between branching nodes and
+    the lighter ways out of branching nodes go, the begins of paths get their overlaps back, and the same goes again.
+    """
+    used = overlaps.graph_input(ovlp, older=True)
+    dead = cut_lineage(overlaps.dead_ends(used))
+    bad = cut_lineage(overlaps.chimeras(used).union(overlaps.contained_reads(used, dead)).distinct())
+    sound = cut_lineage(overlaps.without_reads(used, bad))
+    placed = cut_lineage(layout.placed_edges(sound, "dist_c"))
+    first = cut_lineage(layout.placed_edges(overlaps.best_n_per_side(sound, bestn), "dist_c"))
+    links = cut_lineage(graph.mutual_links(graph.clearest_links(first)).select("v", "w", "weight"))
+    found = cut_lineage(graph.unitigs(links))
+    edges = links.unionByName(layout.unitig_links(first, found)).distinct()
+    edges = search.without_repeat_branches(search.without_repeat_bridges(edges))
+    edges = cut_lineage(graph.patch_ends(edges, placed.select("v", "w", "weight")))
+    for _ in range(3):
+        edges = search.without_repeat_bridges(edges)
+    return search.without_repeat_branches(edges), placed.drop("dist_c"), found
 
 
 def assemble(reads: DataFrame, p: Params, fast: bool = True, min_len: int = 1200, polish: bool = False) -> DataFrame:

@@ -69,15 +69,12 @@ def test_contigs_are_polished(spark):
     assert out[0]["seq"][:50].islower() and 0 < out[0]["low"] < 0.6
 
 
-def test_offsets_masks_and_unitig_reduction():
+def test_offsets_and_masks():
     rng = random.Random(9)
     a = dna(rng, 800)
     found = sketch.sketch_offset(a.encode(), a[150:].encode())
     assert found and found[0] - found[1] == 150 and sketch.sketch_offset(b"", a.encode()) is None
     assert sketch.mask_intervals(b"acGTAnCC") == [(2, 5), (6, 8)] and sketch.mask_intervals(b"") == []
-    main = {(0, 2, 10): 40, (10, 12, 20): 40, (0, 4, 30): 3, (30, 32, 40): 40, (11, 9, 1): 40, (21, 19, 11): 40, (31, 29, 1): 3, (41, 39, 31): 40}
-    assert layout.reduced_unitigs(main) == set(main)
-    assert layout.reduced_unitigs({}) == set()
 
 
 def test_streams(spark, tmp_path):

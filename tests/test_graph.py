@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandloom.operators import graph as G
-from strandloom.operators import layout, overlaps
+from strandloom.operators import overlaps
 
 
 def edges(spark, pairs):
@@ -79,31 +79,6 @@ def test_links_and_reach(spark):
     assert pairs_of(G.with_twins(edges(spark, [(0, 2, 1)]))) == [(0, 2), (3, 1)]
 
 
-def test_walks():
-    chain = [(2 * i, 2 * i + 2) for i in range(12)]
-    both = chain + [(w ^ 1, v ^ 1) for v, w in chain]
-    (tag, nodes), *rest = layout.paths_of(both)
-    assert tag == "P" and len(nodes) == 13 and not rest
-    walk = layout.Walk([(0, 2), (2, 4), (0, 6), (6, 8), (8, 4), (4, 10)])
-    assert walk.route(0, 10) == [0, 2, 4, 10] and walk.route(10, 0) == [] and walk.near(0, 3) == [0, 2, 6]
-    assert walk.branching(2) == [0] and walk.branching(24) == []
-    assert walk.best_path(0) == (4, [0, 6, 8, 4, 10]) and walk.trimmed([0, 2, 4]) == [0, 2, 4]
-    assert layout.paths_of([(0, 2), (2, 4)]) == []
-
-
-def test_repeats_go():
-    chain = lambda start, n: [(start + 2 * i, start + 2 * i + 2) for i in range(n)]
-    one, two = chain(0, 12), chain(100, 12)
-    both = lambda es: es + [(w ^ 1, v ^ 1) for v, w in es]
-    bridged = both(one + two + [(12, 112)])
-    heavy = {e: 1 if e in {(12, 112), (113, 13)} else 9 for e in bridged}
-    assert layout.without_repeat_branches(heavy, 4) == set(both(one + two))
-    assert layout.without_repeat_branches({}, 4) == set() and layout.without_repeat_bridges([]) == set()
-    crossed = both(one + two + [(12, 112), (112, 212), (212, 12)])
-    left = layout.without_repeat_bridges(crossed, 3)
-    assert left < set(crossed) and all((w ^ 1, v ^ 1) in left for v, w in left)
-
-
 def test_clearest_links(spark):
     df = spark.createDataFrame([(1, 2, 9, 1), (1, 3, 5, 0), (1, 4, 5, 0), (2, 5, 1, 3)], "v long, w long, weight long, dist_c int")
     assert pairs_of(G.clearest_links(df)) == [(1, 3), (2, 5)]
@@ -154,5 +129,3 @@ def test_bridges_go_by_rounds_as_one_by_one(spark):
                 rows[v, w] = rows[w ^ 1, v ^ 1] = x
         df = edges(spark, [(v, w, x) for (v, w), x in rows.items()])
         assert set(pairs_of(G.without_bridges(df, 5))) == G.greedy_bridges([(v, w, x) for (v, w), x in rows.items()], 5)
-    walk = layout.Walk([(0, 2), (2, 8), (0, 4), (4, 6), (6, 8)])
-    assert walk.route(0, 8, weight={(0, 2): 9, (2, 8): 1, (0, 4): 1, (4, 6): 1, (6, 8): 1}) == [0, 4, 6, 8]

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -95,6 +96,24 @@ def test_hits_find_both_strands(spark):
     assert candidates.pair_hits(pairs, few).count() == 0
 
 
+def test_long_lists_meet_in_cells_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, 5, 9, k % 7, k % 7 + 20, 15) for k in range(400)] + [(k % 30, 9, 5, k, k + 11, 15) for k in range(90)] + [(k, 5, 5, 3, 9, 15) for k in range(3)] + [(7, 1, 2, 0, 4, 15)]
+    rows += [(rng.randrange(9), rng.randrange(4), rng.randrange(4), rng.randrange(50), 60, 15) for _ in range(200)]
+    pairs = spark.createDataFrame(rows, "rid long, h0 long, h1 long, p0 int, p1 int, span int")
+    size = Counter((r[1], r[2]) for r in rows)
+    met = lambda h, most: 2 <= size[h] < most
+    for grid, most in ((16, 12000), (512, 300)):
+        monkeypatch.setattr(candidates, "GRID", grid)
+        p = Params(w=16, k=15, r=3, max_postings=most)
+        want = Counter((a[0], b[0], False, a[3] - b[3]) for a in rows for b in rows if a[1] != a[2] and a[1:3] == b[1:3] and a[0] != b[0] and met(b[1:3], most))
+        want += Counter((a[0], b[0], True, a[4] + b[3] - a[5] + 1) for a in rows for b in rows if a[1] != a[2] and a[1:3] == b[2:0:-1] and a[0] != b[0] and met(b[1:3], most))
+        assert Counter(tuple(r) for r in candidates.pair_hits(pairs, p).collect()) == want
+    monkeypatch.setattr(candidates, "GRID", 16)
+    cells = candidates._gridded(candidates.sized_pairs(pairs).where("h0 = 5 and h1 = 9"), "postings", "postings", "i", "j").groupBy("i", "j").count().collect()
+    assert len(cells) == (-(-size[5, 9] // 16)) ** 2 and max(r["count"] for r in cells) <= 3 * 16
+
+
 def test_cluster_counts(spark):
     offs = {0: [0, 1, 2], 1: [0, 1, 2, 3], 2: [0, 1, 2, 100, 101, 102, 103]}
     hits = spark.createDataFrame([(0, r, False, o) for r, xs in offs.items() for o in xs], "rid0 long, rid1 long, rev boolean, off int")
