@@ -27,11 +27,11 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Roll, bound_batches, materialize, mix64, release, text_bytes, word_hashes, word_spans
+from strandloom.llm.common import BYTE_POWERS, Roll, bound_batches, materialize, mix64, release, text_bytes, word_hashes, word_spans
 
 CUTS, GAPS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Bytes of pieces taken at once, places counted at once, and bytes of pieces for each bucket.
-BLOCK, PLACES, BUCKET = 8 << 20, 1 << 20, 8 << 20
+BLOCK, PLACES, BUCKET = 8 << 20, 1 << 19, 8 << 20
 #: Bits of the largest bitmap, as a power of two, and of a part of it that is one row.
 MOST_BITS, PART = 29, 15
 #: Memory that duckdb uses in a task before it writes to its temporary folder, which it empties.
@@ -65,6 +65,13 @@ def _lang_hashes(langs: pa.ChunkedArray) -> np.ndarray:
     return np.array(known, np.uint64)[coded.indices.to_numpy()] if known else np.empty(0, np.uint64)
 
 
+def _freed() -> None:
+    """Let go of what idle workers would hold: powers for a whole block, and freed memory."""
+    for powers in (BYTE_POWERS, _gram.powers):
+        powers.up = powers.down = np.ones(1, np.uint64)
+    release()
+
+
 class Words:
     """The words of a block of texts, each hashed with its language."""
 
@@ -164,6 +171,7 @@ def frequent_phrases(rows: DataFrame, n: int, least: int, buckets: int, shorter:
                 doc = words.doc[at]
                 found = pa.table({"lang": lang.take(pa.array(doc)), "phrase": words.phrases(at, n), "weight": pa.array(times[doc]), "hash": pa.array(keys[at])})
                 yield _packed(found.group_by(["lang", "phrase"]).aggregate([("weight", "sum"), ("hash", "min")]), buckets)
+        _freed()
 
     parts = rows.select("lang", "piece", "m").mapInArrow(count, "bucket int, data binary")
     return materialize(parts.repartition(buckets, "bucket").mapInArrow(_summed(least), "lang string, phrase string, f long"), f"phrases{n}")

@@ -151,7 +151,7 @@ class Powers:
         return self.up, self.down
 
 
-_BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
+BYTE_POWERS = Powers(0x9E3779B97F4A7C15)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +196,7 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     starts, ends, words = word_spans(bytes_, at)
     if not len(starts):
         return np.empty(0, np.uint64), words
-    up, down = _BYTE_POWERS.upto(len(bytes_))
+    up, down = BYTE_POWERS.upto(len(bytes_))
     sums = np.zeros(len(bytes_) + 1, np.uint64)
     np.cumsum((_BYTES_LOWER if lower else _BYTES)[bytes_] * up[: len(bytes_)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
