@@ -52,15 +52,19 @@ def build_idx(spark, a):
 
 
 def ovlp(spark, a):
+    """Overlaps as Parquet, and as text in blocks by read beside them (.ovlp)."""
     reads, p = _load(spark, a.reads), _params(a)
-    pairs = sketch.shimmer_pairs(_load(spark, a.shimmers))
-    clusters = candidates.top_clusters(candidates.hit_clusters(candidates.pair_hits(pairs, p), p), p)
-    aligned = assemble.cut_lineage(align.align_clusters(clusters, reads, p))
+    pairs = assemble.cut_lineage(sketch.shimmer_pairs(_load(spark, a.shimmers)))
+    clusters = assemble.cut_lineage(candidates.hit_clusters(candidates.pair_hits(pairs, p), p))
+    aligned = assemble.cut_lineage(align.align_clusters(candidates.top_clusters(clusters, p), reads, p))
     overlaps.with_markers(aligned.drop("deltas"), align.delta_rows(aligned)).write.parquet(a.out)
+    fastx.overlap_blocks(_load(spark, a.out), assemble.cut_lineage(candidates.read_stats(pairs, clusters, p))).write.text(f"{a.out}.ovlp")
 
 
 def ovlp_ec(spark, a):
+    """Corrected reads as Parquet, and as FASTA beside them (.fa)."""
     consensus.corrected_reads(_load(spark, a.overlaps), _load(spark, a.reads), a.tol, a.min_ec_cov).write.parquet(a.out)
+    fastx.write_fasta(_load(spark, a.out), f"{a.out}.fa", F.concat_ws(" ", "name", F.col("rid").cast("string")))
 
 
 def dp_graph(spark, a):
@@ -78,7 +82,7 @@ def write_graph(ovlp: DataFrame, p: Params, out: str) -> tuple[DataFrame, DataFr
     fastx.edge_lines(reduced).write.text(f"{out}/g.dat")
     fastx.unitig_lines(before, before.join(found.select("begin", "second").distinct(), ["begin", "second"], "left_semi")).write.text(f"{out}/utg0.dat")
     fastx.unitig_lines(found, found).write.text(f"{out}/utg.dat")
-    fastx.gfa_lines(found, lens).write.text(f"{out}/utg.gfa")
+    fastx.gfa_lines(before, lens, placed, found).write.text(f"{out}/utg.gfa")
     fastx.layout_lines(laid, edges).write.text(f"{out}/layout.dat")
     return laid, edges
 

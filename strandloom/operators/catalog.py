@@ -8,21 +8,31 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequences import text_to_sequence
 from strandloom.plans.lineage import cut_lineage
 
+#: Rows of a piece that is numbered in one task, about.
+PIECE = 1 << 18
+
 
 def long_reads(reads: DataFrame, min_len: int = 500, seq: str = "seq") -> DataFrame:
     return reads.where(F.length(seq) >= min_len)
 
 
-def dense_ids(rows: DataFrame, order: str, name: str = "rid", pieces: int = 1 << 10) -> DataFrame:
+def _pieces(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """rows, stored, with piece_: consecutive ranges of a numeric column of about as many rows each, at most `most` or so.
+
+    The ranges come from a sample of the rows, so a column with gaps and crowds is cut evenly too; the numbers made from
+    them rest on exact counts.
+    """
+    pieces = max(1, -(-rows.count() // most))
+    return cut_lineage(rows.repartitionByRange(pieces, order).withColumn("piece_", F.spark_partition_id()))
+
+
+def dense_ids(rows: DataFrame, order: str, name: str = "rid", most: int = PIECE) -> DataFrame:
     """rows with a dense id from 0 in the order of a numeric column with distinct values.
 
-    The range of the column is cut into pieces; rows are numbered within a piece and offset by the counts of the pieces
-    before, so no task sees all rows.
+    Rows are numbered within a piece of the column and offset by the counts of the pieces before, so no task sees all
+    rows.
     """
-    span = rows.agg(F.min(order).alias("low"), F.max(order).alias("top")).first()
-    low = span["low"] or 0
-    width = max(1, -(-((span["top"] or 0) - low + 1) // pieces))
-    cut = rows.withColumn("piece_", F.floor((F.col(order) - low) / width))
+    cut = _pieces(rows, order, most)
     counts = cut.groupBy("piece_").agg(F.count("*").alias("n_"))
     before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("piece_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("offset_"))
@@ -31,11 +41,9 @@ def dense_ids(rows: DataFrame, order: str, name: str = "rid", pieces: int = 1 <<
     return numbered.withColumn(name, (F.col(name) + F.col("offset_")).cast("long")).drop("piece_", "offset_")
 
 
-def running_start(reads: DataFrame, length: str = "len", order: str = "rid", pieces: int = 1 << 10) -> DataFrame:
+def running_start(reads: DataFrame, length: str = "len", order: str = "rid", most: int = PIECE) -> DataFrame:
     """reads with start, the sum of the lengths of all reads before; a prefix sum in two levels by pieces of the order."""
-    span = reads.agg(F.max(order).alias("top")).first()["top"]
-    width = max(1, -(-((span or 0) + 1) // pieces))
-    cut = reads.withColumn("piece_", F.floor(F.col(order) / width))
+    cut = _pieces(reads, order, most)
     sums = cut.groupBy("piece_").agg(F.sum(length).alias("sum_"))
     before = Window.orderBy("piece_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("piece_", F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("offset_"))

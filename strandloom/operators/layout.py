@@ -29,19 +29,23 @@ WINDOW = 100
 
 
 def placed_edges(ovlp: DataFrame, *also: str) -> DataFrame:
-    """(v, w, weight, off) of dovetail overlaps, with the twins of all edges; of equal edges the heaviest.  `also`: more columns.
+    """(v, w, weight, off) of dovetail overlaps, with the twins of all edges; of equal edges the heaviest.
 
-    Offsets come from the aligned ranges, as d_left may be off by a base or two.
+    Offsets come from the aligned ranges, as d_left may be off by a base or two.  `also`: more columns, those of the
+    overlap, or from0 and from1, where the aligned range begins on v and on w as they stand in the edge.
     """
     a, b = F.col("rid0") * 2, F.col("rid1") * 2 + F.col("strand1")
     right = F.col("d_left") > 0
     rows = ovlp.where("(d_left > 0 and d_right > 0) or (d_left < 0 and d_right < 0)")
-    left, end = F.col("bgn0") - F.col("bgn1"), (F.col("len1") - F.col("end1")) - (F.col("len0") - F.col("end0"))
+    first, last = (F.col("bgn0"), F.col("bgn1")), (F.col("len0") - F.col("end0"), F.col("len1") - F.col("end1"))
     edges = rows.select(
-        F.when(right, a).otherwise(b).alias("v"), F.when(right, b).otherwise(a).alias("w"), (F.col("end0") - F.col("bgn0")).alias("weight"),
-        F.when(right, left).otherwise(-left).alias("off"), F.when(right, end).otherwise(-end).alias("back"), *also,
+        F.when(right, a).otherwise(b).alias("v"), F.when(right, b).otherwise(a).alias("w"), (F.col("end0") - F.col("bgn0")).alias("weight"), *(c for c in also if c not in ("from0", "from1")),
+        F.when(right, first[0]).otherwise(first[1]).alias("from0"), F.when(right, first[1]).otherwise(first[0]).alias("from1"),
+        F.when(right, last[1]).otherwise(last[0]).alias("back0"), F.when(right, last[0]).otherwise(last[1]).alias("back1"),
     )
-    both = edges.select("v", "w", "weight", "off", *also).union(edges.select(twin(F.col("w")), twin(F.col("v")), "weight", "back", *also))
+    more = lambda x, y: [F.col(x).alias(c) if c == "from0" else F.col(y).alias(c) if c == "from1" else F.col(c) for c in also]
+    ahead = edges.select("v", "w", "weight", (F.col("from0") - F.col("from1")).alias("off"), *more("from0", "from1"))
+    both = ahead.union(edges.select(twin(F.col("w")), twin(F.col("v")), "weight", F.col("back0") - F.col("back1"), *more("back0", "back1")))
     return both.groupBy("v", "w").agg(F.max(F.struct("weight", "off", *also)).alias("best")).select("v", "w", "best.weight", "best.off", *(f"best.{c}" for c in also))
 
 

@@ -46,6 +46,8 @@ def branching_nodes(edges: DataFrame, most: int = 24) -> DataFrame:
     edges = cut_lineage(edges.select("v", "w").distinct())
     forks = edges.groupBy("v").agg(F.count("*").alias("n")).where("n >= 2").select("v")
     ways = cut_lineage(edges.join(forks, "v", "left_semi"))
+    if not ways.head(1):
+        return ways.select(F.col("v").alias("node"))
     found = near_nodes(edges, ways.select(F.col("w").alias("node")), most).groupBy(F.col("start").alias("w")).agg(F.collect_list("node").alias("reach"))
     sets = ways.join(found, "w").groupBy("v").agg(F.collect_list("reach").alias("sets"))
     apart = F.exists("sets", lambda a: F.exists("sets", lambda b: ~F.arrays_overlap(a, b)))
@@ -90,6 +92,8 @@ def repeat_detours(paths: DataFrame, sink_nodes: int = 15, light: int = 5) -> Da
     """
     paths = cut_lineage(paths.select("v", "w", "weight"))
     branching = cut_lineage(branching_nodes(paths))
+    if not branching.head(1):
+        return paths.select("v", "w").where(F.lit(False))
     outs = paths.select(F.col("v").alias("node")).distinct()
     sinks = cut_lineage(branching.select(twin(F.col("node")).alias("node")).join(outs, "node", "left_semi"))
     ways = cut_lineage(paths.join(branching.select(F.col("node").alias("v")), "v", "left_semi").where("v <> w"))

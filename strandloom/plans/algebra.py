@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequences as S
-from strandloom.operators import consensus, contig_map, graph, layout, overlaps
+from strandloom.operators import consensus, contig_map, graph, layout, overlaps, search
 from strandloom.plans import registry, sql
 from strandloom.plans.register import query, table
 
@@ -171,6 +171,22 @@ def reciprocal_links(spark, sf_dir):
     return graph.reciprocal(_links(spark, sf_dir)).select("v", "w", "weight")
 
 
+@query(sql.query([_LINKS], "SELECT v, w, weight FROM e WHERE (xor(w, 1), xor(v, 1)) IN (SELECT (v, w) FROM e)"))
+def mutual_links(spark, sf_dir):
+    return graph.mutual_links(_links(spark, sf_dir)).select("v", "w", "weight")
+
+
+@query(
+    sql.query(
+        [_link_sql(49_999), "near AS MATERIALIZED (SELECT DISTINCT w AS s, w AS x FROM e UNION ALL SELECT v, min(w) FROM e GROUP BY v)"],
+        "SELECT DISTINCT a.v AS node FROM e a JOIN e b ON a.v = b.v AND a.w < b.w WHERE (a.w, b.w) NOT IN (SELECT (p.s, q.s) FROM near p JOIN near q USING (x))",
+    )
+)
+def branching_nodes(spark, sf_dir):
+    """Nodes with two ways out that are still apart after the first node of each and the smallest one behind it."""
+    return search.branching_nodes(_links(spark, sf_dir, 49_999), 2)
+
+
 @query(sql.query([_LINKS], "SELECT v, w, weight FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY (dist_c <> 0)::INT, weight DESC, w) AS k FROM e) WHERE k = 1"))
 def clearest_links(spark, sf_dir):
     return graph.clearest_links(_links(spark, sf_dir)).select("v", "w", "weight")

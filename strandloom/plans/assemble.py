@@ -24,6 +24,8 @@ def correct(reads: DataFrame, ovlp: DataFrame, p: Params, min_len: int = 1200) -
 
 #: Edges this heavy are no bridges.
 HEAVY = 1_000_000
+#: What layout texts tell of an edge's overlap.
+ALIGNED = ("from0", "from1", "dist", "dist_c")
 
 
 def string_graph(ovlp: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -37,7 +39,7 @@ def string_graph(ovlp: DataFrame, p: Params) -> tuple[DataFrame, DataFrame, Data
     bad = cut_lineage(overlaps.chimeras(used).union(overlaps.contained_reads(used, dead)).distinct())
     sound = cut_lineage(overlaps.without_reads(used, bad))
     kept = overlaps.best_n_per_side(overlaps.without_reads(sound, dead), p.bestn)
-    placed = cut_lineage(layout.placed_edges(sound))
+    placed = cut_lineage(layout.placed_edges(sound, *ALIGNED))
     bare = lambda edges: edges.select("v", "w", "weight")
     reduced = graph.remove_weak_spurs(cut_lineage(graph.transitive_reduction(bare(layout.placed_edges(kept)))))
     patched = cut_lineage(graph.patch_ends(graph.without_bridges(reduced, HEAVY), bare(placed)))
@@ -56,7 +58,7 @@ def simple_graph(ovlp: DataFrame, bestn: int) -> tuple[DataFrame, DataFrame, Dat
     dead = cut_lineage(overlaps.dead_ends(used))
     bad = cut_lineage(overlaps.chimeras(used).union(overlaps.contained_reads(used, dead)).distinct())
     sound = cut_lineage(overlaps.without_reads(used, bad))
-    placed = cut_lineage(layout.placed_edges(sound, "dist_c"))
+    placed = cut_lineage(layout.placed_edges(sound, *ALIGNED))
     first = cut_lineage(layout.placed_edges(overlaps.best_n_per_side(sound, bestn), "dist_c"))
     links = cut_lineage(graph.mutual_links(graph.clearest_links(first)).select("v", "w", "weight"))
     found = cut_lineage(graph.unitigs(links))
@@ -65,7 +67,7 @@ def simple_graph(ovlp: DataFrame, bestn: int) -> tuple[DataFrame, DataFrame, Dat
     edges = cut_lineage(graph.patch_ends(edges, placed.select("v", "w", "weight")))
     for _ in range(3):
         edges = search.without_repeat_bridges(edges)
-    return search.without_repeat_branches(edges), placed.drop("dist_c"), found
+    return search.without_repeat_branches(edges), placed, found
 
 
 def assemble(reads: DataFrame, p: Params, fast: bool = True, min_len: int = 1200, polish: bool = False) -> DataFrame:

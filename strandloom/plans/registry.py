@@ -161,7 +161,7 @@ def top_clusters(spark, sf_dir):
             f"l AS (SELECT rid, count(*) AS lookups, count(*) FILTER (postings >= {P.max_postings}) AS overlimit FROM look JOIN counts USING (h0, h1) GROUP BY rid)",
             "c AS (SELECT rid0 AS rid, count(*) AS clusters FROM clusters GROUP BY rid0)",
         ],
-        "SELECT rid, coalesce(lookups, 0) AS lookups, coalesce(overlimit, 0) AS overlimit, coalesce(clusters, 0) AS clusters FROM (SELECT DISTINCT rid FROM sp) LEFT JOIN l USING (rid) LEFT JOIN c USING (rid)",
+        f"SELECT rid, coalesce(lookups, 0) AS lookups, coalesce(overlimit, 0) AS overlimit, coalesce(clusters, 0) AS clusters, least(coalesce(clusters, 0), {P.max_tries})::BIGINT AS tries FROM (SELECT DISTINCT rid FROM sp) LEFT JOIN l USING (rid) LEFT JOIN c USING (rid)",
     )
 )
 def read_overlap_stats(spark, sf_dir):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.catalog import dense_ids
 from strandloom.operators.overlaps import overlap_line
 from strandloom.plans.lineage import cut_lineage
 
@@ -178,22 +179,40 @@ def edge_lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string("G %09d:%d %09d:%d %d", F.shiftright("v", 1), F.col("v") % 2, F.shiftright("w", 1), F.col("w") % 2, "weight").alias("value"))
 
 
-def gfa_lines(paths: DataFrame, lens: DataFrame) -> DataFrame:
-    """GFA of unitigs (begin, second, node, ord): a segment for each path, and links where one begins as another ends.
+def _text(rows: DataFrame, *order: str, together: str | None = None) -> DataFrame:
+    """The lines (value) in order over all files; `together`: rows with the same value of it stay in one file."""
+    return rows.repartitionByRange(*((together,) if together else order)).sortWithinPartitions(*order).select("value")
 
-    Paths also link where one ends at the other strand of another's end.
+
+def gfa_lines(paths: DataFrame, lens: DataFrame, edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """GFA of unitigs (begin, second, node, ord): a segment for each path with its nodes, links where one begins as another ends.
+
+    A segment tells its length (first read, then what each read adds beyond its overlap), both ends, the number of nodes
+    and whether it is kept; N lines where each node's own part begins.  Paths also link where one ends at the other strand
+    of another's end.
     """
-    ends = paths.groupBy("begin", "second").agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n"))
-    name = F.concat_ws("_", F.col("begin").cast("string"), F.col("second").cast("string"))
-    seg = ends.select("*", name.alias("name"))
-    head = paths.sparkSession.createDataFrame([("H\tVN:Z:1.0",)], "value string")
-    segments = seg.select(F.format_string("S\t%s\t*\tNC:i:%d\tRB:i:%d\tRE:i:%d", "name", "n", F.shiftright("begin", 1), F.shiftright("end", 1)))
-    a, b = seg.alias("a"), seg.alias("b")
-    size = lens.select("rid", "len")
-    onward = a.join(b, F.col("a.end") == F.col("b.begin")).select(F.col("a.name").alias("x"), F.lit("+").alias("s"), F.col("b.name").alias("y"), F.col("a.end").alias("node"))
-    facing = a.join(b, F.col("a.end") == F.col("b.end").bitwiseXOR(F.lit(1))).where("a.name <> b.name").select(F.col("a.name").alias("x"), F.lit("-").alias("s"), F.col("b.name").alias("y"), F.col("a.end").alias("node"))
-    links = onward.union(facing).join(size, F.shiftright("node", 1) == F.col("rid")).select(F.format_string("L\t%s\t+\t%s\t%s\t%dM", "x", "y", "s", "len"))
-    return head.union(segments).union(links)
+    key = ["begin", "second"]
+    name = F.concat_ws("_", F.col("begin").cast("string"), F.col("second").cast("string")).alias("name")
+    order = Window.partitionBy(*key).orderBy("ord")
+    steps = paths.select(*key, name, "node", "ord").withColumn("before", F.lag("node").over(order))
+    steps = steps.join(lens.select(F.col("rid"), F.col("len").cast("long").alias("len")), F.shiftright("node", 1) == F.col("rid"))
+    steps = steps.join(edges.select(F.col("v").alias("before"), F.col("w").alias("node"), "weight"), ["before", "node"], "left")
+    adds = F.when(F.col("before").isNull(), F.col("len")).otherwise(F.col("len") - F.coalesce("weight", F.lit(0)))
+    placed = steps.withColumn("adds", adds).withColumn("start", F.coalesce(F.sum("adds").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ends = placed.groupBy(*key, "name").agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n"), F.sum("adds").cast("long").alias("size"))
+    seg = ends.join(kept.select(*key, F.lit(1).alias("tag")).distinct(), key, "left").withColumn("tag", F.coalesce("tag", F.lit(0)))
+    line = lambda part, ord_, value: (F.lit(part).alias("part"), *key, ord_.cast("long").alias("ord"), value.alias("value"))
+    segment = F.format_string("S\t%s\t*\tLN:i:%d\tRB:i:%d\tSB:i:%d\tRE:i:%d\tSE:i:%d\tNC:i:%d\tTG:i:%d", "name", "size", F.shiftright("begin", 1), F.col("begin") % 2, F.shiftright("end", 1), F.col("end") % 2, "n", "tag")
+    node = F.format_string("N\t%s\t%d\t%d\t%d", "name", F.shiftright("node", 1), F.col("node") % 2, F.col("start").cast("long"))
+    a, b = ends.alias("a"), ends.alias("b")
+    link = lambda met, sign: met.select(F.col("a.begin").alias("begin"), F.col("a.second").alias("second"), F.col("a.name").alias("x"), F.col("b.name").alias("y"), F.lit(sign).alias("s"), F.col("a.end").alias("node"))
+    onward = link(a.join(b, F.col("a.end") == F.col("b.begin")), "+")
+    facing = link(a.join(b, F.col("a.end") == F.col("b.end").bitwiseXOR(F.lit(1))).where("a.name <> b.name"), "-")
+    links = onward.union(facing).join(lens.select("rid", "len"), F.shiftright("node", 1) == F.col("rid"))
+    head = paths.sparkSession.createDataFrame([(0, 0, 0, 0, "H\tVN:Z:1.0")], "part int, begin long, second long, ord long, value string")
+    rows = head.union(seg.select(*line(1, F.lit(-1), segment))).union(placed.select(*line(1, F.col("ord"), node)))
+    rows = rows.union(links.select(*line(2, F.lit(0), F.format_string("L\t%s\t+\t%s\t%s\t%dM", "x", "y", "s", "len"))))
+    return _text(rows, "part", *key, "ord", "value")
 
 
 def relation_lines(relations: DataFrame) -> DataFrame:
@@ -219,33 +238,45 @@ def subsequence(contigs: DataFrame, key: str | int, bgn: int, end: int) -> DataF
 
 
 def overlap_blocks(ovlp: DataFrame, stats: DataFrame) -> DataFrame:
-    """Overlaps as text in blocks by read: R0 with lookups, O lines by d_left, R1 with clusters and overlaps, a dash."""
-    body = ovlp.withColumn("line", overlap_line()).groupBy("rid0").agg(F.sort_array(F.collect_list(F.struct("d_left", "rid1", "strand1", "line"))).alias("lines"), F.count("*").alias("n"))
-    both = stats.join(body, stats["rid"] == body["rid0"], "left")
-    first = F.format_string("R0 %d %d %d", "rid", "lookups", "overlimit")
-    last = F.format_string("R1 %d %d %d", "rid", "clusters", F.coalesce("n", F.lit(0)))
-    return both.select(F.concat_ws("\n", first, F.array_join("lines.line", "\n"), last, F.lit("-")).alias("value"))
+    """Overlaps as text, a block for each read, which stays in one file: R0 with lookups, O lines by d_left, R1 with clusters, tries and overlaps (of reads with clusters), a dash."""
+    key = lambda part: (F.col("rid"), F.lit(part).alias("part"))
+    none = [F.lit(0).alias(c) for c in ("d_left", "rid1", "strand1")]
+    counts = stats.join(ovlp.groupBy(F.col("rid0").alias("rid")).agg(F.count("*").alias("n")), "rid", "left")
+    last = F.format_string("R1 %d %d %d %d", "rid", "clusters", "tries", F.coalesce("n", F.lit(0)))
+    rows = stats.select(*key(0), *none, F.format_string("R0 %d %d %d", "rid", "lookups", "overlimit").alias("value"))
+    rows = rows.union(ovlp.withColumn("rid", F.col("rid0")).select(*key(1), "d_left", "rid1", "strand1", overlap_line().alias("value")))
+    rows = rows.union(counts.where("clusters > 0").select(*key(2), *none, last.alias("value"))).union(stats.select(*key(3), *none, F.lit("-").alias("value")))
+    return _text(rows, "rid", "part", "d_left", "rid1", "strand1", together="rid")
 
 
 def layout_lines(layout: DataFrame, edges: DataFrame) -> DataFrame:
-    """Layout paths as text: a header with the tag, then an E line for each step with its offset."""
+    """Layout paths as text: a header with the tag, both ends and the edges, then an E line for each edge.
+
+    E: path, both nodes, where the aligned range begins on each, differences, and differences at markers.  Paths are
+    numbered as contigs are.
+    """
+    paths = layout.groupBy("component", "path", "tag").agg(F.min_by("node", "ord").alias("first"), F.max_by("node", "ord").alias("end"), (F.count("*") - 1).alias("n")).withColumn("ord", F.col("component") * (1 << 20) + F.col("path"))
+    numbered = dense_ids(paths, "ord", "number").drop("ord")
     order = Window.partitionBy("component", "path").orderBy("ord")
-    steps = layout.withColumn("next", F.lead("node").over(order)).where("next is not null")
-    placed = steps.join(edges.select(F.col("v").alias("node"), F.col("w").alias("next"), "weight", "off"), ["node", "next"])
+    steps = layout.withColumn("next", F.lead("node").over(order)).where("next is not null").join(numbered.select("component", "path", "number"), ["component", "path"])
+    placed = steps.join(edges.select(F.col("v").alias("node"), F.col("w").alias("next"), "from0", "from1", "dist", "dist_c"), ["node", "next"])
     node = lambda c: (F.shiftright(c, 1), F.col(c) % 2)
-    line = F.format_string("E %d %d %d %d %d %d %d", "path", *node("node"), *node("next"), "off", "weight")
-    made = placed.withColumn("line", line).groupBy("component", "path", "tag").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("steps"))
-    head = F.format_string("%s %d %d", "tag", "path", F.size("steps"))
-    return made.select(F.concat_ws("\n", head, F.array_join("steps.line", "\n")).alias("value"))
+    line = F.format_string("E %d %d %d %d %d %d %d %d %d", "number", *node("node"), *node("next"), "from0", "from1", "dist", "dist_c")
+    head = F.format_string("%s %d %d:%d %d %d:%d %d", "tag", "number", *node("first"), "n", *node("end"), "n")
+    rows = numbered.select("number", F.lit(-1).alias("ord"), head.alias("value")).union(placed.select("number", "ord", line.alias("value")))
+    return _text(rows, "number", "ord")
 
 
 def unitig_lines(unitigs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Unitigs as text: UTG with both ends, the number of nodes and whether it is kept; an N line for each node."""
-    marked = unitigs.join(kept.select("begin", "second", F.lit(1).alias("tag")).distinct(), ["begin", "second"], "left")
-    node = F.format_string("N %d %d", F.shiftright("node", 1), F.col("node") % 2)
-    made = marked.withColumn("line", node).groupBy("begin", "second").agg(F.sort_array(F.collect_list(F.struct("ord", "line"))).alias("nodes"), F.max_by("node", "ord").alias("end"), F.max(F.coalesce("tag", F.lit(0))).alias("tag"))
-    head = F.format_string("UTG %d %d %d %d", "begin", "end", F.size("nodes"), "tag")
-    return made.select(F.concat_ws("\n", head, F.array_join("nodes.line", "\n")).alias("value"))
+    """Unitigs as text: UTG with its name, both ends, the number of nodes and whether it is kept; an N line for each node."""
+    key = ["begin", "second"]
+    ends = unitigs.groupBy(*key).agg(F.max_by("node", "ord").alias("end"), F.count("*").alias("n"))
+    marked = ends.join(kept.select(*key, F.lit(1).alias("tag")).distinct(), key, "left").withColumn("tag", F.coalesce("tag", F.lit(0)))
+    name = F.concat_ws("_", F.col("begin").cast("string"), F.col("second").cast("string"))
+    node = lambda c: (F.shiftright(c, 1), F.col(c) % 2)
+    head = F.format_string("UTG %s %d:%d %d:%d %d %d", name, *node("begin"), *node("end"), "n", "tag")
+    rows = marked.select(*key, F.lit(-1).cast("long").alias("ord"), head.alias("value")).union(unitigs.select(*key, F.col("ord").cast("long"), F.format_string("N %s %d:%d", name, *node("node")).alias("value")))
+    return _text(rows, *key, "ord")
 
 
 def write_shimmers(mm: DataFrame, path: str, chunks: int) -> None:

@@ -182,11 +182,30 @@ def test_catalogue_and_writers(spark, tmp_path):
     edges = spark.createDataFrame([(2, 5, 7)], "v long, w long, weight long")
     assert fastx.edge_lines(edges).collect()[0]["value"] == "G 000000001:0 000000002:1 7"
     paths = spark.createDataFrame([(0, 2, 0, 0), (0, 2, 2, 1), (2, 4, 2, 0), (2, 4, 4, 1)], "begin long, second long, node long, ord long")
-    lines = sorted(r["value"] for r in fastx.gfa_lines(paths, spark.createDataFrame([(1, 900)], "rid long, len int")).collect())
-    assert lines[0].startswith("H") and lines[1] == "L\t0_2\t+\t2_4\t+\t900M" and len(lines) == 4
+    lens = spark.createDataFrame([(0, 700), (1, 900), (2, 800)], "rid long, len int")
+    joins = spark.createDataFrame([(0, 2, 600), (2, 4, 500)], "v long, w long, weight long")
+    lines = [r["value"].split("\t") for r in fastx.gfa_lines(paths, lens, joins, paths.where("begin = 2")).collect()]
+    assert lines[0] == ["H", "VN:Z:1.0"] and lines[-1] == ["L", "0_2", "+", "2_4", "+", "900M"]
+    assert lines[1] == ["S", "0_2", "*", "LN:i:1000", "RB:i:0", "SB:i:0", "RE:i:1", "SE:i:0", "NC:i:2", "TG:i:0"] and lines[4][1:] == ["2_4", "*", "LN:i:1200", "RB:i:1", "SB:i:0", "RE:i:2", "SE:i:0", "NC:i:2", "TG:i:1"]
+    assert lines[2:4] == [["N", "0_2", "0", "0", "0"], ["N", "0_2", "1", "0", "700"]] and len(lines) == 8
     assert sketch.shimmers(named, P).where("pos < 0").count() == 0
 
 
+def test_pieces_are_even_on_a_crowded_column(spark):
+    rng = random.Random(11)
+    at = sorted({10**12 + rng.randrange(10**5) for _ in range(4000)} | {rng.randrange(10**18) for _ in range(40)})
+    rows = spark.createDataFrame([(x, x % 50) for x in at], "ord long, len long")
+    pieces = [r["count"] for r in catalog._pieces(rows, "ord", 500).groupBy("piece_").count().collect()]
+    assert len(pieces) > 6 and max(pieces) <= 2 * sum(pieces) / len(pieces)
+    found = catalog.running_start(catalog.dense_ids(rows, "ord", most=500), most=500).collect()
+    want, start = [], 0
+    for k, x in enumerate(at):
+        want.append((x, k, start))
+        start += x % 50
+    assert sorted((r["ord"], r["rid"], r["start"]) for r in found) == want
+    assert catalog.running_start(catalog.dense_ids(rows.limit(0), "ord")).collect() == []
+
+
 def test_interval_query_matches_brute_force(spark):
     rng = random.Random(6)
     rows = [(k, rng.randrange(3), b := rng.randrange(20_000), b + rng.randrange(0, 9000)) for k in range(80)]

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strandloom import cli
-from strandloom.operators import consensus, layout, sketch
+from strandloom.operators import consensus, overlaps, sketch
 from strandloom.sources import fastx
 from strandloom.streaming import stream_sessions, stream_shimmers
 from tests.test_assembly import P, dna, tiles
@@ -48,14 +48,34 @@ def test_commands_from_files_to_contigs(spark, tmp_path):
     assert spark.read.parquet(at("asm/summary")).collect()[0]["longest"] > 6000
     assert spark.read.parquet(at("asm/resolved")).count() == spark.read.parquet(at("asm/contigs")).count()
     ovlp = spark.read.parquet(at("ovlp"))
-    stats = ovlp.select(F.col("rid0").alias("rid")).distinct().select("rid", F.lit(1).alias("lookups"), F.lit(0).alias("overlimit"), F.lit(2).alias("clusters"))
-    block = fastx.overlap_blocks(ovlp, stats).collect()[0]["value"].split("\n")
-    assert block[0].startswith("R0 ") and block[1].startswith("O ") and block[-2].startswith("R1 ") and block[-1] == "-"
+    lines = [r["value"].split(" ") for r in spark.read.text(at("ovlp.ovlp")).collect()]
+    assert [x[0] for x in lines[:2]] == ["R0", "O"] and sum(x[0] == "O" for x in lines) == ovlp.count()
+    blocks, here = {}, []
+    for x in lines:
+        here.append(x)
+        if x == ["-"]:
+            blocks[int(here[0][1])], here = here, []
+    assert not here and len(blocks) == spark.read.parquet(at("sdb")).count()
+    for rid, block in blocks.items():
+        kinds, found = [x[0] for x in block], [x for x in block if x[0] == "O"]
+        assert kinds[0] == "R0" and set(kinds[1:-2]) <= {"O"} and all(int(x[1]) == rid for x in found)
+        if found:
+            assert block[-2][:2] == ["R1", str(rid)] and block[-2][2] == block[-2][3] and int(block[-2][4]) == len(found)
+    assert sorted(parsed(overlaps.parse_overlaps(spark.read.text(at("ovlp.ovlp"))))) == sorted(parsed(ovlp))
+    assert sorted((r["name"].split(" ")[0], r["seq"]) for r in fastx.read_fasta(spark, at("ec.fa")).collect()) == sorted((r["name"], r["seq"]) for r in spark.read.parquet(at("ec")).collect())
     graph_at = spark.read.parquet(at("graph/unitigs"))
-    lines = fastx.unitig_lines(graph_at, graph_at).collect()[0]["value"].split("\n")
-    assert lines[0].startswith("UTG ") and lines[0].endswith(f" {len(lines) - 1} 1")
-    text = fastx.layout_lines(spark.read.parquet(at("graph/layout")), spark.read.parquet(at("graph/edges"))).collect()[0]["value"].split("\n")
-    assert text[0][0] in "PAD" and all(x.startswith("E ") for x in text[1:])
+    lines = [r["value"].split(" ") for r in fastx.unitig_lines(graph_at, graph_at).collect()]
+    heads = [x for x in lines if x[0] == "UTG"]
+    assert lines[0][0] == "UTG" and all(int(x[4]) == sum(y[0] == "N" and y[1] == x[1] for y in lines) and x[5] == "1" for x in heads)
+    lines = [r["value"].split(" ") for r in spark.read.text(at("graph/layout.dat")).collect()]
+    assert lines[0][0] in "PAD" and {len(x) for x in lines if x[0] == "E"} == {10}
+    laid = spark.read.parquet(at("graph/layout"))
+    assert sum(int(x[5]) for x in lines if x[0] in "PAD") == sum(x[0] == "E" for x in lines) == laid.count() - laid.select("component", "path").distinct().count()
+    assert {"LN", "SB", "SE", "TG"} <= {t[:2] for r in spark.read.text(at("graph/utg.gfa")).where("value like 'S%'").collect() for t in r["value"].split("\t")}
+
+
+def parsed(ovlp):
+    return [(r["rid0"], r["rid1"], r["strand1"], r["d_left"], r["bgn0"], r["end1"], r["dist"]) for r in ovlp.collect()]
 
 
 def test_contigs_are_polished(spark):
