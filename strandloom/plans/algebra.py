@@ -335,3 +335,10 @@ _CHAINS = [
 def match_chains(spark, sf_dir):
     """Chains of the interval map."""
     return contig_map.chains(contig_map.interval_map(*registry._short(spark, sf_dir)))
+
+
+@query(sql.query([_OV, *registry._DEAD], "SELECT DISTINCT CASE WHEN d_left > 0 THEN rid1 ELSE rid0 END AS rid FROM ov WHERE ((d_left > 0 AND d_right < 0) OR (d_left < 0 AND d_right > 0)) AND rid0 NOT IN (SELECT rid FROM dead) AND rid1 NOT IN (SELECT rid FROM dead)"))
+def contained_lines(spark, sf_dir):
+    """The rule of contained reads on stand-ins where it has something to decide."""
+    rows = _ov(spark, sf_dir)
+    return overlaps.contained_reads(rows, overlaps.dead_ends(rows))

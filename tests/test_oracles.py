@@ -1,3 +1,5 @@
+from itertools import groupby
+
 import pytest
 from tests.oracle import SF, database, same_rows
 
@@ -12,7 +14,35 @@ def test_query_equals_its_sql(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"assembled_documents"}))
+def common(a, b):
+    """Length of the longest common subsequence, by bits."""
+    places = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = v = (1 << len(a)) - 1
+    for c in b:
+        u = v & places.get(c, 0)
+        v = ((v + u) | (v - u)) & full
+    return (full & ~v).bit_count()
+
+
+def test_alignments_are_sound(spark):
+    """Aligned ranges without runs of a base are as far apart as the alignment says, or nearer where its band missed the best."""
+    seqs = {r["rid"]: r["seq"] for r in registry._reads(spark, SF).collect()}
+    exact, rows = 0, QUERIES["overlap_alignments"](spark, SF).collect()
+    for r in rows:
+        a, b = seqs[r["rid0"]], seqs[r["rid1"]]
+        if r["strand1"]:
+            b = b.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+        assert (r["len0"], r["len1"]) == (len(a), len(b)) and r["d_right"] == r["d_left"] + len(b) - len(a)
+        x, y = ("".join(c for c, _ in groupby(s)) for s in (a[r["bgn0"] : r["end0"] + 1], b[r["bgn1"] : r["end1"] + 1]))
+        best = len(x) + len(y) - 2 * common(x, y)
+        assert best <= r["dist"] <= 2 * best and min(r["end0"] - r["bgn0"], r["end1"] - r["bgn1"]) >= 200
+        exact += best == r["dist"]
+    assert len(rows) >= 20 and exact >= len(rows) / 2
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"assembled_documents", "overlap_alignments"}))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
