@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import inspect
 import tempfile
 import threading
 import uuid
@@ -113,6 +114,21 @@ def release() -> None:
         pass
 
 
+def trimmed(task):
+    """The task on batches, or on a group's table, with freed memory given back when its frame is gone."""
+
+    def batches_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        release()
+
+    def group(table: pa.Table) -> pa.Table:
+        out = task(table)
+        release()
+        return out
+
+    return batches_ if inspect.isgeneratorfunction(task) else group
+
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S = np.uint64(33)
 
