@@ -55,7 +55,7 @@ def ovlp(spark, a):
     """Overlaps as Parquet, and as text in blocks by read beside them (.ovlp)."""
     reads, p = _load(spark, a.reads), _params(a)
     pairs = assemble.cut_lineage(sketch.shimmer_pairs(_load(spark, a.shimmers)))
-    clusters = assemble.cut_lineage(candidates.hit_clusters(candidates.pair_hits(pairs, p), p))
+    clusters = assemble.cut_lineage(candidates.pair_clusters(pairs, p))
     aligned = assemble.cut_lineage(align.align_clusters(candidates.top_clusters(clusters, p), reads, p))
     overlaps.with_markers(aligned.drop("deltas"), align.delta_rows(aligned)).write.parquet(a.out)
     fastx.overlap_blocks(_load(spark, a.out), assemble.cut_lineage(candidates.read_stats(pairs, clusters, p))).write.text(f"{a.out}.ovlp")

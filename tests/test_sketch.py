@@ -121,3 +121,23 @@ def test_cluster_counts(spark):
     assert got(P) == [(0, 0, 2, 3), (1, 0, 3, 4), (2, 0, 2, 3), (2, 100, 103, 4)]
     assert got(Params(w=16, k=15, r=3, compat=True)) == [(1, 0, 3, 3), (2, 0, 2, 3), (2, 100, 103, 3)]
     assert hits.where(F.lit(False)).transform(lambda h: candidates.hit_clusters(h, P)).count() == 0
+
+
+def test_clusters_of_pairs_are_those_of_their_hits(spark):
+    """Reads in copies, turned round and with tandem runs; hits of equal offsets are counted, and each pair is met once."""
+    rng = random.Random(11)
+    base = [dna(rng, 400) for _ in range(3)]
+    seqs = [base[rng.randrange(3)][rng.randrange(60) :] + "ACGGT" * rng.randrange(30) for _ in range(30)]
+    seqs += [s[::-1].translate(str.maketrans("ACGT", "TGCA")) for s in seqs[:8]]
+    pairs = sketch.shimmer_pairs(sketch.shimmers(spark.createDataFrame(list(enumerate(seqs)), "rid long, seq string"), P)).cache()
+    for p in (P, Params(w=16, k=15, r=3, compat=True), Params(w=16, k=15, r=3, max_postings=12, gap=5)):
+        want = Counter(tuple(r) for r in candidates.hit_clusters(candidates.pair_hits(pairs, p), p).collect())
+        assert len(want) > 50 and {r[2] for r in want} == {0, 1}
+        assert Counter(tuple(r) for r in candidates.pair_clusters(pairs, p).collect()) == want
+    naive = [(r["rid0"], r["rid1"], r["rev"], r["off"]) for r in candidates.pair_hits(pairs, P).collect()]
+    runs = Counter()
+    for key in {x[:3] for x in naive}:
+        at = sorted(x[3] for x in naive if x[:3] == key)
+        cuts = [0, *(i for i in range(1, len(at)) if at[i] - at[i - 1] > P.gap), len(at)]
+        runs.update((*key[:2], int(key[2]), at[a], at[b - 1], b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b - a >= P.min_hits)
+    assert Counter(tuple(r) for r in candidates.pair_clusters(pairs, P).collect()) == runs
