@@ -65,3 +65,20 @@ def test_queries_have_rows_to_decide_on():
 def test_scans_read_what_they_need(spark):
     plan = QUERIES["shimmers_r2"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_shuffles_start_in_proportion_to_the_table(spark, monkeypatch):
+    """A larger table gets more partitions for adaptive execution to start with, a smaller one read later no fewer."""
+    from strandloom.plans import register
+
+    name = register._INITIAL
+    try:
+        spark.conf.unset(name)
+        monkeypatch.setattr(register, "PIECE", 1 << 12)
+        register.table(spark, SF, "lineitem")
+        most = int(spark.conf.get(name))
+        assert most > 20
+        register.table(spark, SF, "nation")
+        assert int(spark.conf.get(name)) == most
+    finally:
+        spark.conf.unset(name)
