@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.functions.sequences import compressed
 from strandloom.operators.align import align, oriented
-from strandloom.operators.graph import components
 from strandloom.operators.sketch import shimmer_pairs, shimmers
 from strandloom.params import Params
 from strandloom.plans.lineage import cut_lineage
@@ -25,14 +26,14 @@ def interval_map(mm0: DataFrame, mm1: DataFrame, max_hits: int = 32) -> DataFram
 
     orient 0: same direction; 1: reversed.  Pairs in more than max_hits places of the second set are skipped.
     """
-    a, b = shimmer_pairs(mm0), shimmer_pairs(mm1)
+    b = cut_lineage(shimmer_pairs(mm1))
     few = b.groupBy("h0", "h1").agg(F.count("*").alias("n")).where(F.col("n") <= max_hits).select("h0", "h1")
-    b = b.join(few, ["h0", "h1"], "left_semi").alias("b")
-    a = a.alias("a")
-    out = lambda rows, orient: rows.select(*[F.col(c).alias(n) for c, n in (("a.rid", "sid0"), ("a.p0", "b0"), ("a.p1", "e0"), ("b.rid", "sid1"), ("b.p0", "b1"), ("b.p1", "e1"))], F.lit(orient).alias("orient"))
-    same = a.join(b, F.expr("a.h0 = b.h0 and a.h1 = b.h1 and a.st0 = b.st0 and a.st1 = b.st1"))
-    turned = a.join(b, F.expr("a.h1 = b.h0 and a.h0 = b.h1 and a.st0 <> b.st1 and a.st1 <> b.st0"))
-    return out(same, 0).unionByName(out(turned, 1))
+    b = b.join(few, ["h0", "h1"], "left_semi")
+    # a pair stands under both directions in the second set, so the first set is sketched and met once
+    side = lambda h0, h1, st0, st1, orient: b.select(F.col(h0).alias("h0"), F.col(h1).alias("h1"), st0.alias("st0"), st1.alias("st1"), F.col("rid").alias("sid1"), F.col("p0").alias("b1"), F.col("p1").alias("e1"), F.lit(orient).alias("orient"))
+    sides = side("h0", "h1", F.col("st0"), F.col("st1"), 0).unionByName(side("h1", "h0", 1 - F.col("st1"), 1 - F.col("st0"), 1))
+    a = shimmer_pairs(mm0).select("h0", "h1", "st0", "st1", F.col("rid").alias("sid0"), F.col("p0").alias("b0"), F.col("p1").alias("e0"))
+    return a.join(cut_lineage(sides), ["h0", "h1", "st0", "st1"]).select(*INTERVAL)
 
 
 def interval_query(intervals: DataFrame, queries: DataFrame, sid: str = "sid", bgn: str = "bgn", end: str = "end", width: float = 3600) -> DataFrame:
@@ -68,25 +69,72 @@ def associates(relations: DataFrame) -> DataFrame:
     return relations.where("r0 > 0.5 and s1 > s0").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").select("rid0", "rid1")
 
 
+def _whole_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Sorted batches as tables that end where a pair of sequences ends."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        sid0, sid1 = table.column("sid0").to_numpy(), table.column("sid1").to_numpy()
+        at = int(np.searchsorted((sid0 == sid0[-1]) & (sid1 == sid1[-1]), True))  # where the last pair of the batch begins
+        if at:
+            yield pa.concat_tables([*held, table.slice(0, at)])
+            held = [table.slice(at)]
+            continue
+        last = held[-1].slice(held[-1].num_rows - 1) if held else None
+        if last is not None and (last.column("sid0")[0], last.column("sid1")[0]) != (table.column("sid0")[0], table.column("sid1")[0]):
+            yield pa.concat_tables(held)
+            held = []
+        held.append(table)
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _link_labels(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of whole pairs, in order: the place in its pair of each row's chain's first member, and which rows have a link."""
+    sid0, sid1, b0, b1, orient = (table.column(c).to_numpy().astype(np.int64) for c in ("sid0", "sid1", "b0", "b1", "orient"))
+    first = np.concatenate([[True], (sid0[1:] != sid0[:-1]) | (sid1[1:] != sid1[:-1])])
+    cuts, pair = np.flatnonzero(first), np.cumsum(first) - 1
+    large = (np.diff(np.append(cuts, len(pair))) >= LEAST_CHAIN)[pair]
+    diagonal = np.where(orient == 1, b0 + b1, b0 - b1)
+    v, w = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, min(AHEAD, len(pair) - 1) + 1):
+        gap = b0[step:] - b0[:-step]
+        met = large[step:] & (pair[step:] == pair[:-step]) & (orient[step:] == orient[:-step]) & (gap != 0) & (gap < SPAN)
+        met = np.flatnonzero(met)
+        met = met[np.abs(diagonal[met] - diagonal[met + step]) / np.abs(gap[met]) < DRIFT]
+        v.append(met)
+        w.append(met + step)
+    v, w = np.concatenate(v), np.concatenate(w)
+    label, linked = np.arange(len(pair)), np.zeros(len(pair), bool)
+    linked[v] = linked[w] = True
+    while len(v):
+        a, b = label[v], label[w]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[v] != label[w]
+        v, w = v[apart], w[apart]
+    return label - cuts[pair], linked
+
+
 def chains(intervals: DataFrame) -> DataFrame:
     """Intervals in collinear chains, with `chain`, the place of the chain's first member in its pair of sequences.
 
     Each interval is compared with the 25 after it in its pair; near ones on a similar diagonal are linked, and chains are
-    the connected components.  Intervals without a link are left out.
+    the connected components.  Intervals without a link are left out.  A pair's intervals come to a task in order, so its
+    chains are found in memory, pairs of a batch at a time; nothing but the intervals is shuffled, and once.
     """
-    pair = Window.partitionBy("sid0", "sid1")
-    order = pair.orderBy("b0", "e0", "b1", "e1", "orient")
-    rows = intervals.select(*INTERVAL).withColumn("n", F.count("*").over(pair)).where(F.col("n") >= LEAST_CHAIN).withColumn("i", F.row_number().over(order) - 1).drop("n")
-    diagonal = F.when(F.col("orient") == 1, F.col("b0") + F.col("b1")).otherwise(F.col("b0") - F.col("b1"))
-    item = F.struct("i", "b0", "orient", diagonal.alias("diag"))
-    ahead = rows.withColumn("me", item).withColumn("after", F.collect_list(item).over(order.rowsBetween(1, AHEAD)))
-    links = ahead.select("sid0", "sid1", "me", F.explode("after").alias("to"))
-    gap = F.col("to.b0") - F.col("me.b0")
-    links = links.where((gap != 0) & (F.col("me.orient") == F.col("to.orient")) & (gap < SPAN)).where(F.abs(F.col("me.diag") - F.col("to.diag")) / F.abs(gap) < DRIFT)
-    node = lambda i: F.struct("sid0", "sid1", i)
-    edges = links.select(node(F.col("me.i").alias("i")).alias("v"), node(F.col("to.i").alias("i")).alias("w"))
-    found = components(edges).select("node.sid0", "node.sid1", "node.i", F.col("component.i").alias("chain"))
-    return rows.join(found, ["sid0", "sid1", "i"]).select(*INTERVAL, "chain")
+    rows = intervals.select(*INTERVAL).where("sid0 is not null and sid1 is not null")
+    dealt = rows.repartition("sid0", "sid1").sortWithinPartitions("sid0", "sid1", "b0", "e0", "b1", "e1", "orient")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_pairs(batches):
+            chain, linked = _link_labels(table)
+            yield from table.append_column("chain", pa.array(chain.astype(np.int32))).filter(pa.array(linked)).to_batches()
+
+    return dealt.mapInArrow(link, T.StructType([*dealt.schema.fields, T.StructField("chain", T.IntegerType())]))
 
 
 _CHAIN_TYPES = "sid0 long, b0 int, e0 int, sid1 long, b1 int, e1 int, orient int, deltas int"

@@ -107,6 +107,20 @@ def test_chains_match_a_loop(spark):
     assert kept.count() <= got.count() and contig_map.linear_hits(kept.withColumn("deltas", F.lit(0))).count() > 0
 
 
+def test_chains_shuffle_the_intervals_once(spark):
+    """A pair's chains are found where its rows meet, across the ends of batches too."""
+    rows = {(a, 100 * k, 100 * k + 40, 5, 100 * k + 3 * (k % 40 == 0), 100 * k + 40, 0) for a in range(3) for k in range(90)}
+    df = spark.createDataFrame(sorted(rows), "sid0 long, b0 int, e0 int, sid1 long, b1 int, e1 int, orient int")
+    most = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = contig_map.chains(df)
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert sorted(tuple(r) for r in got.collect()) == naive_chains(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+
+
 def test_fastx_files(spark, tmp_path):
     rng = random.Random(5)
     seqs = [dna(rng, 700) for _ in range(120)]
