@@ -70,6 +70,22 @@ def test_unitigs_and_components(spark):
         assert {r["node"]: r["component"] for r in G.components(df).collect()} == label
 
 
+def test_components_read_the_edges_once(spark):
+    """Long ways in order, a clique and a loop; the edges given are computed once, whatever the number of rounds."""
+    rows = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + j) for i in range(9) for j in range(i)] + [(2000, 2000), (2100, 1500), (1500, 2200), (2200, 1400)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "v long, w long").mapInArrow(count, "v long, w long")
+    got = {r["node"]: r["component"] for r in G.components(df).collect()}
+    assert got == {x: 0 for x in range(301)} | {x: 1000 for x in range(1000, 1009)} | {2000: 2000} | {x: 1400 for x in (2100, 1500, 2200, 1400)}
+    assert read.value == len(rows)
+
+
 def test_links_and_reach(spark):
     df = edges(spark, [(1, 2, 5), (2, 1, 4), (1, 3, 9), (3, 4, 1), (4, 5, 1)])
     assert pairs_of(G.best_links(df)) == [(1, 3), (2, 1), (3, 4), (4, 5)] and pairs_of(G.reciprocal(df)) == [(1, 2), (2, 1)]
