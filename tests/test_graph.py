@@ -34,6 +34,28 @@ def test_reduction_spurs_and_bridges(spark, monkeypatch):
     assert pairs_of(G.remove_weak_spurs(df, 3)) == sorted(e for e in rows if not (e in spur and rows[e] <= 3))
 
 
+def test_reduction_in_cells(spark, monkeypatch):
+    """Parts by hash and by ranges, bit rows and look-ups give the witnessed edges, and no way of two edges is made."""
+    rng = random.Random(3)
+    near = {(100 * c + v, 100 * c + w) for c in range(12) for v in range(40) for w in range(v + 1, 40) if rng.random() < 0.2}
+    far = {(rng.randrange(90), rng.randrange(90)) for _ in range(900)}
+    copies = {}
+    for name, rows in (("near", near), ("far", {(v, w) for v, w in far if v != w})):
+        out = {}
+        for v, w in rows:
+            out.setdefault(v, set()).add(w)
+        want = sorted((v, w) for v, w in rows if any(w in out.get(x, ()) for x in out[v]))
+        df = edges(spark, [(v, w, 1) for v, w in rows])
+        monkeypatch.setattr(G, "MOST_BROADCAST", 0)
+        for cell, cost in ((1 << 20, 64), (300, 10**9), (300, 0)):
+            monkeypatch.setattr(G, "CELL", cell)
+            monkeypatch.setattr(G, "PROBE_COST", cost)
+            assert pairs_of(G.reducible_edges(df)) == want
+        copies[name] = G._in_cells(df.select("v", "w"), len(rows)).count() / len(rows)
+        monkeypatch.undo()
+    assert copies["near"] < copies["far"] <= 3 * 3
+
+
 def test_greedy_bridges_rechecks():
     rows = [(0, 1, 9), (1, 2, 9), (3, 4, 9), (4, 5, 9), (1, 4, 1), (4, 1, 2)]
     left = G.greedy_bridges([(2 * v, 2 * w, x) for v, w, x in rows])
