@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +64,14 @@ def test_parameters_are_checked():
     for bad in ({"k": 57}, {"w": 129}, {"r": 0}, {"r": 13}):
         with pytest.raises(ValueError):
             Params(**bad)
+
+
+def test_runs_are_compressed_in_slices():
+    """What a batch of reads becomes is made a slice at a time, with the same rows."""
+    seqs = ["ACGT" * 30_000, None, "", "AAAAAAAAC"] * 5
+    parts = list(S.compress_runs.func(iter([pa.array(seqs)])))
+    assert len(parts) > 1 and max(len(p.field("pos").flatten()) for p in parts) <= S.SLICE + 120_000
+    got = [r for p in parts for r in p.to_pylist()]
+    for s, r in zip(seqs, got, strict=True):
+        codes, keep = S.compressed((s or "").encode())
+        assert r["pos"] == keep.tolist() and r["seq"] == "".join("ACGT"[c] for c in codes)
