@@ -141,3 +141,22 @@ def test_clusters_of_pairs_are_those_of_their_hits(spark):
         cuts = [0, *(i for i in range(1, len(at)) if at[i] - at[i - 1] > P.gap), len(at)]
         runs.update((*key[:2], int(key[2]), at[a], at[b - 1], b - a) for a, b in zip(cuts, cuts[1:], strict=False) if b - a >= P.min_hits)
     assert Counter(tuple(r) for r in candidates.pair_clusters(pairs, P).collect()) == runs
+
+
+def test_equal_reads_are_met_once(spark):
+    """Clusters, the first of each read and their numbers are the same, whether or not equal reads are met once."""
+    rng = random.Random(12)
+    base = [dna(rng, 300) for _ in range(2)]
+    seqs = [base[k % 2][rng.randrange(60) :] + "ACGGT" * rng.randrange(9) for k in range(8)]
+    seqs += [s[::-1].translate(str.maketrans("ACGT", "TGCA")) for s in seqs[:3]] + [dna(rng, 40) * 9]
+    seqs = [s for k, s in enumerate(seqs) for _ in range(1 + 4 * (k % 3 == 2))]
+    rng.shuffle(seqs)
+    reads = spark.createDataFrame(list(enumerate(seqs)), "rid long, seq string").cache()
+    pairs, same = sketch.shimmer_pairs(sketch.shimmers(reads, P)).cache(), candidates.copies(reads)
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    for p in (Params(w=16, k=15, r=3, max_tries=5), Params(w=16, k=15, r=3, max_tries=2, compat=True), Params(w=16, k=15, r=3, max_postings=14, max_tries=40)):
+        whole, once = candidates.pair_clusters(pairs, p).cache(), candidates.group_clusters(pairs, p, same).cache()
+        assert rows(candidates.pair_clusters(pairs, p, same)) == rows(whole) and once.count() < whole.count() / 2
+        top = candidates.top_clusters(whole, p)
+        assert rows(candidates.top_group_clusters(once, same, p).select(top.columns)) == rows(top)
+        assert rows(candidates.read_stats(pairs, candidates.clusters_of_reads(once, same), p)) == rows(candidates.read_stats(pairs, whole, p))
