@@ -82,3 +82,11 @@ def test_shuffles_start_in_proportion_to_the_table(spark, monkeypatch):
         assert int(spark.conf.get(name)) == most
     finally:
         spark.conf.unset(name)
+
+
+def test_reads_of_overlaps_are_made_once(spark, monkeypatch):
+    """Reads are made of the texts once; lengths, copies and sketches come from the stored ones."""
+    made = []
+    monkeypatch.setattr(registry, "_reads", lambda *a, whole=registry._reads: made.append(1) or whole(*a))
+    plan = QUERIES["overlap_classes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(made) == 1 and "regexp_replace" not in plan
