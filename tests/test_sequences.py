@@ -75,3 +75,17 @@ def test_runs_are_compressed_in_slices():
     for s, r in zip(seqs, got, strict=True):
         codes, keep = S.compressed((s or "").encode())
         assert r["pos"] == keep.tolist() and r["seq"] == "".join("ACGT"[c] for c in codes)
+
+
+def test_tails_are_looked_for_near_long_runs_only():
+    """The runs found near long ones are those of a search of the whole sequence."""
+    rng = random.Random(4)
+    for n in range(400):
+        parts = rng.choices(["A", "C", "G", "T", "AT", "GC", "ATAT", "CCC", "a", "n", "tata"], k=n % 80)
+        seq = "".join(parts).encode()
+        flags = np.zeros(len(seq), np.uint8)
+        for run in S._RUN.finditer(seq.upper(), 0, max(0, len(seq) - 1)):
+            flags[run.start() + 4 : run.end()] = S.HOMOPOLYMER if run.group(1) else S.DIMER
+        assert (S.tail_flags(seq) == flags).all()
+    plain = bytes(rng.choices(b"ACGT", k=100_000))
+    assert sum(end - bgn for bgn, end in S._long_runs(plain)) < 20_000
