@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import bound_batches, materialize, mix64
+from strandloom.llm.common import bound_batches, materialize, mix64, trimmed
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -240,7 +240,7 @@ def _cut(rows: DataFrame, window: int, end_token: int, vocabulary: str, plain: b
                         out, held = [], 0
         yield _table(out, schema)
 
-    return rows.mapInArrow(cut, f"doc long, {PIECES}, rest binary, ids array<long>")
+    return rows.mapInArrow(trimmed(cut), f"doc long, {PIECES}, rest binary, ids array<long>")
 
 
 def _statistics(rests: DataFrame) -> Statistics:
@@ -259,7 +259,7 @@ def _statistics(rests: DataFrame) -> Statistics:
         met = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2], met])), pa.array(np.concatenate([[n, size], df[met]]))], ["term", "n"])
 
-    rows = rests.select("rest", "length").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = rests.select("rest", "length").mapInArrow(trimmed(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     n, size = found.pop(-1, 0), found.pop(-2, 0)
     df = np.zeros(max(found, default=0) + 1, np.int64)
@@ -301,7 +301,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     # places, which differ, split the rests of one route
     parts = max(2 * spark.sparkContext.defaultParallelism, statistics.n // PARTITION)
-    near = rests.select("doc", "start", "doc_tokens", F.col("sequence_id").alias("place"), "rest").mapInArrow(routed, "doc long, start long, doc_tokens long, place long, rest binary, route long")
+    near = rests.select("doc", "start", "doc_tokens", F.col("sequence_id").alias("place"), "rest").mapInArrow(trimmed(routed), "doc long, start long, doc_tokens long, place long, rest binary, route long")
     near = near.repartitionByRange(parts, "route", "place").sortWithinPartitions("route", "place").drop("route", "place")
     windows = cut.where("rest is null").select(*schema.names)
-    return windows.unionByName(near.mapInArrow(pack, types)).withColumnRenamed("doc", id_col)
+    return windows.unionByName(near.mapInArrow(trimmed(pack), types)).withColumnRenamed("doc", id_col)

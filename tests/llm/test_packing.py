@@ -6,6 +6,8 @@ import public_tokenizers
 from tests.llm.conftest import corpus, prose
 from tokenizers import Tokenizer
 
+from strandloom.llm import packing
+from strandloom.llm.common import trimmed
 from strandloom.llm.packing import Index, Statistics, Tokens, _cut, _statistics, pack_documents, pack_ids, unpack_ids
 
 
@@ -124,3 +126,12 @@ def test_a_hot_group_is_spread_over_partitions(spark, documents):
 def test_stored_ids_round_trip():
     for ids in ([], [1, 0xFFFE], [0xFFFF], [3, 70_000], [0xFFFFFFFF, 0]):
         assert unpack_ids(pack_ids(np.array(ids, np.uint32))).tolist() == ids
+
+
+def test_every_task_gives_its_memory_back(spark, monkeypatch):
+    """Workers serve the next stage, so none may keep the tokenizer's or a shard's memory."""
+    seen = []
+    monkeypatch.setattr(packing, "trimmed", lambda task: seen.append(task.__name__) or trimmed(task))
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(20)], "doc_id long, text string")
+    assert packing.pack_documents(docs).count() >= 20
+    assert seen == ["cut", "count", "routed", "pack"]
