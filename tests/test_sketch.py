@@ -160,3 +160,26 @@ def test_equal_reads_are_met_once(spark):
         top = candidates.top_clusters(whole, p)
         assert rows(candidates.top_group_clusters(once, same, p).select(top.columns)) == rows(top)
         assert rows(candidates.read_stats(pairs, candidates.clusters_of_reads(once, same), p)) == rows(candidates.read_stats(pairs, whole, p))
+
+
+def test_lists_that_follow_each_other_meet_as_one(spark):
+    """Near copies: hits of one offset come in few rows, and a pair of reads has them in one place from one shuffle on."""
+    rng = random.Random(13)
+    base = dna(rng, 3000)
+    seqs = [base[k * 7 : 2000 + rng.randrange(900)] for k in range(12)]
+    seqs = [s[:900] + dna(rng, 1) + s[900 + k % 3 :] for k, s in enumerate(seqs)] + [base[::-1].translate(str.maketrans("ACGT", "TGCA"))] * 2
+    reads = spark.createDataFrame(list(enumerate(seqs)), "rid long, seq string").cache()
+    pairs = sketch.read_pairs(reads, P).cache()
+    assert Counter(tuple(r) for r in pairs.collect()) == Counter(tuple(r) for r in sketch.shimmer_pairs(sketch.shimmers(reads, P)).collect())
+    every = Counter(tuple(r) for r in candidates.pair_hits(pairs, P).collect())
+    rows = candidates.chained(pairs, P)
+    hits = candidates.forward_hits(rows, P).unionByName(candidates.reverse_hits(rows, P))
+    found = hits.collect()
+    summed = Counter()
+    for *hit, n in found:
+        summed[tuple(hit)] += n
+    assert summed == every and 4 * len(found) < sum(every.values()) and {h[2] for h in every} == {False, True}
+    few = rows.count()
+    assert 4 * few < pairs.count() * 3 and rows.where("role = 0").groupBy("crid", "block", "sub").count().count() < pairs.select("h0", "h1").distinct().count() / 4
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles(candidates._runs(candidates.cut_lineage(hits), P)) == 1 and shuffles(candidates.sized_pairs(candidates.cut_lineage(pairs))) == 1
