@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandloom.operators import graph as G
@@ -193,3 +194,19 @@ def test_marker_statistics_shuffle_the_overlaps_once(spark):
     assert {r["rid1"]: (r["dist_c"], r["max_dist_c"], r["flag"]) for r in found.collect()} == {i: (int(i < 8), 1, 2 * (i >= 8)) for i in range(2, 14)}
     plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
     assert plan.count("Exchange ") == 1
+
+
+def test_packed_edges_take_few_bytes_and_come_back(spark):
+    """Cells get packed edges: the same ones, whatever the ids are, in a third of the bytes at most."""
+    rng = random.Random(7)
+    far = {(rng.randrange(1_200_000), rng.randrange(1_200_000)) for _ in range(20_000)}
+    odd = {(-(1 << 63), (1 << 63) - 1), ((1 << 63) - 1, -(1 << 63)), (0, 0), (5, 4), (-3, 1 << 40)}
+    for rows in (far, odd, {(7, 7)}):
+        v, w = np.array(sorted(rows), np.int64).T
+        packed = G._packed(v.copy(), w.copy())
+        assert [tuple(x) for x in np.stack(G._unpacked(packed), 1).tolist()] == sorted(rows)
+        assert rows is not far or len(packed) < 16 * len(rows) / 3
+    df = spark.createDataFrame(sorted(far)[:3000], "v long, w long")
+    cells = lambda pack: G._in_cells(df, 3000, pack)
+    got = sorted((r["cell"], r["role"], v, w) for r in cells(True).collect() for v, w in zip(*(x.tolist() for x in G._unpacked(r["edges"])), strict=True))
+    assert got == sorted(tuple(r) for r in cells(False).collect())
