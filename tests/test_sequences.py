@@ -89,3 +89,22 @@ def test_tails_are_looked_for_near_long_runs_only():
         assert (S.tail_flags(seq) == flags).all()
     plain = bytes(rng.choices(b"ACGT", k=100_000))
     assert sum(end - bgn for bgn, end in S._long_runs(plain)) < 20_000
+
+
+def test_suffixes_are_compressed_like_sequences_of_their_own(monkeypatch):
+    """Runs that a suffix cuts, at every place, and a whole sequence's runs are looked for once."""
+    rng = random.Random(8)
+    pieces = ["A" * 7, "ACACACAC", "GTGTGTGTGT", "acacACAC", "NNNNNNN", "ACGT", "G", "TTTTTG", "CACAAAAAAC"]
+    seqs = ["".join(rng.choice(pieces) if rng.random() < 0.4 else rng.choice("ACGT") for _ in range(n)) for n in (0, 1, 2, 4, 5, 6, 7, 30, 60, 60, 60, 90)]
+    for seq in (s.encode() for s in [*seqs, "A" * 40, "AC" * 20]):
+        suffixes = S.Suffixes(seq)
+        for at in range(len(seq) + 1):
+            got, want = suffixes.compressed(at), S.compressed(seq[at:])
+            assert [x.tolist() for x in got] == [x.tolist() for x in want], (seq, at)
+    looked, real = [], S.tail_flags
+    monkeypatch.setattr(S, "tail_flags", lambda s: looked.append(len(s)) or real(s))
+    plain = "".join(rng.choice("ACGT") for _ in range(5000)).encode()
+    suffixes = S.Suffixes(plain)
+    for at in range(0, 4000, 500):
+        suffixes.compressed(at)
+    assert sum(looked) < 2 * len(plain)
